@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analysis this library rebuilds reads finished exports only; it has no
+stream, watermark or session-window operator.  Nothing is built here on
+purpose (see README "Scope").  Incremental exports are handled by the batch
+sources (``sources.files``: multi-file union, latest-file pick).
+"""
