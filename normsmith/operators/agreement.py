@@ -52,11 +52,11 @@ def rater_variety(cells: DataFrame, group: Sequence[str] = ("exp",), rater: str
     counts as one more value, as ``length(unique(column))`` of the wide
     matrix would."""
     g = list(group)
-    per_value = cells.groupBy(*g, rater, value).agg(F.count(F.lit(1)).alias("n"))
+    per_value = cells.groupBy(*g, rater, value).agg(F.count(F.lit(1)).alias("__cnt"))
     per_rater = per_value.groupBy(*g, rater).agg(
         F.count(value).alias("n_nonnull_values"),
         F.max(F.col(value).isNull().cast("int")).alias("has_null"),
-        F.sum("n").alias("n_cells"),
+        F.sum("__cnt").alias("n_cells"),
     )
     n_stim = cells.groupBy(*g).agg(F.count_distinct(stim).alias("n_stim_task"))
     return per_rater.join(n_stim, g, "left").select(
@@ -91,7 +91,7 @@ def complete_cases(cells: DataFrame, group: Sequence[str] = ("exp",), rater: str
 # --------------------------------------------------------------------------
 def variance_sums(rect: DataFrame, group: Sequence[str] = ("exp",), rater: str = "session_id",
                   stim: str = "trial_name", value: str = "dv", exact_integers: bool = True) -> DataFrame:
-    """Per group: n (stimuli), k (raters), T, sum x^2, sum over stimuli of
+    """Per group: n_stim (n), n_rater (k), T, sum x^2, sum over stimuli of
     S_i^2 and over raters of S_j^2, from a complete rectangle of cells.
 
     One scan: ``GROUPING SETS ((g, stim), (g, rater), (g))``, then one small
@@ -115,8 +115,8 @@ def variance_sums(rect: DataFrame, group: Sequence[str] = ("exp",), rater: str =
     is_rater = gid == 2
     is_total = gid == 3
     return sets.groupBy(*g).agg(
-        F.sum(F.when(is_stim, 1).otherwise(0)).cast("long").alias("n"),
-        F.sum(F.when(is_rater, 1).otherwise(0)).cast("long").alias("k"),
+        F.sum(F.when(is_stim, 1).otherwise(0)).cast("long").alias("n_stim"),
+        F.sum(F.when(is_rater, 1).otherwise(0)).cast("long").alias("n_rater"),
         F.max(F.when(is_total, F.col("__s"))).alias("total"),
         F.max(F.when(is_total, F.col("__ss"))).alias("sum_sq"),
         F.sum(F.when(is_stim, F.col("__s") * F.col("__s"))).alias("ss_stim"),
@@ -126,8 +126,8 @@ def variance_sums(rect: DataFrame, group: Sequence[str] = ("exp",), rater: str =
 
 def mean_squares(sums: DataFrame) -> DataFrame:
     """Two-way ANOVA mean squares from ``variance_sums`` (doubles)."""
-    n = F.col("n").cast("double")
-    k = F.col("k").cast("double")
+    n = F.col("n_stim").cast("double")
+    k = F.col("n_rater").cast("double")
     t = F.col("total").cast("double")
     c = t * t / (n * k)
     ssb = F.col("ss_stim").cast("double") / k - c
@@ -142,15 +142,15 @@ def mean_squares(sums: DataFrame) -> DataFrame:
 
 
 def icc2k_column() -> Column:
-    n = F.col("n").cast("double")
-    return F.when((F.col("k") >= 2) & (F.col("n") >= 2),
+    n = F.col("n_stim").cast("double")
+    return F.when((F.col("n_rater") >= 2) & (F.col("n_stim") >= 2),
                   (F.col("msb") - F.col("mse")) / (F.col("msb") + (F.col("msj") - F.col("mse")) / n))
 
 
 def icc21_column() -> Column:
-    n = F.col("n").cast("double")
-    k = F.col("k").cast("double")
-    return F.when((F.col("k") >= 2) & (F.col("n") >= 2),
+    n = F.col("n_stim").cast("double")
+    k = F.col("n_rater").cast("double")
+    return F.when((F.col("n_rater") >= 2) & (F.col("n_stim") >= 2),
                   (F.col("msb") - F.col("mse"))
                   / (F.col("msb") + (k - 1) * F.col("mse") + k * (F.col("msj") - F.col("mse")) / n))
 
@@ -158,12 +158,12 @@ def icc21_column() -> Column:
 def alpha_column() -> Column:
     """Raw Cronbach's alpha with raters as items:
     k/(k-1) * (1 - sum of rater variances / variance of stimulus totals)."""
-    n = F.col("n").cast("double")
-    k = F.col("k").cast("double")
+    n = F.col("n_stim").cast("double")
+    k = F.col("n_rater").cast("double")
     t = F.col("total").cast("double")
     item_var = F.col("sum_sq").cast("double") - F.col("ss_rater").cast("double") / n
     total_var = F.col("ss_stim").cast("double") - t * t / n
-    return F.when((F.col("k") >= 2) & (F.col("n") >= 2), k / (k - 1) * (1 - item_var / total_var))
+    return F.when((F.col("n_rater") >= 2) & (F.col("n_stim") >= 2), k / (k - 1) * (1 - item_var / total_var))
 
 
 def prepared_cells(cells: DataFrame, min_values: int | None = 3, group: Sequence[str] = ("exp",),
@@ -187,8 +187,8 @@ def icc2k(cells: DataFrame, min_values: int | None = 3, group: Sequence[str] = (
     ms = mean_squares(variance_sums(rect, group, rater, stim, value))
     return ms.select(
         *group,
-        F.col("k").alias("n_raters"),
-        F.col("n").alias("n_stimuli"),
+        F.col("n_rater").alias("n_raters"),
+        F.col("n_stim").alias("n_stimuli"),
         icc2k_column().alias("icc2k"),
         "msb", "msj", "mse",
     )
@@ -235,4 +235,5 @@ def cronbach_alpha(cells: DataFrame, min_values: int | None = 3, group: Sequence
                    rater: str = "session_id", stim: str = "trial_name", value: str = "dv") -> DataFrame:
     rect, _ = prepared_cells(cells, min_values, group, rater, stim, value)
     sums = variance_sums(rect, group, rater, stim, value)
-    return sums.select(*group, F.col("k").alias("n_raters"), F.col("n").alias("n_stimuli"), alpha_column().alias("alpha"))
+    return sums.select(*group, F.col("n_rater").alias("n_raters"), F.col("n_stim").alias("n_stimuli"),
+                       alpha_column().alias("alpha"))

@@ -156,3 +156,103 @@ def q_icc2k_bounds(spark, sf):
 def q_alpha(spark, sf):
     a = AG.cronbach_alpha(flows.rating_cells(spark, sf))
     return a.select("exp", "n_raters", "n_stimuli", r6("alpha").alias("alpha"))
+
+
+# ---------------------------------------------------------------- resampling
+# Workload of the registered checks: corridor sizes 3/5/10/15
+# with 20 iterations; bootstrap N = 20 with 20 iterations; seed 123.
+CORRIDOR_SIZES = (3, 5, 10, 15)
+CORRIDOR_ITERS = 20
+BOOT_N = 20
+BOOT_ITERS = 20
+SEED = 123
+POS_THRESHOLD = 0.75
+
+
+def _corridor(spark, sf):
+    from ..operators import resample as RS
+
+    return RS.icc_corridor(flows.rating_cells(spark, sf), CORRIDOR_SIZES, CORRIDOR_ITERS, SEED)
+
+
+@register("icc_corridor")
+def q_corridor(spark, sf):
+    c = _corridor(spark, sf)
+    return c.select("exp", "n", "iter", "n_raters", r6("icc2k").alias("icc2k"))
+
+
+@register("icc_corridor_summary")
+def q_corridor_summary(spark, sf):
+    from ..operators import resample as RS
+
+    s = RS.corridor_summary(_corridor(spark, sf))
+    return s.select("exp", "n", r6("icc_median").alias("icc_median"), r6("icc_low").alias("icc_low"),
+                    r6("icc_high").alias("icc_high"))
+
+
+@register("icc_thresholds")
+def q_thresholds(spark, sf):
+    from ..operators import resample as RS
+
+    return RS.corridor_thresholds(RS.corridor_summary(_corridor(spark, sf)))
+
+
+def _means(spark, sf):
+    from ..operators import resample as RS
+
+    return RS.bootstrap_means(flows.rating_cells(spark, sf), BOOT_N, BOOT_ITERS, SEED)
+
+
+@register("bootstrap_means")
+def q_boot(spark, sf):
+    m = _means(spark, sf)
+    return m.select("exp", "trial_name", "sample_size", "iteration", r6("mean_rating").alias("mean_rating"))
+
+
+@register("bootstrap_means_join")
+def q_boot_join(spark, sf):
+    from ..operators import resample as RS
+
+    m = RS.bootstrap_means(flows.rating_cells(spark, sf), BOOT_N, BOOT_ITERS, SEED, method="join")
+    return m.select("exp", "trial_name", "sample_size", "iteration", r6("mean_rating").alias("mean_rating"))
+
+
+@register("stability_ci")
+def q_stab_ci(spark, sf):
+    from ..operators import stability as ST
+
+    cis = ST.percentile_interval(_means(spark, sf))
+    return cis.select("exp", "sample_size", r6("ll").alias("ll"), r6("ul").alias("ul"))
+
+
+@register("stability_normal_ci")
+def q_stab_normal(spark, sf):
+    from ..operators import stability as ST
+
+    cis = ST.normal_interval(_means(spark, sf))
+    return cis.select("exp", "sample_size", r6("ll").alias("ll"), r6("ul").alias("ul"))
+
+
+@register("point_of_stability")
+def q_pos(spark, sf):
+    from ..operators import stability as ST
+
+    res = ST.stability_stats(flows.rating_cells(spark, sf), BOOT_N, BOOT_ITERS, cos_threshold=POS_THRESHOLD, seed=SEED)
+    return res.pos
+
+
+@register("point_of_stability_sustained")
+def q_pos_sustained(spark, sf):
+    from ..operators import stability as ST
+
+    cis = ST.percentile_interval(_means(spark, sf))
+    return ST.point_of_stability(cis, POS_THRESHOLD, mode="sustained")
+
+
+@register("stability_ribbon")
+def q_ribbon(spark, sf):
+    from ..operators import stability as ST
+
+    cis = ST.percentile_interval(_means(spark, sf))
+    rib = ST.ribbon(cis, ST.point_of_stability(cis, POS_THRESHOLD))
+    return rib.select("exp", "sample_size", r6("ll").alias("ll"), r6("ul").alias("ul"), "pos")
