@@ -237,3 +237,131 @@ def cronbach_alpha(cells: DataFrame, min_values: int | None = 3, group: Sequence
     sums = variance_sums(rect, group, rater, stim, value)
     return sums.select(*group, F.col("n_rater").alias("n_raters"), F.col("n_stim").alias("n_stimuli"),
                        alpha_column().alias("alpha"))
+
+
+# --------------------------------------------------------------------------
+# R7  McDonald's omega total (one factor)
+# --------------------------------------------------------------------------
+def rater_gram(rect: DataFrame, group: Sequence[str] = ("exp",), rater: str = "session_id", stim: str = "trial_name",
+               value: str = "dv", n_blocks: int = 16) -> DataFrame:
+    """Cross-product sums between the raters of each group, computed block
+    by block: stimuli are hashed into ``n_blocks`` blocks, each (group,
+    block) makes its small stimuli x raters matrix in pandas and emits its
+    partial sums, and one aggregate adds the blocks up.  No rater pairs are
+    emitted per rating, and no group is gathered whole.
+
+    Returns (group..., rater_a, rater_b, n, s_a, s_b, s_aa, s_bb, s_ab)."""
+    import numpy as np
+
+    g = list(group)
+    blocks = rect.select(*g, rater, stim, F.col(value).cast("double").alias("__x")).withColumn(
+        "__blk", F.pmod(F.xxhash64(F.col(stim).cast("string")), F.lit(n_blocks))
+    )
+    key_fields = [f for f in blocks.schema.fields if f.name in g]
+    rater_type = blocks.schema[rater].dataType
+    out_schema = T.StructType(
+        key_fields
+        + [T.StructField("rater_a", rater_type), T.StructField("rater_b", rater_type)]
+        + [T.StructField(c, T.DoubleType()) for c in ("n", "s_a", "s_b", "s_aa", "s_bb", "s_ab")]
+    )
+
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index=stim, columns=rater, values="__x", aggfunc="first")
+        ids = list(wide.columns)
+        x = wide.to_numpy(dtype=float)
+        m = ~np.isnan(x)
+        x0 = np.where(m, x, 0.0)
+        mf = m.astype(float)
+        n = mf.T @ mf
+        s_a = x0.T @ mf
+        s_aa = (x0 * x0).T @ mf
+        s_ab = x0.T @ x0
+        ia, ib = np.meshgrid(np.arange(len(ids)), np.arange(len(ids)), indexing="ij")
+        ia, ib = ia.ravel(), ib.ravel()
+        res = pd.DataFrame({
+            "rater_a": np.asarray(ids, dtype=object)[ia], "rater_b": np.asarray(ids, dtype=object)[ib],
+            "n": n[ia, ib], "s_a": s_a[ia, ib], "s_b": s_a[ib, ia], "s_aa": s_aa[ia, ib], "s_bb": s_aa[ib, ia],
+            "s_ab": s_ab[ia, ib],
+        })
+        for c in g:
+            res.insert(0, c, pdf[c].iloc[0])
+        return res[[f.name for f in out_schema.fields]]
+
+    parts = blocks.groupBy(*g, "__blk").applyInPandas(partial, out_schema)
+    return parts.groupBy(*g, "rater_a", "rater_b").agg(
+        *[F.sum(c).alias(c) for c in ("n", "s_a", "s_b", "s_aa", "s_bb", "s_ab")]
+    )
+
+
+def one_factor_minres(r, tol: float = 1e-10, max_iter: int = 5000):
+    """Loadings of one factor fitted by minimum residuals (unweighted least
+    squares on the off-diagonal), by iterated principal axes from squared
+    multiple correlations."""
+    import numpy as np
+
+    r = np.asarray(r, dtype=float)
+    k = r.shape[0]
+    try:
+        h2 = 1.0 - 1.0 / np.diag(np.linalg.inv(r))
+    except np.linalg.LinAlgError:
+        h2 = np.max(np.abs(r - np.eye(k)), axis=1)
+    lam = np.zeros(k)
+    for _ in range(max_iter):
+        rr = r.copy()
+        np.fill_diagonal(rr, h2)
+        w, v = np.linalg.eigh(rr)
+        lam = v[:, -1] * np.sqrt(max(w[-1], 0.0))
+        new = lam * lam
+        if np.max(np.abs(new - h2)) < tol:
+            h2 = new
+            break
+        h2 = new
+    if lam.sum() < 0:
+        lam = -lam
+    return lam
+
+
+def omega_from_corr(r) -> float:
+    """Omega total of a one-factor model: 1 - sum of uniquenesses / sum of
+    the correlation matrix, with raters of negative loading reversed."""
+    import numpy as np
+
+    r = np.asarray(r, dtype=float)
+    lam = one_factor_minres(r)
+    sign = np.where(lam < 0, -1.0, 1.0)
+    rf = r * np.outer(sign, sign)
+    return float(1.0 - np.sum(1.0 - lam * lam) / rf.sum())
+
+
+def omega_total(cells: DataFrame, min_values: int | None = 3, group: Sequence[str] = ("exp",),
+                rater: str = "session_id", stim: str = "trial_name", value: str = "dv",
+                n_blocks: int = 16) -> DataFrame:
+    """R7 per group: (group..., n_raters, omega_t).  Rater correlations are
+    Spark aggregates (``rater_gram``); the one-factor fit runs per group on
+    its k x k correlations in ``applyInPandas``."""
+    import numpy as np
+
+    g = list(group)
+    rect, _ = prepared_cells(cells, min_values, g, rater, stim, value)
+    gram = rater_gram(rect, g, rater, stim, value, n_blocks)
+    num = F.col("n") * F.col("s_ab") - F.col("s_a") * F.col("s_b")
+    den = F.sqrt((F.col("n") * F.col("s_aa") - F.col("s_a") ** 2) * (F.col("n") * F.col("s_bb") - F.col("s_b") ** 2))
+    corr = gram.select(*g, "rater_a", "rater_b", (num / den).alias("r"))
+    key_fields = [f for f in corr.schema.fields if f.name in g]
+    out_schema = T.StructType(key_fields + [T.StructField("n_raters", T.LongType()),
+                                            T.StructField("omega_t", T.DoubleType())])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        mat = pdf.pivot_table(index="rater_a", columns="rater_b", values="r", aggfunc="first")
+        k = mat.shape[0]
+        val = float("nan")
+        if k >= 2:
+            m = mat.to_numpy(dtype=float)
+            if np.isfinite(m).all():
+                val = omega_from_corr(m)
+        row = {c: [pdf[c].iloc[0]] for c in g}
+        row.update({"n_raters": [k], "omega_t": [val]})
+        return pd.DataFrame(row)[[f.name for f in out_schema.fields]]
+
+    out = corr.groupBy(*g).applyInPandas(fit, out_schema)
+    return out.withColumn("omega_t", F.nanvl(F.col("omega_t"), F.lit(None)))

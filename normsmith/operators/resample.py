@@ -47,8 +47,8 @@ def rater_samples(cells: DataFrame, n_seq: Sequence[int], n_iter: int, seed: int
     ``explode`` on each rater row (no join)."""
     g = list(group)
     raters = cells.select(*g, rater).distinct()
-    grid = raters.withColumn("n", F.explode(F.array(*[F.lit(int(n)) for n in n_seq]))).withColumn(
-        "iter", F.explode(F.sequence(F.lit(iter_start), F.lit(iter_start + n_iter - 1)))
+    grid = raters.withColumn("n", F.explode(F.array(*[F.lit(int(n)).cast("long") for n in n_seq]))).withColumn(
+        "iter", F.explode(F.sequence(F.lit(iter_start).cast("long"), F.lit(iter_start + n_iter - 1).cast("long")))
     )
     h = hash_key(seed, *[F.col(c) for c in g], F.col("n"), F.col("iter"), F.col(rater))
     part = Window.partitionBy(*g, "n", "iter")
@@ -137,8 +137,8 @@ def bootstrap_means(cells: DataFrame, N: int = 100, iterations: int = 500, seed:
     if method == "auto":
         largest = c.agg(F.max("m")).first()[0] or 0
         method = "array" if largest <= max_array else "join"
-    sizes = F.sequence(F.lit(1), F.lit(N))
-    iters = F.sequence(F.lit(iter_start), F.lit(iter_start + iterations - 1))
+    sizes = F.sequence(F.lit(1).cast("long"), F.lit(N).cast("long"))
+    iters = F.sequence(F.lit(iter_start).cast("long"), F.lit(iter_start + iterations - 1).cast("long"))
 
     def draw_hash(d: Column) -> Column:
         return hash_key(seed, *[F.col(x) for x in g], F.col(stim), F.col("sample_size"), F.col("iteration"), d)
@@ -150,7 +150,7 @@ def bootstrap_means(cells: DataFrame, N: int = 100, iterations: int = 500, seed:
         )
         grid = per_stim.withColumn("sample_size", F.explode(sizes)).withColumn("iteration", F.explode(iters))
         total = F.aggregate(
-            F.sequence(F.lit(1), F.col("sample_size")),
+            F.sequence(F.lit(1).cast("long"), F.col("sample_size")),
             F.lit(0.0),
             lambda acc, d: acc + F.element_at(F.col("__r"), hash_index(draw_hash(d), F.col("m")).cast("int")),
         )
@@ -160,7 +160,7 @@ def bootstrap_means(cells: DataFrame, N: int = 100, iterations: int = 500, seed:
         draws = (
             stims.withColumn("sample_size", F.explode(sizes))
             .withColumn("iteration", F.explode(iters))
-            .withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("sample_size"))))
+            .withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("sample_size"))))
         )
         draws = draws.withColumn("pos", hash_index(draw_hash(F.col("draw")), F.col("m")).cast("int"))
         picked = draws.join(c.select(*g, stim, "pos", "rating_c"), [*g, stim, "pos"])

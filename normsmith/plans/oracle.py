@@ -342,3 +342,179 @@ ORACLE.update({
     + """select c.exp, c.sample_size, round(c.ll, 6) as ll, round(c.ul, 6) as ul, p.pos
         from cis c left join pos p on c.exp = p.exp""",
 })
+
+
+# ---------------------------------------------------------------- batch 3
+def _batch3() -> dict[str, str]:
+    from . import adapters as AD
+
+    flags = ", ".join(f"cast((c_custkey >> {i}) & 1 as integer) as {n}" for i, n in enumerate(
+        ("std_ang", "std_dis", "std_fea", "std_hap", "std_neu", "std_sad", "std_sur", "unstd_neu")))
+    models = f"""models as (
+  select split_part(id_, '_', 1) as lab_id, split_part(id_, '_', 2) as model_id, t.* exclude (id_) from (
+    select concat('L', lpad(cast(c_nationkey as varchar), 2, '0'), '_', lpad(cast(c_custkey as varchar), 5, '0')) as id_,
+           c_custkey as model_key, lower(c_mktsegment) as gender, lower(n_name) as ethnicity,
+           case when c_custkey % 23 = 0 then null else cast(18 + c_custkey % 50 as integer) end as age,
+           c_acctbal as acctbal, {flags}
+    from customer left join nation on c_nationkey = n_nationkey) t
+),
+grec as {AD.sql_values(AD.GENDER_RECODE, 'k, lab')},
+erec as {AD.sql_values(AD.ethnicity_recode(), 'k, lab')},
+mrec as (
+  select m.*, case when g.lab = 'NA' then null else g.lab end as gender_rec,
+         case when e.lab = 'NA' then null else e.lab end as ethnicity_rec
+  from models m left join grec g on m.gender = g.k left join erec e on m.ethnicity = e.k
+)"""
+    mbase = _with(models)
+
+    def level_counts(src: str, col: str, levels: list[str]) -> str:
+        lv = AD.sql_values([(v, v, i + 1) for i, v in enumerate(levels)], "level, label, ord")
+        return f""", lv as {lv},
+counted as (select lv.label, lv.ord, count(*) as n from {src} s left join lv on s.{col} = lv.level
+            group by lv.label, lv.ord)
+select lv.label, lv.ord, cast(coalesce(c.n, 0) as bigint) as n from lv left join counted c on lv.ord = c.ord
+union all select label, ord, cast(n as bigint) from counted where ord is null"""
+
+    emo_lv = AD.sql_values([(c, lab, i + 1) for i, (c, lab) in enumerate(AD.EMOTION_LEVELS)], "code, label, ord")
+    cats = AD.sql_list(AD.EMOTION_CATEGORIES)
+    brackets = AD.sql_list([b for b, _ in AD.BRACKETS])
+    mids = "[" + ", ".join(repr(m) for _, m in AD.BRACKETS) + "]"
+    agree = _with(RATINGS, FIRSTS, CELLS)
+    stim = "cast(substr(trial_name, 2) as integer)"
+    x_y = """x as (select o_custkey, avg(o_totalprice) as x from orders where o_orderstatus = 'F' group by o_custkey),
+y as (select o_custkey, avg(o_totalprice) as y from orders where o_orderstatus = 'O' group by o_custkey),
+d as (select x - y as d from x join y on x.o_custkey = y.o_custkey where x is not null and y is not null)"""
+    return {
+        "trial_star_join": """select l_orderkey, l_linenumber, o_orderpriority, c_custkey, n_name,
+  round(datediff('day', cast(replace(bday, '-00', '-01') as date), cast(l_shipdate as date)) / 365.25, 1) as user_age
+from (select *, concat(cast(1950 + c_custkey % 40 as varchar), '-', lpad(cast(c_custkey % 13 as varchar), 2, '0'), '-',
+                       lpad(cast(c_custkey % 29 as varchar), 2, '0')) as bday
+      from lineitem left join orders on l_orderkey = o_orderkey left join customer on o_custkey = c_custkey
+      left join nation on c_nationkey = n_nationkey) t
+where c_mktsegment in ('AUTOMOBILE', 'BUILDING') and o_orderstatus in ('F', 'O')""",
+        "distinct_trials": """select distinct user_id as session_id, event_type as exp, value as rt, props from events
+where event_type in ('click', 'view', 'purchase')""",
+        "json_flatten": """with lines as (select l_orderkey, count(*) as trials, count(distinct l_partkey) as stim
+               from lineitem group by l_orderkey)
+select o_orderkey as exp_id,
+  trim(regexp_replace('ManyFaces Pilot Ratings: ' || lower(o_orderpriority), 'ManyFaces? Pilot Ratings: ', '')) as exp,
+  lines.trials, lines.stim, cast(l_linenumber as bigint) as n, 's' || cast(l_partkey % 50 as varchar) as name,
+  l_partkey as img_id, 'img/' || cast(l_partkey as varchar) || '.jpg' as img_path
+from orders join lineitem on o_orderkey = lineitem.l_orderkey join lines on lines.l_orderkey = o_orderkey
+where o_orderstatus = 'F'""",
+        "recode_lookup": mbase
+        + "select lab_id, model_id, gender, gender_rec, ethnicity, ethnicity_rec from mrec",
+        "ethnicity_counts": mbase.rstrip() + level_counts("mrec", "ethnicity_rec", AD.ETHNICITY_LEVELS),
+        "level_counts": "with dummy as (select 1)" + level_counts("orders", "o_orderpriority", AD.PRIORITY_LEVELS),
+        "unit_normalise": """with raw as (
+  select p_partkey,
+    case when p_partkey % 13 = 0 then 'n/a' else cast(p_size * 4 as varchar) end as height,
+    case when p_type in ('ECONOMY', 'LARGE') then 'cm' when p_type in ('SMALL', 'MEDIUM') then 'in'
+         when p_type = 'PROMO' then 'NULL' end as height_units,
+    cast(p_partkey % 120 as varchar) as weight,
+    case when p_partkey % 3 = 0 then 'lb' when p_partkey % 3 = 1 then 'kg' else 'NULL' end as weight_units
+  from part),
+c as (select p_partkey, try_cast(nullif(height, 'NULL') as double) as h, nullif(height_units, 'NULL') as height_units,
+             try_cast(nullif(weight, 'NULL') as double) as w, nullif(weight_units, 'NULL') as weight_units from raw)
+select p_partkey, h as height, height_units,
+  round(case when height_units = 'cm' and h < 100 then h * 2.54 when height_units = 'in' and h > 100 then h
+             when height_units = 'in' then h * 2.54 when height_units = 'cm' then h end, 6) as height_cm,
+  w as weight, weight_units,
+  round(case when w = 0 then null when weight_units = 'lb' and w < 80 then w when weight_units = 'lb' then w / 2.20462
+             when weight_units = 'kg' then w end, 6) as weight_kg
+from c""",
+        "eav_to_wide": """with tl as (select user_id as session_id, event_type as exp, value as rt, ts as dt,
+                   cast(ts as date) as endtime from events),
+one as (select session_id, endtime, exp, arg_max(rt, dt) as rt from tl group by session_id, endtime, exp)
+select session_id, cast(endtime as varchar) as endtime,
+  max(case when exp = 'click' then rt end) as click, max(case when exp = 'error' then rt end) as error,
+  max(case when exp = 'purchase' then rt end) as purchase, max(case when exp = 'signup' then rt end) as signup,
+  max(case when exp = 'view' then rt end) as view
+from one group by session_id, endtime""",
+        "flags_long_count_wide": mbase
+        + f""", long as (unpivot (select std_ang, std_dis, std_fea, std_hap, std_neu, std_sad, std_sur, unstd_neu from models)
+          on std_ang, std_dis, std_fea, std_hap, std_neu, std_sad, std_sur, unstd_neu into name name value value),
+counts as (select name, count(*) as n from long where value = 1 group by name),
+typed as (select split_part(name, '_', 1) as type, split_part(name, '_', 2) as emotion, n from counts),
+wide as (select emotion, max(case when type = 'std' then n end) as std, max(case when type = 'unstd' then n end) as unstd
+         from typed group by emotion)
+select lv.label as emotion, lv.ord, cast(std as bigint) as std, cast(unstd as bigint) as unstd
+from wide left join {emo_lv} lv on wide.emotion = lv.code""",
+        "labs_models": mbase
+        + """, per_lab as (select lab_id, count(*) as n from mrec group by lab_id)
+select count(*) as n_labs, cast(sum(n) as bigint) as n_models, round(avg(n), 6) as mean_per_lab,
+       min(n) as min_per_lab, max(n) as max_per_lab from per_lab""",
+        "group_demographics": mbase
+        + """select gender_rec, count(*) as n, min(age) as age_min, max(age) as age_max, round(avg(age), 6) as age_mean,
+       round(min(acctbal), 6) as acctbal_min, round(max(acctbal), 6) as acctbal_max,
+       round(avg(acctbal), 6) as acctbal_mean
+from mrec group by gender_rec""",
+        "age_histogram": mbase + "select age, gender_rec, count(*) as n from mrec group by age, gender_rec",
+        "counts_by_group": mbase
+        + """select 'ethnicity' as dimension, ethnicity_rec as level, count(*) as n from mrec group by ethnicity_rec
+union all select 'segment', gender, count(*) from mrec group by gender""",
+        "count_listagg": mbase
+        + """, c as (select ethnicity, count(*) as n from mrec group by ethnicity)
+select n, string_agg(ethnicity, ', ' order by ethnicity) as items from c group by n""",
+        "raters_per_task": SCREEN_BASE
+        + """select exp, cast(count(distinct session_id) + max(case when session_id is null then 1 else 0 end) as bigint)
+  as n_raters from final group by exp""",
+        "rt_histogram": """with med as (select user_id, event_type,
+                    case when count(*) > count(value) then null else median(value) end as med_rt
+             from events group by user_id, event_type)
+select round(greatest(ceil(med_rt / 10.0) - 1, 0) * 10.0, 6) as bin_start, count(*) as n,
+       round((select quantile_cont(med_rt, 0.01) from med), 6) as marker
+from med where med_rt is not null group by 1""",
+        "corridor_ribbon": CORRIDOR_BASE
+        + """, th as (select exp, min(case when icc_median >= 0.75 then n end) as n_for_075,
+                 min(case when icc_median >= 0.90 then n end) as n_for_090 from csummary group by exp)
+select s.exp, s.n, round(icc_median, 6) as icc_median, round(icc_low, 6) as icc_low, round(icc_high, 6) as icc_high,
+       n_for_075, n_for_090 from csummary s left join th on s.exp = th.exp""",
+        "tile_counts": agree
+        + f""", t as (select string_split_regex(printf('lab%d_m%02d_std_neu_front', {stim} % 5, {stim}), '[^A-Za-z0-9]+') as p,
+                 dv from cells where exp in ('A', 'N'))
+select p[1] as lab_id, p[2] as model_id, dv, count(*) as n from t group by p[1], p[2], dv""",
+        "rating_descriptives": agree
+        + """select exp, count(dv) as n, round(avg(dv), 6) as mean, round(stddev_samp(dv), 6) as sd,
+       round(median(dv), 6) as median, min(dv) as min, max(dv) as max from cells group by exp""",
+        "rating_histogram": agree + "select exp, dv, count(*) as n from cells group by exp, dv",
+        "confusion_share": agree
+        + f""", lab as (select {cats}[{stim} % 6 + 1] as intended, {cats}[(dv - 1) % 6 + 1] as chosen
+             from cells where exp = 'R'),
+c as (select intended, chosen, count(*) as n from lab group by intended, chosen)
+select intended, chosen, n, round(n / sum(n) over (partition by intended), 6) as share from c""",
+        "perceived_age_hist": agree
+        + f"select {brackets}[dv] as bracket, count(*) as n from cells where exp = 'N' group by 1",
+        "correct_by_expression": agree
+        + f""", cat as (select {cats}[{stim} % 6 + 1] as expression, count(*) as n,
+                   avg(case when (dv - 1) % 6 = {stim} % 6 then 1.0 else 0.0 end) as prop_correct
+            from cells where exp = 'R' group by 1),
+inten as (select {cats}[{stim} % 6 + 1] as expression, avg(dv) as mean_intensity from cells where exp = 'A' group by 1)
+select cat.expression, n, round(prop_correct, 6) as prop_correct, round(mean_intensity, 6) as mean_intensity
+from cat left join inten on cat.expression = inten.expression""",
+        "mode_share": """with counts as (select p_brand, cast(p_size as varchar) as value, count(*) as freq from part
+                where p_size is not null group by p_brand, value)
+select p_brand, first(value order by freq desc, value) as mode, max(freq) as freq,
+       round(max(freq) / sum(freq), 6) as prop from counts group by p_brand""",
+        "mode_vs_actual_corr": f"""with counts as (select o_custkey, o_orderpriority as value, count(*) as freq from orders
+                where o_orderpriority is not null group by o_custkey, value),
+modes as (select o_custkey, first(value order by freq desc, value) as mode from counts group by o_custkey),
+perceived as (select o_custkey, {mids}[cast(substr(mode, 1, 1) as integer) + 1] as perceived from modes),
+actual as (select c_custkey, case when c_custkey % 23 = 0 then null else 18 + c_custkey % 50 end as age from customer)
+select count(*) as n, round(corr(age, perceived), 6) as r
+from perceived p join actual a on p.o_custkey = a.c_custkey where age is not null""",
+        "paired_t": "with " + x_y + """
+select round((select avg(x) from x), 6) as m_std, round((select avg(y) from y), 6) as m_unstd, count(d) as n_pairs,
+       round(avg(d), 6) as m_diff, round(stddev_samp(d), 6) as sd_diff,
+       round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 6) as t, round(cast(count(d) - 1 as double), 6) as df from d""",
+        "stimulus_attributes": f"""with nm as (
+  select concat_ws('_', 'lab' || cast(p_partkey % 20 as varchar), cast(p_partkey as varchar),
+                   case when p_size % 2 = 0 then 'std' else 'unstd' end,
+                   {AD.sql_list(AD.EMOTION_CODES)}[p_partkey % 7 + 1], {AD.sql_list(AD.VIEWS)}[p_partkey % 5 + 1]) as name
+  from part),
+parts as (select string_split_regex(name, '[^A-Za-z0-9]+') as p from nm)
+select p[1] as lab, cast(p[2] as bigint) as img, p[3] as type, p[4] as emo from parts where p[5] = 'front'""",
+    }
+
+
+ORACLE.update(_batch3())

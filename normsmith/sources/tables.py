@@ -96,3 +96,36 @@ def trial_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         "props",
     )
+
+
+def age_of(custkey: Column) -> Column:
+    """Model age in years for the customer-based models view (null for
+    every 23rd model, to exercise missing values)."""
+    return F.when(custkey % 23 == 0, F.lit(None)).otherwise((18 + custkey % 50).cast("int"))
+
+
+def models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stimulus models (people photographed) from ``customer`` and
+    ``nation``: lab = nation, model = customer, raw gender text = market
+    segment, raw ethnicity text = nation name, age, and eight 0/1
+    image-availability flags taken from the bits of the customer key."""
+    c = table(spark, sf_dir, "customer")
+    n = table(spark, sf_dir, "nation")
+    flags = [
+        (F.shiftright(F.col("c_custkey"), i).bitwiseAND(F.lit(1))).cast("int").alias(name)
+        for i, name in enumerate(IMAGE_FLAGS)
+    ]
+    return c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
+        F.concat(F.lit("L"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lit("_"),
+                 F.lpad(F.col("c_custkey").cast("string"), 5, "0")).alias("ID"),
+        F.col("c_custkey").alias("model_key"),
+        F.col("c_mktsegment").alias("gender"),
+        F.col("n_name").alias("ethnicity"),
+        age_of(F.col("c_custkey")).alias("age"),
+        F.col("c_acctbal").alias("acctbal"),
+        *flags,
+    )
+
+
+# Image-availability flags of a model (fixed names of the reference's columns).
+IMAGE_FLAGS = ("std_ang", "std_dis", "std_fea", "std_hap", "std_neu", "std_sad", "std_sur", "unstd_neu")
