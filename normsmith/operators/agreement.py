@@ -125,7 +125,9 @@ def variance_sums(rect: DataFrame, group: Sequence[str] = ("exp",), rater: str =
 
 
 def mean_squares(sums: DataFrame) -> DataFrame:
-    """Two-way ANOVA mean squares from ``variance_sums`` (doubles)."""
+    """Two-way ANOVA mean squares from ``variance_sums`` (doubles).  A
+    degenerate group (one rater or one stimulus) gives nulls, not an
+    error."""
     n = F.col("n_stim").cast("double")
     k = F.col("n_rater").cast("double")
     t = F.col("total").cast("double")
@@ -135,24 +137,28 @@ def mean_squares(sums: DataFrame) -> DataFrame:
     sse = F.col("sum_sq").cast("double") - c - ssb - ssj
     return sums.select(
         "*",
-        (ssb / (n - 1)).alias("msb"),
-        (ssj / (k - 1)).alias("msj"),
-        (sse / ((n - 1) * (k - 1))).alias("mse"),
+        F.try_divide(ssb, n - 1).alias("msb"),
+        F.try_divide(ssj, k - 1).alias("msj"),
+        F.try_divide(sse, (n - 1) * (k - 1)).alias("mse"),
     )
 
 
+def _ok() -> Column:
+    return (F.col("n_rater") >= 2) & (F.col("n_stim") >= 2)
+
+
 def icc2k_column() -> Column:
     n = F.col("n_stim").cast("double")
-    return F.when((F.col("n_rater") >= 2) & (F.col("n_stim") >= 2),
-                  (F.col("msb") - F.col("mse")) / (F.col("msb") + (F.col("msj") - F.col("mse")) / n))
+    return F.when(_ok(), F.try_divide(F.col("msb") - F.col("mse"), F.col("msb") + (F.col("msj") - F.col("mse")) / n))
 
 
 def icc21_column() -> Column:
     n = F.col("n_stim").cast("double")
     k = F.col("n_rater").cast("double")
-    return F.when((F.col("n_rater") >= 2) & (F.col("n_stim") >= 2),
-                  (F.col("msb") - F.col("mse"))
-                  / (F.col("msb") + (k - 1) * F.col("mse") + k * (F.col("msj") - F.col("mse")) / n))
+    return F.when(_ok(), F.try_divide(
+        F.col("msb") - F.col("mse"),
+        F.col("msb") + (k - 1) * F.col("mse") + k * (F.col("msj") - F.col("mse")) / n,
+    ))
 
 
 def alpha_column() -> Column:
@@ -163,7 +169,7 @@ def alpha_column() -> Column:
     t = F.col("total").cast("double")
     item_var = F.col("sum_sq").cast("double") - F.col("ss_rater").cast("double") / n
     total_var = F.col("ss_stim").cast("double") - t * t / n
-    return F.when((F.col("n_rater") >= 2) & (F.col("n_stim") >= 2), k / (k - 1) * (1 - item_var / total_var))
+    return F.when(_ok(), F.try_divide(k, k - 1) * (1 - F.try_divide(item_var, total_var)))
 
 
 def prepared_cells(cells: DataFrame, min_values: int | None = 3, group: Sequence[str] = ("exp",),

@@ -215,7 +215,8 @@ ORACLE: dict[str, str] = {
 CORRIDOR = """raters as (select distinct exp, session_id from cells),
 grid as (
   select r.exp, r.session_id, g.n, i.iter
-  from raters r, (values (3), (5), (10), (15)) g(n), (select range as iter from range(0, 20)) i
+  from raters r, (select cast(v as bigint) as n from (values (3), (5), (10), (15)) g(v)) g,
+       (select range as iter from range(0, 20)) i
 ),
 ranked as (
   select *, row_number() over (partition by exp, n, iter
