@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_match_removed
+from ..session import cut_lineage
 
 
 # --------------------------------------------------------------------------
@@ -288,9 +289,19 @@ def screen(
     task: str = "exp",
     rater: str = "session_id",
     stim: str = "trial_name",
+    materialise: bool = True,
+    firsts: DataFrame | None = None,
 ) -> Screening:
-    """Q1 -> Q2 -> (Q3) -> Q4..Q8 -> Q9 -> Q10/Q11 as one lazy lineage."""
-    firsts = keep_first(raw, [rater, task, stim], order)
+    """Q1 -> Q2 -> (Q3) -> Q4..Q8 -> Q9 -> Q10/Q11.
+
+    The keep-first result is read by every later rule.  With
+    ``materialise`` it is checkpointed once into the shared checkpoint
+    folder (when the session names one), so the raw log is scanned once
+    instead of once per rule; it holds one row per (rater, task, trial)."""
+    if firsts is None:
+        firsts = keep_first(raw, [rater, task, stim], order)
+        if materialise:
+            firsts = cut_lineage(firsts)
     if tasks is None:
         tasks = trials_per_task(firsts, task, rater)
     inc = incomplete_tasks(firsts, tasks, task, rater)
@@ -313,8 +324,10 @@ def flow_counts(s: Screening, task: str = "exp", rater: str = "session_id") -> D
         return df.agg(F.lit(name).alias("step"), expr.cast("long").alias("n"))
 
     parts = [
-        one(s.raw, "initial_raters", F.count_distinct(rater)),
-        one(s.raw, "initial_completions", F.count_distinct(rater, task)),
+        # keep-first keeps every (rater, task) of the raw log, so the
+        # initial counts are read from it rather than rescanning the log.
+        one(s.firsts, "initial_raters", F.count_distinct(rater)),
+        one(s.firsts, "initial_completions", F.count_distinct(rater, task)),
         one(s.exp_long, "complete_raters", F.count_distinct(rater)),
         one(s.ledger, "excluded_raters", F.count(F.lit(1))),
         one(s.consistent, "additionally_excluded", F.count(F.when(F.col("same_pcnt").isNull(), 1))),

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
+from ..session import cut_lineage
 from ..sources import tables as S
 
 # Task order of the adapter's three tasks.
@@ -25,18 +26,22 @@ def task_levels(spark: SparkSession) -> DataFrame:
 
 def rating_flow(spark: SparkSession, sf_dir: str, first_task_only: bool = False) -> Q.Screening:
     raw = S.ratings(spark, sf_dir)
+    fst = firsts(spark, sf_dir)
     return Q.screen(
         raw,
-        S.quest(raw),
+        S.quest(fst),  # same sessions as the raw log, without rescanning it
         S.RATINGS_ORDER,
         first_task_only=first_task_only,
         levels=task_levels(spark),
+        firsts=fst,
     )
 
 
-def firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keep-first ratings."""
-    return Q.keep_first(S.ratings(spark, sf_dir), ["session_id", "exp", "trial_name"], S.RATINGS_ORDER)
+def firsts(spark: SparkSession, sf_dir: str, materialise: bool = True) -> DataFrame:
+    """Keep-first ratings (W1), checkpointed when a checkpoint folder is
+    configured (every later step reads them several times)."""
+    out = Q.keep_first(S.ratings(spark, sf_dir), ["session_id", "exp", "trial_name"], S.RATINGS_ORDER)
+    return cut_lineage(out) if materialise else out
 
 
 def rating_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
