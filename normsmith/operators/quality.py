@@ -155,10 +155,16 @@ def overly_fast(
 ) -> DataFrame:
     """Median rt strictly below the ``prob`` quantile (linear interpolation,
     R type 7 == Spark ``percentile``) of all (rater, task) medians; check
-    trials included."""
-    med = median_rt(facts, task, rater, rt)
-    cut = med.agg(F.percentile("med_rt", prob)).scalar()  # scalar subquery
-    return med.where(F.col("med_rt") < cut).select(rater, task, "med_rt")
+    trials included.  The medians (one row per task completion) are
+    materialised once; their quantile is found by distributed histogram
+    refinement (``quantile.exact_quantile``), never in a single task."""
+    from .quantile import exact_quantile
+
+    med = cut_lineage(median_rt(facts, task, rater, rt))
+    cut = exact_quantile(med, "med_rt", prob)
+    if cut is None:
+        return med.where(F.lit(False)).select(rater, task, "med_rt")
+    return med.where(F.col("med_rt") < F.lit(cut)).select(rater, task, "med_rt")
 
 
 # --------------------------------------------------------------------------

@@ -88,10 +88,12 @@ def hist_bins(x: Column, width: float) -> Column:
 def median_histogram(df: DataFrame, rater: str, task: str, rt: str, width: float, marker: float = 0.01) -> DataFrame:
     """Histogram of per-(rater, task) median rt, with the ``marker``
     quantile of the medians on every row."""
+    from ..session import cut_lineage
     from .quality import median_strict
+    from .quantile import exact_quantile
 
-    med = df.groupBy(rater, task).agg(median_strict(rt).alias("med_rt"))
-    cut = med.agg(F.percentile("med_rt", marker)).scalar()
+    med = cut_lineage(df.groupBy(rater, task).agg(median_strict(rt).alias("med_rt")))
+    cut = F.lit(exact_quantile(med, "med_rt", marker)).cast("double")
     return med.where(F.col("med_rt").isNotNull()).groupBy(hist_bins(F.col("med_rt"), width).alias("bin_start")).agg(
         F.count(F.lit(1)).cast("long").alias("n")
     ).withColumn("marker", cut)

@@ -127,3 +127,18 @@ def test_thresholds(spark):
                               "exp string, n long, icc_median double")
     got = {r.exp: (r.n_for_075, r.n_for_090) for r in RS.corridor_thresholds(s).collect()}
     assert got == {"A": (20, 30), "B": (None, None)}
+
+
+def test_exact_quantile_matches_numpy(spark):
+    from normsmith.operators.quantile import exact_quantile, kth_smallest
+
+    rng = np.random.default_rng(5)
+    vals = np.concatenate([rng.lognormal(3, 2, 5000), np.full(300, 7.25), rng.integers(0, 50, 2000).astype(float)])
+    df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "x double").repartition(6)
+    for p in (0.0, 0.01, 0.25, 0.5, 0.975, 1.0):
+        got = exact_quantile(df, "x", p, buckets=64, exact_limit=50)   # force several refinement passes
+        assert got == pytest.approx(float(np.quantile(vals, p)), rel=1e-12, abs=1e-12)
+    s = np.sort(vals)
+    for k in (0, 1, 299, 4000, len(vals) - 1):
+        assert kth_smallest(df, "x", k, buckets=16, exact_limit=10) == s[k]
+    assert exact_quantile(df.where("x is null"), "x", 0.5) is None
