@@ -151,3 +151,8 @@ def test_normalise_nulls(spark):
     assert got[0].a is None and got[0].b == "x" and got[1].b is None and got[1].c == 2
     r = spark.createDataFrame([("25.7",), ("abc",)], "s string").select(to_int_truncating(F.col("s")).alias("i")).collect()
     assert [x.i for x in r] == [25, None]
+
+
+def test_column_range(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "a int, b int, c int, d int")
+    assert RE.column_range(df, "b", "d") == ["b", "c", "d"]

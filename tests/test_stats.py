@@ -142,3 +142,16 @@ def test_exact_quantile_matches_numpy(spark):
     for k in (0, 1, 299, 4000, len(vals) - 1):
         assert kth_smallest(df, "x", k, buckets=16, exact_limit=10) == s[k]
     assert exact_quantile(df.where("x is null"), "x", 0.5) is None
+
+
+def test_task_subset_and_intervals(spark):
+    df = spark.createDataFrame([("attractive", "3"), ("anger", "x"), ("attractive (unstd)", "5")], "exp string, dv string")
+    assert [r.dv for r in AG.task_subset(df, tasks=["attractive"]).collect()] == [3.0]
+    assert sorted(r.exp for r in AG.task_subset(df, pattern="unstd").collect()) == ["attractive (unstd)"]
+    assert [r.dv for r in AG.task_subset(df, tasks=["anger"]).collect()] == [None]
+    means = spark.createDataFrame([("T", 1, float(v)) for v in range(10)], "exp string, sample_size long, mean_rating double")
+    r = ST.interval(means, 0.95, "normal").first()
+    half = 1.959963984540054 * np.std(np.arange(10), ddof=1) / math.sqrt(10)
+    assert r.ll == pytest.approx(4.5 - half) and r.ul == pytest.approx(4.5 + half)
+    with pytest.raises(ValueError):
+        ST.interval(means, 0.95, "bogus")
