@@ -11,7 +11,6 @@ into broadcasts at runtime (AQE) when the measured side is small.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -263,64 +262,97 @@ def exclusion_counts(ledger: DataFrame) -> DataFrame:
     return wide.unpivot([], list(LEDGER_COLUMNS) + ["total"], "reason", "n")
 
 
-@dataclass
 class Screening:
-    """All intermediate results of the screening flow (lazy DataFrames)."""
-
-    raw: DataFrame
-    firsts: DataFrame
-    tasks: DataFrame
-    incomplete: DataFrame
-    complete: DataFrame
-    exp_long: DataFrame
-    consistent: DataFrame
-    fast: DataFrame
-    honesty: DataFrame
-    attention: DataFrame
-    ledger: DataFrame
-    final: DataFrame
-    quest: DataFrame
-
-
-def screen(
-    raw: DataFrame,
-    quest_df: DataFrame,
-    order: Sequence[str],
-    tasks: DataFrame | None = None,
-    first_task_only: bool = True,
-    keep: str = "first",
-    scope: str = "session",
-    substring_task: object | None = None,
-    levels: DataFrame | None = None,
-    task: str = "exp",
-    rater: str = "session_id",
-    stim: str = "trial_name",
-    materialise: bool = True,
-    firsts: DataFrame | None = None,
-) -> Screening:
-    """Q1 -> Q2 -> (Q3) -> Q4..Q8 -> Q9 -> Q10/Q11.
+    """The screening flow Q1 -> Q2 -> (Q3) -> Q4..Q8 -> Q9 -> Q10/Q11.
 
-    The keep-first result is read by every later rule.  With
+    Every step is built on first access only (some steps run small jobs
+    when built, e.g. the global quantile of the overly-fast rule), so a
+    query that needs only the complete sessions does not pay for the
+    ledger.  The keep-first result is read by every later rule; with
     ``materialise`` it is checkpointed once into the shared checkpoint
     folder (when the session names one), so the raw log is scanned once
     instead of once per rule; it holds one row per (rater, task, trial)."""
-    if firsts is None:
-        firsts = keep_first(raw, [rater, task, stim], order)
-        if materialise:
-            firsts = cut_lineage(firsts)
-    if tasks is None:
-        tasks = trials_per_task(firsts, task, rater)
-    inc = incomplete_tasks(firsts, tasks, task, rater)
-    complete = drop_incomplete(firsts, inc, scope, task, rater)
-    exp_long = first_task(complete, keep, task, rater) if first_task_only else complete
-    cons = overly_consistent(exp_long, task=task, rater=rater, stim=stim)
-    fast = overly_fast(exp_long, task=task, rater=rater)
-    hon = honesty_failed(quest_df, rater)
-    att = attention_failed(exp_long, substring_task=substring_task, task=task, rater=rater, stim=stim)
-    led = exclusion_ledger(cons, fast, hon, att, task, rater)
-    final = apply_exclusions(exp_long, led, levels, task, rater, stim)
-    q = restrict_to(quest_df, final, rater)
-    return Screening(raw, firsts, tasks, inc, complete, exp_long, cons, fast, hon, att, led, final, q)
+
+    def __init__(self, raw, quest, order, tasks=None, first_task_only=True, keep="first", scope="session",
+                 substring_task=None, levels=None, task="exp", rater="session_id", stim="trial_name",
+                 materialise=True, firsts=None):
+        self.raw, self._quest_in, self.order = raw, quest, list(order)
+        self._tasks, self.first_task_only, self.keep, self.scope = tasks, first_task_only, keep, scope
+        self.substring_task, self.levels = substring_task, levels
+        self.task, self.rater, self.stim = task, rater, stim
+        self.materialise = materialise
+        self._cache: dict[str, DataFrame] = {}
+        if firsts is not None:
+            self._cache["firsts"] = firsts
+
+    def _get(self, name, build):
+        if name not in self._cache:
+            self._cache[name] = build()
+        return self._cache[name]
+
+    @property
+    def firsts(self) -> DataFrame:
+        def build():
+            out = keep_first(self.raw, [self.rater, self.task, self.stim], self.order)
+            return cut_lineage(out) if self.materialise else out
+
+        return self._get("firsts", build)
+
+    @property
+    def tasks(self) -> DataFrame:
+        return self._get("tasks", lambda: self._tasks if self._tasks is not None
+                         else trials_per_task(self.firsts, self.task, self.rater))
+
+    @property
+    def incomplete(self) -> DataFrame:
+        return self._get("incomplete", lambda: incomplete_tasks(self.firsts, self.tasks, self.task, self.rater))
+
+    @property
+    def complete(self) -> DataFrame:
+        return self._get("complete", lambda: drop_incomplete(self.firsts, self.incomplete, self.scope, self.task,
+                                                             self.rater))
+
+    @property
+    def exp_long(self) -> DataFrame:
+        return self._get("exp_long", lambda: first_task(self.complete, self.keep, self.task, self.rater)
+                         if self.first_task_only else self.complete)
+
+    @property
+    def consistent(self) -> DataFrame:
+        return self._get("consistent", lambda: overly_consistent(self.exp_long, task=self.task, rater=self.rater,
+                                                                 stim=self.stim))
+
+    @property
+    def fast(self) -> DataFrame:
+        return self._get("fast", lambda: overly_fast(self.exp_long, task=self.task, rater=self.rater))
+
+    @property
+    def honesty(self) -> DataFrame:
+        return self._get("honesty", lambda: honesty_failed(self._quest_in, self.rater))
+
+    @property
+    def attention(self) -> DataFrame:
+        return self._get("attention", lambda: attention_failed(self.exp_long, substring_task=self.substring_task,
+                                                               task=self.task, rater=self.rater, stim=self.stim))
+
+    @property
+    def ledger(self) -> DataFrame:
+        return self._get("ledger", lambda: exclusion_ledger(self.consistent, self.fast, self.honesty,
+                                                            self.attention, self.task, self.rater))
+
+    @property
+    def final(self) -> DataFrame:
+        return self._get("final", lambda: apply_exclusions(self.exp_long, self.ledger, self.levels, self.task,
+                                                           self.rater, self.stim))
+
+    @property
+    def quest(self) -> DataFrame:
+        return self._get("quest", lambda: restrict_to(self._quest_in, self.final, self.rater))
+
+
+def screen(raw: DataFrame, quest_df: DataFrame, order: Sequence[str], **kw) -> Screening:
+    """Build the screening flow (lazily; see ``Screening``)."""
+    return Screening(raw, quest_df, order, **kw)
 
 
 def flow_counts(s: Screening, task: str = "exp", rater: str = "session_id") -> DataFrame:
