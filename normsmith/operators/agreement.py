@@ -249,17 +249,22 @@ def cronbach_alpha(cells: DataFrame, min_values: int | None = 3, group: Sequence
 # R7  McDonald's omega total (one factor)
 # --------------------------------------------------------------------------
 def rater_gram(rect: DataFrame, group: Sequence[str] = ("exp",), rater: str = "session_id", stim: str = "trial_name",
-               value: str = "dv", n_blocks: int = 16) -> DataFrame:
+               value: str = "dv", n_blocks: int | None = None, block_cells: int = 250_000) -> DataFrame:
     """Cross-product sums between the raters of each group, computed block
-    by block: stimuli are hashed into ``n_blocks`` blocks, each (group,
-    block) makes its small stimuli x raters matrix in pandas and emits its
-    partial sums, and one aggregate adds the blocks up.  No rater pairs are
-    emitted per rating, and no group is gathered whole.
+    by block: stimuli are hashed into blocks, each (group, block) makes its
+    small stimuli x raters matrix in pandas and emits its partial sums, and
+    one aggregate adds the blocks up.  No rater pairs are emitted per
+    rating, and no group is gathered whole.  Without ``n_blocks`` the block
+    count is chosen so the largest group has about ``block_cells`` ratings
+    per block (one small aggregate).
 
     Returns (group..., rater_a, rater_b, n, s_a, s_b, s_aa, s_bb, s_ab)."""
     import numpy as np
 
     g = list(group)
+    if n_blocks is None:
+        largest = rect.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
+        n_blocks = max(1, -(-int(largest) // block_cells))
     blocks = rect.select(*g, rater, stim, F.col(value).cast("double").alias("__x")).withColumn(
         "__blk", F.pmod(F.xxhash64(F.col(stim).cast("string")), F.lit(n_blocks))
     )
@@ -341,7 +346,7 @@ def omega_from_corr(r) -> float:
 
 def omega_total(cells: DataFrame, min_values: int | None = 3, group: Sequence[str] = ("exp",),
                 rater: str = "session_id", stim: str = "trial_name", value: str = "dv",
-                n_blocks: int = 16) -> DataFrame:
+                n_blocks: int | None = None) -> DataFrame:
     """R7 per group: (group..., n_raters, omega_t).  Rater correlations are
     Spark aggregates (``rater_gram``); the one-factor fit runs per group on
     its k x k correlations in ``applyInPandas``."""

@@ -36,11 +36,34 @@ def hash_index(h: Column, m: Column) -> Column:
     return (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % m.cast("long")) + 1
 
 
+ALGOS = ("md5", "xxhash64")
+
+
+def sort_key(seed: int, parts, algo: str = "md5") -> Column:
+    """Pseudo-random sort key of a row from its key parts.  ``md5`` is
+    portable (the oracle SQL computes the same); ``xxhash64`` is Spark's
+    native 64-bit hash, several times cheaper per row for full-size runs."""
+    if algo == "md5":
+        return hash_key(seed, *parts)
+    if algo == "xxhash64":
+        return F.xxhash64(F.lit(int(seed)).cast("long"), *parts)
+    raise ValueError(f"algo must be one of {ALGOS}")
+
+
+def draw_index(seed: int, parts, m: Column, algo: str = "md5") -> Column:
+    """1-based draw index in 1..m from the hash of the draw's key."""
+    if algo == "md5":
+        return hash_index(hash_key(seed, *parts), m)
+    if algo == "xxhash64":
+        return F.pmod(F.xxhash64(F.lit(int(seed)).cast("long"), *parts), m.cast("long")) + 1
+    raise ValueError(f"algo must be one of {ALGOS}")
+
+
 # --------------------------------------------------------------------------
 # R4  ICC corridor
 # --------------------------------------------------------------------------
 def rater_samples(cells: DataFrame, n_seq: Sequence[int], n_iter: int, seed: int = 123, iter_start: int = 0,
-                  group: Sequence[str] = ("exp",), rater: str = "session_id") -> DataFrame:
+                  group: Sequence[str] = ("exp",), rater: str = "session_id", algo: str = "md5") -> DataFrame:
     """(group..., n, iter, rater): n raters drawn without replacement per
     (group, n, iter); sizes above the number of raters of a group are
     skipped, as in the reference.  The (n, iter) grid is generated by
@@ -50,7 +73,7 @@ def rater_samples(cells: DataFrame, n_seq: Sequence[int], n_iter: int, seed: int
     grid = raters.withColumn("n", F.explode(F.array(*[F.lit(int(n)).cast("long") for n in n_seq]))).withColumn(
         "iter", F.explode(F.sequence(F.lit(iter_start).cast("long"), F.lit(iter_start + n_iter - 1).cast("long")))
     )
-    h = hash_key(seed, *[F.col(c) for c in g], F.col("n"), F.col("iter"), F.col(rater))
+    h = sort_key(seed, [*[F.col(c) for c in g], F.col("n"), F.col("iter"), F.col(rater)], algo)
     part = Window.partitionBy(*g, "n", "iter")
     ranked = grid.withColumn("__rk", F.row_number().over(part.orderBy(h, F.col(rater)))).withColumn(
         "__avail", F.count(F.lit(1)).over(part)
@@ -60,12 +83,12 @@ def rater_samples(cells: DataFrame, n_seq: Sequence[int], n_iter: int, seed: int
 
 def icc_corridor(cells: DataFrame, n_seq: Sequence[int] = tuple(range(10, 101, 10)), n_iter: int = 500,
                  seed: int = 123, iter_start: int = 0, group: Sequence[str] = ("exp",), rater: str = "session_id",
-                 stim: str = "trial_name", value: str = "dv") -> DataFrame:
+                 stim: str = "trial_name", value: str = "dv", algo: str = "md5") -> DataFrame:
     """ICC(2,k) for every (group, n, iter) sample of raters, with the mean
     squares (for bounds).  No low-variety screen here (the reference does
     none); stimuli not answered by every sampled rater are left out."""
     g = list(group)
-    samples = rater_samples(cells, n_seq, n_iter, seed, iter_start, g, rater)
+    samples = rater_samples(cells, n_seq, n_iter, seed, iter_start, g, rater, algo)
     sampled = cells.join(samples, [*g, rater])
     key = [*g, "n", "iter"]
     rect = AG.complete_cases(sampled, key, rater, stim, value)
@@ -117,9 +140,19 @@ def centred(cells: DataFrame, group: Sequence[str] = ("exp",), stim: str = "tria
     )
 
 
+def work_partitions(df: DataFrame) -> int:
+    """Partitions for a generated workload: the session's shuffle
+    partitions or its default parallelism, whichever is larger (the
+    cluster's setting, never a fixed number)."""
+    spark = df.sparkSession
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(shuffle, spark.sparkContext.defaultParallelism)
+
+
 def bootstrap_means(cells: DataFrame, N: int = 100, iterations: int = 500, seed: int = 123, iter_start: int = 0,
                     group: Sequence[str] = ("exp",), stim: str = "trial_name", value: str = "dv",
-                    rater: str = "session_id", method: str = "auto", max_array: int = 100_000) -> DataFrame:
+                    rater: str = "session_id", method: str = "auto", max_array: int = 100_000,
+                    algo: str = "md5") -> DataFrame:
     """For every (group, stim), sample size n in 1..N and iteration, the
     mean of n centred ratings drawn with replacement.
 
@@ -140,29 +173,92 @@ def bootstrap_means(cells: DataFrame, N: int = 100, iterations: int = 500, seed:
     sizes = F.sequence(F.lit(1).cast("long"), F.lit(N).cast("long"))
     iters = F.sequence(F.lit(iter_start).cast("long"), F.lit(iter_start + iterations - 1).cast("long"))
 
-    def draw_hash(d: Column) -> Column:
-        return hash_key(seed, *[F.col(x) for x in g], F.col(stim), F.col("sample_size"), F.col("iteration"), d)
+    def pick(d: Column) -> Column:
+        if algo == "xxhash64":  # one base hash per mean row, then one 2-long hash per draw
+            return (F.pmod(F.xxhash64(F.col("__h"), d), F.col("m").cast("long")) + 1).cast("int")
+        parts = [*[F.col(x) for x in g], F.col(stim), F.col("sample_size"), F.col("iteration"), d]
+        return draw_index(seed, parts, F.col("m"), algo).cast("int")
+
+    def with_base(df: DataFrame) -> DataFrame:
+        if algo != "xxhash64":
+            return df
+        parts = [*[F.col(x) for x in g], F.col(stim), F.col("sample_size"), F.col("iteration")]
+        return df.withColumn("__h", sort_key(seed, parts, algo))
 
     if method == "array":
         per_stim = c.groupBy(*g, stim).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("pos", "rating_c"))), lambda x: x["rating_c"]).alias("__r"),
             F.max("m").alias("m"),
         )
-        grid = per_stim.withColumn("sample_size", F.explode(sizes)).withColumn("iteration", F.explode(iters))
+        # Few stimulus rows fan out into N x iterations means each: spread the
+        # (stimulus, size) rows over the cluster before the second explode,
+        # so the work is not left in the few tasks that hold the stimuli.
+        sized = per_stim.withColumn("sample_size", F.explode(sizes))
+        sized = sized.repartition(work_partitions(sized), *g, stim, "sample_size")
+        grid = with_base(sized.withColumn("iteration", F.explode(iters)))
         total = F.aggregate(
             F.sequence(F.lit(1).cast("long"), F.col("sample_size")),
             F.lit(0.0),
-            lambda acc, d: acc + F.element_at(F.col("__r"), hash_index(draw_hash(d), F.col("m")).cast("int")),
+            lambda acc, d: acc + F.element_at(F.col("__r"), pick(d)),
         )
         return grid.select(*g, stim, "sample_size", "iteration", (total / F.col("sample_size")).alias("mean_rating"))
     if method == "join":
         stims = c.groupBy(*g, stim).agg(F.max("m").alias("m"))
-        draws = (
-            stims.withColumn("sample_size", F.explode(sizes))
-            .withColumn("iteration", F.explode(iters))
-            .withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("sample_size"))))
+        sized = stims.withColumn("sample_size", F.explode(sizes))
+        sized = sized.repartition(work_partitions(sized), *g, stim, "sample_size")
+        draws = with_base(sized.withColumn("iteration", F.explode(iters))).withColumn(
+            "draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("sample_size")))
         )
-        draws = draws.withColumn("pos", hash_index(draw_hash(F.col("draw")), F.col("m")).cast("int"))
+        draws = draws.withColumn("pos", pick(F.col("draw")))
         picked = draws.join(c.select(*g, stim, "pos", "rating_c"), [*g, stim, "pos"])
         return picked.groupBy(*g, stim, "sample_size", "iteration").agg(F.avg("rating_c").alias("mean_rating"))
-    raise ValueError("method must be 'auto', 'array' or 'join'")
+    if method == "arrow":
+        return _bootstrap_arrow(c, g, stim, N, iterations, seed, iter_start)
+    raise ValueError("method must be 'auto', 'array', 'join' or 'arrow'")
+
+
+def _bootstrap_arrow(c: DataFrame, g: list[str], stim: str, N: int, iterations: int, seed: int,
+                     iter_start: int) -> DataFrame:
+    """Vectorised draws for full-size runs: one input row per (stimulus,
+    sample size) carrying the stimulus' ratings; NumPy draws all iterations
+    of that size at once with a Philox generator keyed by
+    ``xxhash64(seed, keys..., size)``, so the result does not depend on
+    partitioning or retries (but differs from the md5 draws)."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    per_stim = c.groupBy(*g, stim).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "rating_c"))), lambda x: x["rating_c"]).alias("__r")
+    )
+    sized = per_stim.withColumn("sample_size", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(N).cast("long"))))
+    sized = sized.withColumn(
+        "__key", sort_key(seed, [*[F.col(x) for x in g], F.col(stim), F.col("sample_size")], "xxhash64")
+    )
+    sized = sized.repartition(work_partitions(sized), *g, stim, "sample_size")
+    fields = [f for f in sized.schema.fields if f.name in (*g, stim)]
+    out_schema = T.StructType(fields + [
+        T.StructField("sample_size", T.LongType()), T.StructField("iteration", T.LongType()),
+        T.StructField("mean_rating", T.DoubleType()),
+    ])
+    iters = np.arange(iter_start, iter_start + iterations, dtype=np.int64)
+
+    key_names = [f.name for f in fields]
+
+    def draw(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            means, sizes = [], []
+            for r, n, key in zip(pdf["__r"], pdf["sample_size"], pdf["__key"]):
+                r = np.asarray(r, dtype=float)
+                rng = np.random.Generator(np.random.Philox(key=int(key) & 0xFFFFFFFFFFFFFFFF))
+                means.append(r[rng.integers(0, len(r), size=(iterations, int(n)))].mean(axis=1))
+            rows = np.repeat(np.arange(len(pdf)), iterations)
+            out = {k: pdf[k].to_numpy()[rows] for k in key_names}
+            out["sample_size"] = pdf["sample_size"].to_numpy()[rows]
+            out["iteration"] = np.tile(iters, len(pdf))
+            out["mean_rating"] = np.concatenate(means)
+            yield pd.DataFrame(out)[[f.name for f in out_schema.fields]]
+
+    return sized.mapInPandas(draw, out_schema)

@@ -106,10 +106,12 @@ class StabilityResult:
 def stability_stats(cells: DataFrame, N: int = 100, iterations: int = 500, ci_interval: float = 0.95,
                     ci_method: str = "percentile", cos_threshold: float = 0.5, seed: int = 123, iter_start: int = 0,
                     save_means: bool = False, group: Sequence[str] = ("exp",), stim: str = "trial_name",
-                    value: str = "dv", rater: str = "session_id", method: str = "auto") -> StabilityResult:
+                    value: str = "dv", rater: str = "session_id", method: str = "auto",
+                    algo: str = "md5") -> StabilityResult:
     """Centre -> resample -> interval per (group, N) -> POS.  The means
     stay a lazy plan; they are only materialised by a caller who asks."""
-    means = RS.bootstrap_means(cells, N, iterations, seed, iter_start, group, stim, value, rater, method)
+    means = RS.bootstrap_means(cells, N, iterations, seed, iter_start, group, stim, value, rater, method,
+                               algo=algo)
     cis = interval(means, ci_interval, ci_method, group)
     pos = point_of_stability(cis, cos_threshold, group=group)
     return StabilityResult(cis, pos, means if save_means else None)

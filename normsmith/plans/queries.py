@@ -646,3 +646,14 @@ def q_stim_attr(spark, sf):
     parts = name_parts(name)
     attrs = p.select(*[F.element_at(parts, i + 1).alias(c) for i, c in enumerate(["lab", "img", "type", "emo", "view"])])
     return attrs.where(F.col("view") == "front").select("lab", F.col("img").cast("long").alias("img"), "type", "emo")
+
+
+@register("point_of_stability_arrow")
+def q_pos_arrow(spark, sf):
+    """Same pipeline with the vectorised (Philox) draw engine for full-size
+    runs; its draws differ from the md5 ones, so it has no SQL twin."""
+    from ..operators import stability as ST
+
+    res = ST.stability_stats(flows.rating_cells(spark, sf), BOOT_N, BOOT_ITERS, cos_threshold=POS_THRESHOLD,
+                             seed=SEED, method="arrow")
+    return res.pos
