@@ -146,7 +146,12 @@ def median_strict(col: str) -> F.Column:
 
 
 def median_rt(facts: DataFrame, task: str = "exp", rater: str = "session_id", rt: str = "rt") -> DataFrame:
-    return facts.groupBy(rater, task).agg(median_strict(rt).alias("med_rt"))
+    """Median rt per (rater, task), null if any rt is missing.  Exact,
+    and safe when one rater's log holds a large share of all rows (see
+    ``quantile.grouped_quantile``)."""
+    from .quantile import grouped_quantile
+
+    return grouped_quantile(facts, [rater, task], rt, 0.5, strict=True, out="med_rt")
 
 
 def overly_fast(

@@ -64,3 +64,100 @@ def exact_quantile(df: DataFrame, col: str, p: float, **kw) -> float | None:
         return x_lo
     x_hi = kth_smallest(df, col, higher, **kw)
     return (higher - pos) * x_lo + (pos - lower) * x_hi
+
+
+def grouped_quantile(df: DataFrame, keys, col: str, p: float, limit: int = 1 << 20, buckets: int = 1 << 12,
+                     max_passes: int = 6, final_limit: int = 1 << 16, strict: bool = False,
+                     out: str = "q") -> DataFrame:
+    """Exact type-7 quantile of ``col`` per group, safe for hot groups.
+
+    Groups with at most ``limit`` values use Spark's ``percentile`` (its
+    buffer is bounded by the group).  The groups above ``limit`` -- at most
+    rows/limit of them, so their keys and small per-group state are safe to
+    broadcast -- are resolved by per-group histogram refinement: each pass
+    is one partial aggregate of (group, bucket) counts plus a window over at
+    most ``buckets`` rows per group, and the last step ranks only the
+    surviving candidates (at most about ``final_limit`` per group).  With
+    ``strict`` a group with any missing value gets null (R ``median``
+    without ``na.rm``)."""
+    from ..session import cut_lineage
+
+    k = list(keys)
+    base = df.select(*k, F.col(col).cast("double").alias("__v"))
+    stats = cut_lineage(base.groupBy(*k).agg(
+        F.count("__v").alias("__n"), F.count(F.lit(1)).alias("__all"),
+        F.min("__v").alias("__lo0"), F.max("__v").alias("__hi0")))
+    hot = cut_lineage(stats.where(F.col("__n") > limit))
+    if hot.count() == 0:
+        res = base.groupBy(*k).agg(F.percentile("__v", p).alias(out))
+    else:
+        small = base.join(F.broadcast(hot.select(*k)), k, "left_anti")
+        res = small.groupBy(*k).agg(F.percentile("__v", p).alias(out)).unionByName(
+            _hot_quantiles(base.where(F.col("__v").isNotNull()), hot, k, p, buckets, max_passes, final_limit, out))
+    if strict:
+        res = res.join(stats.select(*k, "__n", "__all"), k).select(
+            *k, F.when(F.col("__all") > F.col("__n"), F.lit(None)).otherwise(F.col(out)).alias(out))
+    return res
+
+
+def _bucket(i: int, buckets: int):
+    lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+    b = F.least(F.floor((F.col("__v") - lo) / ((hi - lo) / F.lit(float(buckets)))), F.lit(buckets - 1))
+    return F.when(hi > lo, b).otherwise(F.lit(0)).cast("long")
+
+
+def _kth_per_group(base: DataFrame, st: DataFrame, k: list, buckets: int, max_passes: int,
+                   final_limit: int) -> DataFrame:
+    """Per group the value at 0-based ``__rank`` among its non-null values;
+    ``st`` holds (keys, __rank, __lo0, __hi0) for a bounded set of groups."""
+    from functools import reduce
+
+    from pyspark.sql import Window
+
+    from ..session import cut_lineage
+
+    conds = []
+    last = 0
+    for i in range(max_passes):
+        rows = base.join(F.broadcast(st), k)
+        cand = rows.where(reduce(lambda a, b: a & b, conds)) if conds else rows
+        b = _bucket(i, buckets)
+        hist = cand.groupBy(*k, b.alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
+        cum = F.sum("__c").over(Window.partitionBy(*k).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))
+        hist = hist.withColumn("__cum", cum).join(F.broadcast(st.select(*k, "__rank")), k)
+        pick = hist.where((F.col("__cum") - F.col("__c") <= F.col("__rank")) & (F.col("__rank") < F.col("__cum")))
+        pick = pick.select(*k, F.col("__b").alias(f"__b{i}"),
+                           (F.col("__rank") - (F.col("__cum") - F.col("__c"))).alias("__rank_next"),
+                           F.col("__c").alias("__m"))
+        chosen = cand.join(F.broadcast(pick.select(*k, f"__b{i}")), k).where(b == F.col(f"__b{i}"))
+        rng = chosen.groupBy(*k).agg(F.min("__v").alias(f"__lo{i + 1}"), F.max("__v").alias(f"__hi{i + 1}"))
+        st = cut_lineage(st.drop("__m").join(pick, k).drop("__rank").withColumnRenamed("__rank_next", "__rank")
+                         .join(rng, k))
+        conds.append(b == F.col(f"__b{i}"))
+        last = i + 1
+        open_groups = st.where((F.col("__m") > final_limit) & (F.col(f"__lo{last}") < F.col(f"__hi{last}")))
+        if open_groups.count() == 0:
+            break
+    lo, hi = F.col(f"__lo{last}"), F.col(f"__hi{last}")
+    settled = st.where(lo == hi).select(*k, lo.alias("__x"))
+    rows = base.join(F.broadcast(st.where(lo < hi)), k)
+    cand = rows.where(reduce(lambda a, b: a & b, conds))
+    ranked = cand.select(*k, "__v", "__rank", (F.row_number().over(Window.partitionBy(*k).orderBy("__v")) - 1)
+                         .alias("__i"))
+    picked = ranked.where(F.col("__i") == F.col("__rank")).select(*k, F.col("__v").alias("__x"))
+    return settled.unionByName(picked)
+
+
+def _hot_quantiles(base: DataFrame, hot: DataFrame, k: list, p: float, buckets: int, max_passes: int,
+                   final_limit: int, out: str) -> DataFrame:
+    pos = (F.col("__n") - 1).cast("double") * F.lit(p)
+    state = hot.select(*k, pos.alias("__pos"), F.floor(pos).cast("long").alias("__r0"),
+                       F.ceil(pos).cast("long").alias("__r1"), "__lo0", "__hi0")
+    x0 = _kth_per_group(base, state.select(*k, F.col("__r0").alias("__rank"), "__lo0", "__hi0"), k, buckets,
+                        max_passes, final_limit).withColumnRenamed("__x", "__x0")
+    x1 = _kth_per_group(base, state.select(*k, F.col("__r1").alias("__rank"), "__lo0", "__hi0"), k, buckets,
+                        max_passes, final_limit).withColumnRenamed("__x", "__x1")
+    j = state.join(x0, k).join(x1, k)
+    val = F.when(F.col("__r0") == F.col("__r1"), F.col("__x0")).otherwise(
+        (F.col("__r1") - F.col("__pos")) * F.col("__x0") + (F.col("__pos") - F.col("__r0")) * F.col("__x1"))
+    return j.select(*k, val.alias(out))

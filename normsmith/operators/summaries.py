@@ -89,10 +89,10 @@ def median_histogram(df: DataFrame, rater: str, task: str, rt: str, width: float
     """Histogram of per-(rater, task) median rt, with the ``marker``
     quantile of the medians on every row."""
     from ..session import cut_lineage
-    from .quality import median_strict
+    from .quality import median_rt
     from .quantile import exact_quantile
 
-    med = cut_lineage(df.groupBy(rater, task).agg(median_strict(rt).alias("med_rt")))
+    med = cut_lineage(median_rt(df, task, rater, rt))
     cut = F.lit(exact_quantile(med, "med_rt", marker)).cast("double")
     return med.where(F.col("med_rt").isNotNull()).groupBy(hist_bins(F.col("med_rt"), width).alias("bin_start")).agg(
         F.count(F.lit(1)).cast("long").alias("n")

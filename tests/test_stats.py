@@ -179,3 +179,21 @@ def test_arrow_engine_reproducible(cells01):
     for r in a:
         if r.sample_size == 1:
             assert any(abs(r.mean_rating - v) < 1e-12 for v in vals[(r.exp, r.trial_name)])
+
+
+def test_grouped_quantile_hot_groups(spark):
+    from normsmith.operators.quantile import grouped_quantile
+
+    rng = np.random.default_rng(1)
+    rows = [("hot", float(v)) for v in rng.lognormal(2, 1.5, 20000)]
+    rows += [("tie", 3.5)] * 3000 + [("tie", 9.0)] * 10
+    rows += [("small", float(v)) for v in (1, 2, 3, 10)] + [("nul", 1.0), ("nul", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(7)
+    for p in (0.5, 0.01, 0.9):
+        got = {r.g: r.q for r in grouped_quantile(df, ["g"], "x", p, limit=500, buckets=32, final_limit=100).collect()}
+        want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("x", p).alias("q")).collect()}
+        assert set(got) == set(want)
+        for g in want:
+            assert got[g] == pytest.approx(want[g], rel=1e-12), (g, p)
+    strict = {r.g: r.q for r in grouped_quantile(df, ["g"], "x", 0.5, limit=500, strict=True).collect()}
+    assert strict["nul"] is None and strict["small"] == 2.5
