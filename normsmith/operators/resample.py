@@ -65,20 +65,29 @@ def draw_index(seed: int, parts, m: Column, algo: str = "md5") -> Column:
 def rater_samples(cells: DataFrame, n_seq: Sequence[int], n_iter: int, seed: int = 123, iter_start: int = 0,
                   group: Sequence[str] = ("exp",), rater: str = "session_id", algo: str = "md5") -> DataFrame:
     """(group..., n, iter, rater): n raters drawn without replacement per
-    (group, n, iter); sizes above the number of raters of a group are
-    skipped, as in the reference.  The (n, iter) grid is generated by
-    ``explode`` on each rater row (no join)."""
+    (group, n, iter) = the n raters with the smallest hash keys; sizes above
+    the number of raters of a group are skipped, as in the reference.
+
+    One ranking per size with a literal bound (``row_number <= n``), so
+    Spark keeps only the n smallest per map task before the shuffle
+    (partial window-group limit): a task with millions of raters never
+    ranks them all in one place.  The iteration grid comes from
+    ``explode`` (no join)."""
+    from functools import reduce
+
     g = list(group)
     raters = cells.select(*g, rater).distinct()
-    grid = raters.withColumn("n", F.explode(F.array(*[F.lit(int(n)).cast("long") for n in n_seq]))).withColumn(
-        "iter", F.explode(F.sequence(F.lit(iter_start).cast("long"), F.lit(iter_start + n_iter - 1).cast("long")))
-    )
-    h = sort_key(seed, [*[F.col(c) for c in g], F.col("n"), F.col("iter"), F.col(rater)], algo)
-    part = Window.partitionBy(*g, "n", "iter")
-    ranked = grid.withColumn("__rk", F.row_number().over(part.orderBy(h, F.col(rater)))).withColumn(
-        "__avail", F.count(F.lit(1)).over(part)
-    )
-    return ranked.where((F.col("__rk") <= F.col("n")) & (F.col("n") <= F.col("__avail"))).select(*g, "n", "iter", rater)
+    avail = raters.groupBy(*g).agg(F.count(F.lit(1)).alias("__avail"))
+    iters = F.explode(F.sequence(F.lit(iter_start).cast("long"), F.lit(iter_start + n_iter - 1).cast("long")))
+    parts = []
+    for n in n_seq:
+        grid = raters.withColumn("n", F.lit(int(n)).cast("long")).withColumn("iter", iters)
+        h = sort_key(seed, [*[F.col(c) for c in g], F.col("n"), F.col("iter"), F.col(rater)], algo)
+        w = Window.partitionBy(*g, "iter").orderBy(h, F.col(rater))
+        parts.append(grid.withColumn("__rk", F.row_number().over(w)).where(F.col("__rk") <= int(n))
+                     .select(*g, "n", "iter", rater))
+    samples = reduce(DataFrame.unionByName, parts)
+    return samples.join(avail, g).where(F.col("n") <= F.col("__avail")).select(*g, "n", "iter", rater)
 
 
 def icc_corridor(cells: DataFrame, n_seq: Sequence[int] = tuple(range(10, 101, 10)), n_iter: int = 500,

@@ -197,3 +197,20 @@ def test_grouped_quantile_hot_groups(spark):
             assert got[g] == pytest.approx(want[g], rel=1e-12), (g, p)
     strict = {r.g: r.q for r in grouped_quantile(df, ["g"], "x", 0.5, limit=500, strict=True).collect()}
     assert strict["nul"] is None and strict["small"] == 2.5
+
+
+def test_percentile_interval_large_groups(spark):
+    rng = np.random.default_rng(3)
+    rows = [("T", 1, float(v)) for v in rng.normal(0, 1, 3000)] + [("T", 2, float(v)) for v in range(10)]
+    df = spark.createDataFrame(rows, "exp string, sample_size long, mean_rating double").repartition(4)
+    a = {r.sample_size: (r.ll, r.ul) for r in ST.percentile_interval(df).collect()}
+    b = {r.sample_size: (r.ll, r.ul) for r in ST.percentile_interval(df, limit=100).collect()}
+    assert a == b
+    s = sorted(v for _, n, v in rows if n == 1)
+    assert a[1] == (s[75 - 1], s[3000 - 75 - 1])
+
+
+def test_rater_samples_sizes(cells01):
+    s = RS.rater_samples(cells01, (3, 25), 4, 5)
+    counts = {(r.exp, r.n, r.iter): r["count"] for r in s.groupBy("exp", "n", "iter").count().collect()}
+    assert set(counts.values()) == {3} and len(counts) == 12   # n = 25 exceeds the 20 raters: skipped
