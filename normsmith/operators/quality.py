@@ -26,10 +26,12 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     """One row per ``keys``: the row that sorts first by ``order``
     (ascending, nulls last), i.e. ``arrange(keys, order) |> distinct(keys)``.
 
-    Written as ``min(struct(order..., payload...))`` per key: a hash/sort
-    aggregate with a partial (map-side) step, so a key holding a third of
-    all rows is reduced inside every map task before the shuffle; no sort of
-    a whole group in one task.
+    Written as ``min(struct(order..., payload...))`` per key: an aggregate
+    with a partial (map-side) step, so a key holding a third of all rows is
+    reduced inside every map task before the shuffle; no sort of a whole
+    group in one task.  A struct buffer makes Spark use its sort-based
+    aggregate; grouping by a 64-bit hash of the key first (it adds no
+    groups) gives that sort a distinct 8-byte prefix to radix-sort on.
     """
     keys = list(keys)
     order = list(order)
@@ -40,7 +42,7 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
         fields.append(F.col(c).alias(c))
     fields += [F.col(c).alias(c) for c in rest]
     first = F.min(F.struct(*fields)).alias("__first")
-    out = df.groupBy(*keys).agg(first)
+    out = df.withColumn("__kh", F.xxhash64(*keys)).groupBy("__kh", *keys).agg(first)
     return out.select(*keys, *[F.col(f"__first.{c}").alias(c) for c in order + rest]).select(*df.columns)
 
 
