@@ -51,18 +51,25 @@ def kth_smallest(df: DataFrame, col: str, k: int, buckets: int = 1 << 14, exact_
     return None if row is None else row["__v"]
 
 
-def exact_quantile(df: DataFrame, col: str, p: float, **kw) -> float | None:
+def exact_quantile(df: DataFrame, col: str, p: float, exact_limit: int = 1 << 16, **kw) -> float | None:
     """Type-7 quantile (linear interpolation between order statistics, as R
-    ``quantile`` and Spark ``percentile``) of the non-null values."""
-    n = df.where(F.col(col).isNotNull()).count()
+    ``quantile`` and Spark ``percentile``) of the non-null values.  A small
+    input is answered by one ordered fetch of the two neighbouring values;
+    a large one by ``kth_smallest`` refinement."""
+    vals = df.select(F.col(col).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    n = vals.count()
     if n == 0:
         return None
     pos = (n - 1) * p
     lower, higher = math.floor(pos), math.ceil(pos)
-    x_lo = kth_smallest(df, col, lower, **kw)
+    if n <= exact_limit:
+        got = [r["__v"] for r in vals.orderBy("__v").offset(lower).limit(higher - lower + 1).collect()]
+        x_lo, x_hi = got[0], got[-1]
+    else:
+        x_lo = kth_smallest(vals, "__v", lower, exact_limit=exact_limit, **kw)
+        x_hi = x_lo if higher == lower else kth_smallest(vals, "__v", higher, exact_limit=exact_limit, **kw)
     if higher == lower:
         return x_lo
-    x_hi = kth_smallest(df, col, higher, **kw)
     return (higher - pos) * x_lo + (pos - lower) * x_hi
 
 
@@ -87,7 +94,7 @@ def grouped_quantile(df: DataFrame, keys, col: str, p: float, limit: int = 1 <<
     stats = cut_lineage(base.groupBy(*k).agg(
         F.count("__v").alias("__n"), F.count(F.lit(1)).alias("__all"),
         F.min("__v").alias("__lo0"), F.max("__v").alias("__hi0")))
-    hot = cut_lineage(stats.where(F.col("__n") > limit))
+    hot = stats.where(F.col("__n") > limit)
     if hot.count() == 0:
         res = base.groupBy(*k).agg(F.percentile("__v", p).alias(out))
     else:
