@@ -155,7 +155,10 @@ def work_partitions(df: DataFrame) -> int:
     cluster's setting, never a fixed number)."""
     spark = df.sparkSession
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(shuffle, spark.sparkContext.defaultParallelism)
+    try:
+        return max(shuffle, spark.sparkContext.defaultParallelism)
+    except Exception:  # Spark Connect
+        return shuffle
 
 
 def bootstrap_means(cells: DataFrame, N: int = 100, iterations: int = 500, seed: int = 123, iter_start: int = 0,

@@ -36,15 +36,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared checkpoint folder the cluster names, if any."""
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir()
-    if d:
-        return d
-    d = sc.getConf().get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder the cluster names, if any (works on a
+    classic session and, through the SQL conf only, on Spark Connect)."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        sc = None
+    if sc is not None:
+        d = sc.getCheckpointDir()
+        if d:
+            return d
+        d = sc.getConf().get("spark.checkpoint.dir", None)
+    else:
+        d = None
     if not d:
-        d = spark.conf.get("spark.checkpoint.dir", None)
-    if d:
+        try:
+            d = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:
+            d = None
+    if d and sc is not None:
         sc.setCheckpointDir(d)
     return d or None
 
