@@ -101,6 +101,27 @@ def trial_dimension(components: DataFrame) -> DataFrame:
     )
 
 
+def task_trials(components: DataFrame) -> DataFrame:
+    """P1 + P2 in one pass: every trial of each ``exp`` component with its
+    task's columns (no second parse of the components, no join back)."""
+    exps = components.where(F.col("component_type") == "exp")
+    t = exps.select(
+        F.col("id").alias("exp_id"),
+        task_label(F.col("res_name")).alias("exp"),
+        F.size("trial").cast("long").alias("trials"),
+        F.size("stimuli").cast("long").alias("stim"),
+        "stimuli",
+        F.explode("trial").alias("t"),
+    )
+    return t.select(
+        "exp_id", "exp", "trials", "stim",
+        F.col("t.trial_n").alias("n"),
+        strip_prefix(F.col("t.name")).alias("name"),
+        F.col("t.center_img").alias("img_id"),
+        F.element_at(F.col("stimuli"), F.col("t.center_img").cast("string")).alias("img_path"),
+    )
+
+
 def components_from_json(df: DataFrame, col: str) -> DataFrame:
     """S9 on a text column: each value is a JSON array of components."""
     return df.select(F.explode(F.from_json(F.col(col), PROJECT)).alias("c")).select("c.*")

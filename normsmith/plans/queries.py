@@ -363,9 +363,7 @@ def q_json(spark, sf):
     from ..operators import reshape as RE
 
     comps = RE.components_from_json(packed_projects(spark, sf), "project")
-    tasks = RE.task_dimension(comps).select("exp_id", "exp", "trials", "stim")
-    trials = RE.trial_dimension(comps)
-    return trials.join(tasks, "exp_id").select("exp_id", "exp", "trials", "stim", "n", "name", "img_id", "img_path")
+    return RE.task_trials(comps)
 
 
 @register("content_fingerprint")

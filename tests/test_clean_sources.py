@@ -156,3 +156,13 @@ def test_normalise_nulls(spark):
 def test_column_range(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], "a int, b int, c int, d int")
     assert RE.column_range(df, "b", "d") == ["b", "c", "d"]
+
+
+def test_task_trials_matches_dimensions(spark):
+    from normsmith.plans.queries import packed_projects
+
+    comps = RE.components_from_json(packed_projects(spark, SF001), "project").cache()
+    one = RE.task_trials(comps)
+    two = RE.trial_dimension(comps).join(RE.task_dimension(comps).select("exp_id", "exp", "trials", "stim"), "exp_id")
+    assert one.count() == two.count() > 0
+    assert one.exceptAll(two.select(*one.columns)).count() == 0
