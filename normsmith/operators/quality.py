@@ -140,13 +140,6 @@ def overly_consistent(
 # --------------------------------------------------------------------------
 # Q6  overly fast
 # --------------------------------------------------------------------------
-def median_strict(col: str) -> F.Column:
-    """Median that is null when any value is missing (R ``median`` without
-    ``na.rm``).  ``median`` is Spark's exact percentile: its buffer is a
-    value->count map merged map-side, so memory follows distinct values."""
-    return F.when(F.count(F.lit(1)) > F.count(col), F.lit(None)).otherwise(F.median(col))
-
-
 def median_rt(facts: DataFrame, task: str = "exp", rater: str = "session_id", rt: str = "rt") -> DataFrame:
     """Median rt per (rater, task), null if any rt is missing.  Exact,
     and safe when one rater's log holds a large share of all rows (see

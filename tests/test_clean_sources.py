@@ -3,9 +3,7 @@
 import os
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from conftest import SF001
 from normsmith.functions.text import first_match_removed, format_p, split_parts, strip_prefix, task_label

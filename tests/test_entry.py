@@ -3,7 +3,6 @@ and where oracle SQL exists, DuckDB gives the same rows."""
 
 import os
 import sys
-from collections import Counter
 
 import duckdb
 import pytest
