@@ -133,9 +133,12 @@ def stability_stats(cells: DataFrame, N: int = 100, iterations: int = 500, ci_in
                     value: str = "dv", rater: str = "session_id", method: str = "auto",
                     algo: str = "md5") -> StabilityResult:
     """Centre -> resample -> interval per (group, N) -> POS.  The means
-    stay a lazy plan; they are only materialised by a caller who asks."""
-    means = RS.bootstrap_means(cells, N, iterations, seed, iter_start, group, stim, value, rater, method,
-                               algo=algo)
+    are checkpointed once (when a checkpoint folder is configured): the
+    interval reads them twice (group sizes, then ranks)."""
+    from ..session import cut_lineage
+
+    means = cut_lineage(RS.bootstrap_means(cells, N, iterations, seed, iter_start, group, stim, value, rater, method,
+                                           algo=algo))
     cis = interval(means, ci_interval, ci_method, group)
     pos = point_of_stability(cis, cos_threshold, group=group)
     return StabilityResult(cis, pos, means if save_means else None)

@@ -199,8 +199,9 @@ def q_thresholds(spark, sf):
 
 def _means(spark, sf):
     from ..operators import resample as RS
+    from ..session import cut_lineage
 
-    return RS.bootstrap_means(flows.rating_cells(spark, sf), BOOT_N, BOOT_ITERS, SEED)
+    return cut_lineage(RS.bootstrap_means(flows.rating_cells(spark, sf), BOOT_N, BOOT_ITERS, SEED))
 
 
 @register("bootstrap_means")
