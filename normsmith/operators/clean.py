@@ -24,10 +24,22 @@ def lookup_table(spark: SparkSession, pairs: Iterable[tuple[str, str | None]], k
     return spark.createDataFrame(rows, f"`{key}` string, `{out}` string")
 
 
-def recode(df: DataFrame, col: str, table: DataFrame, out: str, keep_na_label: bool = False) -> DataFrame:
+def check_unique(table: DataFrame, key: str) -> None:
+    """Raise if a (small) dimension has a repeated key: a join against it
+    would silently multiply fact rows."""
+    dup = table.groupBy(key).count().where(F.col("count") > 1).limit(5).collect()
+    if dup:
+        raise ValueError(f"repeated keys in lookup table: {[r[key] for r in dup]}")
+
+
+def recode(df: DataFrame, col: str, table: DataFrame, out: str, keep_na_label: bool = False,
+           check: bool = True) -> DataFrame:
     """P10 + P15 + J1: lower-case ``col``, left-join the recode table,
     unmatched -> null.  The label text ``NA`` becomes null unless
-    ``keep_na_label`` (the reference keeps it as text)."""
+    ``keep_na_label`` (the reference keeps it as text).  The table is a
+    small dimension (broadcast); its keys are checked for repeats first."""
+    if check:
+        check_unique(table, table.columns[0])
     dim = table.withColumnRenamed(table.columns[0], "__rk")
     lowered = df.withColumn(col, F.lower(F.col(col)))
     joined = lowered.join(F.broadcast(dim), F.col(col) == F.col("__rk"), "left").drop("__rk")

@@ -152,9 +152,14 @@ def agreement(data_exp: DataFrame, cfg: StudyConfig | None = None) -> dict[str,
     return out
 
 
+# Fact tables are written partitioned by task, so a task subset read later
+# prunes whole directories.
+PARTITION_BY = {"data_exp": ["exp"], "exp_long": ["exp_id"]}
+
+
 def write_all(tables: dict[str, DataFrame], out_dir: str) -> None:
     for name, df in tables.items():
-        FS.write_table(df, f"{out_dir.rstrip('/')}/{name}")
+        FS.write_table(df, f"{out_dir.rstrip('/')}/{name}", partition_by=PARTITION_BY.get(name))
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -164,3 +164,12 @@ def test_task_trials_matches_dimensions(spark):
     two = RE.trial_dimension(comps).join(RE.task_dimension(comps).select("exp_id", "exp", "trials", "stim"), "exp_id")
     assert one.count() == two.count() > 0
     assert one.exceptAll(two.select(*one.columns)).count() == 0
+
+
+def test_recode_table_with_repeated_key_is_rejected(spark, tmp_path):
+    rec = tmp_path / "rec.csv"
+    rec.write_text("gender,gender_rec\nmulher,female\nmulher,woman\n")
+    table = FS.read_csv(spark, str(rec), "gender string, gender_rec string", null_value="", tokens=None)
+    df = spark.createDataFrame([("Mulher",)], "gender string")
+    with pytest.raises(ValueError):
+        CL.recode(df, "gender", table, "gender_rec")
