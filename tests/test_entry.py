@@ -46,3 +46,23 @@ def test_query_against_oracle(spark, duck, name):
     cols = [d[0] for d in res.description]
     assert sorted(cols) == sorted(df.columns)
     assert rows_of(df.columns, rows) == rows_of(cols, res.fetchall())
+
+
+def test_udf_queries_from_another_directory(tmp_path):
+    """Python workers must not need the package on their path: run the
+    UDF-backed queries in a fresh process whose working directory is not
+    the repository."""
+    import subprocess
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "for n in ['icc2k_bounds', 'omega_total', 'paired_t_p', 'point_of_stability_arrow']:\n"
+        "    print(n, E.queries()[n](spark, %r).count())\n"
+    ) % (repo, SF001)
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert "omega_total 3" in out.stdout and "paired_t_p 1" in out.stdout
