@@ -337,8 +337,13 @@ class Screening:
 
     @property
     def ledger(self) -> DataFrame:
-        return self._get("ledger", lambda: exclusion_ledger(self.consistent, self.fast, self.honesty,
-                                                            self.attention, self.task, self.rater))
+        """One row per excluded (rater, task); read by the final data, the
+        questionnaire and the flow counts, so it is checkpointed once."""
+        def build():
+            led = exclusion_ledger(self.consistent, self.fast, self.honesty, self.attention, self.task, self.rater)
+            return cut_lineage(led) if self.materialise else led
+
+        return self._get("ledger", build)
 
     @property
     def final(self) -> DataFrame:
