@@ -8,6 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values (they must equal the source exports): the pattern of the
+# title prefix removed from task resource names, a title carrying that
+# prefix, and the folder prefixes removed from trial names.
+TITLE_PATTERN = "ManyFaces? Pilot Ratings: "
+TITLE_EXAMPLE = "ManyFaces Pilot Ratings: "
+TRIAL_FOLDERS = ("manyfaces", "attention_checks")
+
 
 def first_match_removed(col: Column, pattern: str) -> Column:
     """R ``sub(pattern, "", x)``: remove the leftmost match only
@@ -15,7 +22,7 @@ def first_match_removed(col: Column, pattern: str) -> Column:
     return F.regexp_replace(col, F.lit(f"^(.*?){pattern}"), F.lit("$1"))
 
 
-def strip_prefix(col: Column, prefixes: tuple[str, ...] = ("manyfaces", "attention_checks")) -> Column:
+def strip_prefix(col: Column, prefixes: tuple[str, ...] = TRIAL_FOLDERS) -> Column:
     """Drop a leading ``<prefix>/``."""
     alt = "|".join(prefixes)
     return F.regexp_replace(col, F.lit(f"^({alt})/"), F.lit(""))
@@ -24,7 +31,7 @@ def strip_prefix(col: Column, prefixes: tuple[str, ...] = ("manyfaces", "attenti
 def task_label(res_name: Column) -> Column:
     """Task label from the resource name (first match of the title
     prefix removed, then trimmed)."""
-    return F.trim(first_match_removed(res_name, "ManyFaces? Pilot Ratings: "))
+    return F.trim(first_match_removed(res_name, TITLE_PATTERN))
 
 
 def split_parts(col: Column, delim: str, names: tuple[str, ...], require: bool = True) -> list[Column]:

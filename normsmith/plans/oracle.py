@@ -347,6 +347,7 @@ ORACLE.update({
 
 # ---------------------------------------------------------------- batch 3
 def _batch3() -> dict[str, str]:
+    from ..functions.text import TITLE_EXAMPLE, TITLE_PATTERN
     from . import adapters as AD
 
     flags = ", ".join(f"cast((c_custkey >> {i}) & 1 as integer) as {n}" for i, n in enumerate(
@@ -395,10 +396,10 @@ from (select *, concat(cast(1950 + c_custkey % 40 as varchar), '-', lpad(cast(c_
 where c_mktsegment in ('AUTOMOBILE', 'BUILDING') and o_orderstatus in ('F', 'O')""",
         "distinct_trials": """select distinct user_id as session_id, event_type as exp, value as rt, props from events
 where event_type in ('click', 'view', 'purchase')""",
-        "json_flatten": """with lines as (select l_orderkey, count(*) as trials, count(distinct l_partkey) as stim
+        "json_flatten": f"""with lines as (select l_orderkey, count(*) as trials, count(distinct l_partkey) as stim
                from lineitem group by l_orderkey)
 select o_orderkey as exp_id,
-  trim(regexp_replace('ManyFaces Pilot Ratings: ' || lower(o_orderpriority), 'ManyFaces? Pilot Ratings: ', '')) as exp,
+  trim(regexp_replace('{TITLE_EXAMPLE}' || lower(o_orderpriority), '{TITLE_PATTERN}', '')) as exp,
   lines.trials, lines.stim, cast(l_linenumber as bigint) as n, 's' || cast(l_partkey % 50 as varchar) as name,
   l_partkey as img_id, 'img/' || cast(l_partkey as varchar) || '.jpg' as img_path
 from orders join lineitem on o_orderkey = lineitem.l_orderkey join lines on lines.l_orderkey = o_orderkey

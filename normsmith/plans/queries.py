@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import TITLE_EXAMPLE, TRIAL_FOLDERS
 from ..operators import agreement as AG
 from ..operators import quality as Q
 from . import flows
@@ -337,7 +338,7 @@ def packed_projects(spark, sf):
     trials = li.groupBy("l_orderkey").agg(
         F.collect_list(F.struct(
             F.col("l_linenumber").cast("long").alias("trial_n"),
-            F.concat(F.lit("manyfaces/s"), (F.col("l_partkey") % 50).cast("string")).alias("name"),
+            F.concat(F.lit(TRIAL_FOLDERS[0] + "/s"), (F.col("l_partkey") % 50).cast("string")).alias("name"),
             F.col("l_partkey").alias("center_img"),
         )).alias("trial"),
         F.map_from_entries(F.array_distinct(F.collect_list(F.struct(
@@ -349,7 +350,7 @@ def packed_projects(spark, sf):
             F.when(F.col("o_orderstatus") == "F", "exp").otherwise("other").alias("component_type"),
             F.col("o_orderkey").alias("id"),
             F.concat(F.lit("task_"), F.col("o_orderkey").cast("string")).alias("name"),
-            F.concat(F.lit("ManyFaces Pilot Ratings: "), F.lower("o_orderpriority")).alias("res_name"),
+            F.concat(F.lit(TITLE_EXAMPLE), F.lower("o_orderpriority")).alias("res_name"),
             F.lit("rating").alias("exptype"),
             F.size("trial").cast("long").alias("total_stim"),
             "trial",

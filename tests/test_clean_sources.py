@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from normsmith.functions.text import TITLE_EXAMPLE, TRIAL_FOLDERS
 from conftest import SF001
 from normsmith.functions.text import first_match_removed, format_p, split_parts, strip_prefix, task_label
 from normsmith.operators import clean as CL
@@ -68,9 +69,9 @@ def test_eav_repeated_answer(spark):
 
 def test_project_json_file(spark, tmp_path):
     proj = [
-        {"component_type": "exp", "id": 1384, "name": "attr", "res_name": "ManyFaces Pilot Ratings: attractive",
+        {"component_type": "exp", "id": 1384, "name": "attr", "res_name": TITLE_EXAMPLE + "attractive",
          "exptype": "rating", "total_stim": 2,
-         "trial": [{"trial_n": 1, "name": "manyfaces/lab1_m1", "center_img": 11},
+         "trial": [{"trial_n": 1, "name": TRIAL_FOLDERS[0] + "/lab1_m1", "center_img": 11},
                    {"trial_n": 2, "name": "attention_checks/check_o_3", "center_img": 12}],
          "stimuli": {"11": "img/a.jpg", "12": "img/b.jpg"}},
         {"component_type": "quest", "id": 9, "name": "q", "res_name": "Questionnaire", "trial": [], "stimuli": {}},

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from normsmith.functions.text import TITLE_EXAMPLE, TRIAL_FOLDERS
 from conftest import SF01
 from normsmith.plans import study
 from normsmith.sources import files as FS
@@ -19,7 +20,7 @@ def exports(spark, tmp_path_factory):
     r = S.ratings(spark, SF01)
     exp_id = F.when(F.col("exp") == "A", 1384).when(F.col("exp") == "N", 1385).otherwise(1386)
     name = F.when(F.col("trial_name").startswith("check_"), F.concat(F.lit("attention_checks/"), "trial_name")) \
-        .otherwise(F.concat(F.lit("manyfaces/"), "trial_name"))
+        .otherwise(F.concat(F.lit(TRIAL_FOLDERS[0] + "/"), "trial_name"))
     trials = r.select(
         "session_id", F.lit(1136).alias("project_id"), F.lit("x").alias("exp_name"), exp_id.alias("exp_id"),
         F.col("session_id").alias("user_id"), F.lit("f").alias("user_sex"), F.lit("guest").alias("user_status"),
@@ -41,11 +42,11 @@ def exports(spark, tmp_path_factory):
     FS.write_table(quest, str(d / "quest"), fmt="csv")
     comps = []
     for code, (eid, label) in EXP_IDS.items():
-        trials_list = [{"trial_n": i + 1, "name": f"manyfaces/s{i}", "center_img": i} for i in range(50)]
+        trials_list = [{"trial_n": i + 1, "name": f"{TRIAL_FOLDERS[0]}/s{i}", "center_img": i} for i in range(50)]
         trials_list += [{"trial_n": 51 + j, "name": f"attention_checks/check_{s}_{k}", "center_img": 100 + j}
                         for j, (s, k) in enumerate([(s, k) for s in "fo" for k in range(1, 8)])]
         comps.append({"component_type": "exp", "id": eid, "name": label,
-                      "res_name": f"ManyFaces Pilot Ratings: {label}", "exptype": "rating", "total_stim": 64,
+                      "res_name": TITLE_EXAMPLE + label, "exptype": "rating", "total_stim": 64,
                       "trial": trials_list, "stimuli": {str(t["center_img"]): f"img/{t['center_img']}.jpg"
                                                          for t in trials_list}})
     comps.append({"component_type": "quest", "id": 1, "name": "q", "res_name": "Questionnaire", "trial": [],
