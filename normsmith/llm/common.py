@@ -70,6 +70,11 @@ def delete(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 # ------------------------------------------------------- self-join on hashes
 def buckets(keys: DataFrame) -> DataFrame:
     """Rows of ``keys`` (key, id, weight, ...) whose key holds at least two

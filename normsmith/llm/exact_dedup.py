@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, delete, keyed, shared_folder, stage, unrid
+from .common import WS, delete, exists, keyed, shared_folder, stage, unrid
 
 # Distinct texts that a task holds before it passes them on.
 HELD_BYTES = 32 << 20
@@ -249,13 +249,11 @@ def build_index(
             .collect()
         )
         moved = sorted({r[0] for r in fine})
-        files = (
-            spark.read.format("binaryFile")
-            .schema("path string, modificationTime timestamp, length long, content binary, kind string, bucket long")
-            .option("pathGlobFilter", "*.parquet")
-            .load(f"{folder}/level{level}")
-            .where("kind = 'entry'")
-        )
+        where = f"{folder}/level{level}/kind=entry"
+        if not exists(spark, where):  # an empty table has no bucket
+            kept_files.append(spark.createDataFrame([], "bucket long, content binary"))
+            break
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(where)
         kept_files.append(files.where(~F.col("bucket").isin(moved)) if moved else files)
         if not moved:
             break

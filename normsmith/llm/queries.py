@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_encode
 from .common import table
 from .exact_dedup import exact_dedup
 
@@ -24,3 +25,17 @@ def register(name: str):
 @register("op9_exact_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    """The tokenizer file of the word BPE (a file on the driver)."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("op6_bpe_encode_decode")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path(), digest=True).withColumnsRenamed(
+        {"ids": "ids_sha256", "decoded": "decoded_sha256"}
+    )
