@@ -15,7 +15,9 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,3 +182,48 @@ WS = b" \t\n\x0b\x0c\r"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Words (runs without ASCII white space) of many texts: a code for each
+    word, the distinct words by code, and the texts' offsets in the codes."""
+    lists = pc.ascii_split_whitespace(texts)
+    flat = lists.flatten()
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    offsets -= offsets[0]
+    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    if not full.all():
+        flat = flat.filter(pa.array(full))
+        offsets = np.append(0, np.cumsum(full))[offsets]
+    coded = flat.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), offsets
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes (the same in every process) of all words, and offsets."""
+    codes, words, offsets = split_words(texts)
+    hashes = pd.util.hash_array(np.array(words, dtype=object), categorize=False) if words else np.zeros(0, np.uint64)
+    return hashes[codes], offsets
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Scramble 64-bit hashes (multiply and fold, with wrap-around)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(h: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of n words inside each text, and their offsets.  A
+    text of fewer words has one shingle of all its words, one without words
+    has none."""
+    sizes = np.diff(offsets)
+    counts = np.where(sizes >= n, sizes - n + 1, np.minimum(sizes, 1))
+    out = np.append(0, np.cumsum(counts))
+    start = np.repeat(offsets[:-1] - out[:-1], counts) + np.arange(out[-1])
+    length = np.repeat(np.minimum(sizes, n), counts)
+    acc = length.astype(np.uint64)
+    for k in range(n):
+        here = np.where(length > k, h[np.minimum(start + k, max(len(h) - 1, 0))], np.uint64(0)) if len(h) else acc
+        acc = mix64(acc + here)
+    return acc, out

@@ -10,6 +10,7 @@ from .bpe import bpe_encode
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .quality_gbdt import score_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,3 +46,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_mix_sources")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+@register("op10_quality_gbdt")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
