@@ -10,6 +10,7 @@ from .bpe import bpe_encode
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .ngram_join import ngram_join
 from .quality_gbdt import score_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +52,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_quality_gbdt")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op3_ngram_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
