@@ -11,7 +11,9 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .ngram_join import ngram_join
+from .pivot_index import near_duplicates
 from .quality_gbdt import score_quality
+from .warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,3 +59,28 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_ngram_jaccard_join")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
+
+
+@register("op8_pivot_near_duplicates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register("op7_warc_reassembly")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+ORACLE["op7_warc_reassembly"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages
+), f AS (
+  SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d
+)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN n >= 100 AND p.page_id <> f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND p.page_id <> f.first_id THEN f.first_id END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d
+"""
