@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_encode
 from .common import table
 from .exact_dedup import exact_dedup
+from .license_scan import license_scan
+from .license_scan import oracle_sql as license_oracle
 from .mixing import mix
 from .ngram_join import ngram_join
 from .pivot_index import near_duplicates
@@ -84,3 +86,11 @@ SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
        CASE WHEN n >= 100 AND p.page_id <> f.first_id THEN f.first_id END AS refers_to
 FROM p LEFT JOIN f ON p.d = f.d
 """
+
+
+@register("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op1_license_scan"] = license_oracle()
