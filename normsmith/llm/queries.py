@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_encode
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_template import extract_main_text
 from .license_scan import license_scan
 from .license_scan import oracle_sql as license_oracle
 from .mixing import mix
@@ -94,3 +95,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op1_license_scan"] = license_oracle()
+
+
+@register("op2_html_main_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
