@@ -10,6 +10,7 @@ from .bpe import bpe_encode
 from .common import table
 from .exact_dedup import exact_dedup
 from .html_template import extract_main_text
+from .langid import identify_languages
 from .license_scan import license_scan
 from .license_scan import oracle_sql as license_oracle
 from .mixing import mix
@@ -100,3 +101,8 @@ ORACLE["op1_license_scan"] = license_oracle()
 @register("op2_html_main_text")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@register("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
