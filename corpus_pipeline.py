@@ -1,15 +1,89 @@
-"""Corpus pipeline: documents in, token digests out."""
+"""Corpus pipeline: documents in, token digests of a training mix out.
+
+Each stage takes (spark, docs, sf_dir), works on all documents that the one
+before it kept and returns the columns of documents (the last one the token
+digests).  The driver's check writes each result as Parquet and reads it
+again; ``run`` does the same through the shared checkpoint folder, so that no
+stage recomputes another and the loss of an executor costs only its tasks.
+
+1. quality: documents that the quality classifier rejects go.
+2. exact dedup: of equal texts the document with the smallest id stays.
+3. near dedup: of each group linked by n-gram Jaccard similarity one stays.
+4. mix: documents left out of the mix go, those taken twice come twice.
+5. tokens: BPE digests per remaining row.
+
+A classifier has no SQL form, so there is no oracle SQL for the whole; the
+tests compare the stages with brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from normsmith.llm.bpe import bpe_encode
+from normsmith.llm.common import stage, table
+from normsmith.llm.exact_dedup import exact_dedup
+from normsmith.llm.mixing import mix
+from normsmith.llm.ngram_join import ngram_join
+from normsmith.llm.quality_gbdt import score_quality
+from normsmith.llm.queries import tokenizer_path
 
-STAGES: list = []
 ORACLE_SQL: str | None = None
 
 
+def keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is among the decisions' (one row per id)."""
+    ids = decisions.select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scores = score_quality(docs, table(spark, sf_dir, "labels"))
+    # rows that share an id but not their text are judged by their best one
+    return keep(docs, scores.where("predicted = 1"))
+
+
+def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256")
+    # the digest again, as rows may share an id
+    text = F.regexp_replace(F.coalesce(docs["text"], F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    rows = docs.select(*[docs[c].alias(f"_{k}") for k, c in enumerate(docs.columns)], F.sha2(text, 256).alias("sha"))
+    at = f"_{docs.columns.index('doc_id')}"
+    one = rows.join(kept, rows[at].eqNullSafe(kept["kept_id"]) & (rows["sha"] == kept["text_sha256"]), "left_semi")
+    # rows that repeat both id and text
+    return one.dropDuplicates([at, "sha"]).select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep(docs, ngram_join(docs).where("kept"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")
+    taken = mix(docs).select(F.col("doc_id").alias("mix_id"), copies.alias("copies")).where("copies > 0")
+    taken = taken.groupBy("mix_id").agg(F.max("copies").alias("copies"))
+    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["mix_id"]))
+    return out.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe_encode(docs, tokenizer_path(), digest=True).withColumnsRenamed(
+        {"ids": "ids_sha256", "decoded": "decoded_sha256"}
+    )
+
+
+STAGES = [
+    ("quality", quality),
+    ("exact dedup", dedup_exact),
+    ("near dedup", dedup_near),
+    ("mix", mix_sources),
+    ("tokens", tokens),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for _, f in STAGES[:-1]:
+        docs = stage(f(spark, docs, sf_dir), "docs")
+    return STAGES[-1][1](spark, docs, sf_dir)
