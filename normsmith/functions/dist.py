@@ -62,6 +62,11 @@ def t_cdf(t: float, df: float) -> float:
     return 1.0 - tail if t >= 0 else tail
 
 
+def t_two_sided(t: float, df: float) -> float:
+    """P(|T| > |t|) from the tail itself (1 - cdf would cancel to 0)."""
+    return betainc(df / 2.0, 0.5, df / (df + t * t))
+
+
 def _bisect(cdf, p: float, lo: float, hi: float, iters: int = 200) -> float:
     while cdf(hi) < p:
         lo, hi = hi, hi * 2.0

@@ -52,6 +52,13 @@ def name_parts(col: Column) -> Column:
     return F.split(col, F.lit("[^A-Za-z0-9]+"))
 
 
+def name_values(col: Column, types: dict[str, str]) -> list[Column]:
+    """The parts of a name as columns of the given types (``convert =
+    TRUE``); a part that does not parse as its type is null."""
+    parts = name_parts(col)
+    return [F.get(parts, F.lit(i)).try_cast(t).alias(name) for i, (name, t) in enumerate(types.items())]
+
+
 def format_p(p: Column) -> Column:
     """P20: ``<.001`` or three decimals without the leading zero."""
     return F.when(p < 0.001, F.lit("<.001")).otherwise(

@@ -7,10 +7,14 @@ one ``GROUPING SETS`` aggregate (one scan, one shuffle) followed by a tiny
 per-task aggregate; integer answers are summed as BIGINT so the sums are
 exact whatever the partitioning.
 
-Missing cells: the reference's model fit uses all cells; sums need a
-rectangle.  Policy: raters are screened first (A18, optional), then only
-stimuli answered by every remaining rater of the task are used
-(complete-case), and ``n_stimuli`` reports how many were kept.
+Missing cells: raters are screened first (A18, optional).  Then either
+``missing='complete'``: only stimuli answered by every remaining rater are
+used, and ``n_stimuli_dropped`` / ``n_cells_dropped`` say what that left out;
+or ``missing='all'``: every cell is used, the variance components of the
+two-way random model coming from the method of moments for unequal numbers
+(uncorrected sums of squares by stimulus, by rater and in total and their
+expectations), which equals the analysis of variance on a full rectangle.
+Every task keeps its row, with nulls where nothing can be estimated.
 """
 
 from __future__ import annotations
@@ -81,23 +85,85 @@ def complete_cases(cells: DataFrame, group: Sequence[str] = ("exp",), rater: str
     """Cells of the stimuli answered (non-null) by every rater of the group."""
     g = list(group)
     k = cells.groupBy(*g).agg(F.count_distinct(rater).alias("__k"))
+    k = k.select(*[F.col(c).alias(f"__{c}") for c in g], "__k")
     per_stim = cells.groupBy(*g, stim).agg(F.count(value).alias("__m"))
-    full = per_stim.join(k, g).where(F.col("__m") == F.col("__k")).select(*g, stim)
-    return cells.join(full, [*g, stim], "left_semi")
+    full = per_stim.join(k, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in g]).where(F.col("__m") == F.col("__k"))
+    full = full.select(*[F.col(c).alias(f"__{c}") for c in [*g, stim]])
+    return cells.join(full, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*g, stim]], "left_semi")
 
 
 # --------------------------------------------------------------------------
 # The sums
 # --------------------------------------------------------------------------
+def _numeric(df: DataFrame, value: str) -> Column:
+    """The answers as BIGINT if their type holds whole numbers only, else as
+    double."""
+    return F.col(value).cast("long" if isinstance(df.schema[value].dataType, T.IntegralType) else "double")
+
+
+def with_every_group(found: DataFrame, cells: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``found`` (one row per group) completed by a row of nulls for each
+    group of ``cells`` that it lacks; a null group counts as a group."""
+    g = list(group)
+    every = cells.select(*[F.col(c).alias(f"__{c}") for c in g]).distinct()
+    on = [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in g]
+    rest = [c for c in found.columns if c not in g]
+    return every.join(found, on, "left").select(*[F.col(f"__{c}").alias(c) for c in g], *rest)
+
+
+def components(cells: DataFrame, group: Sequence[str] = ("exp",), rater: str = "session_id",
+               stim: str = "trial_name", value: str = "dv") -> DataFrame:
+    """Variance components of the two-way random model from all present
+    cells, whatever is missing: per group n_stim, n_rater, n_cells, v_stim,
+    v_rater, v_error and the mean squares they stand for.
+
+    With T0 = sum x^2, TA = sum S_i^2/n_i (stimuli), TB = sum S_j^2/n_j
+    (raters), Tm = G^2/N, k1 = sum n_i^2/N and k2 = sum n_j^2/N the
+    expectations give v_rater + v_error = P = (T0 - TA)/(N - a), v_stim +
+    v_error = Q = (T0 - TB)/(N - b) and v_error = ((N - k1) Q + (a - k2) P -
+    (TA - Tm)) / (N - k1 - k2 + 1)."""
+    g = list(group)
+    rows = cells.where(F.col(value).isNotNull()).select(*g, rater, stim, _numeric(cells, value).alias("__x"))
+    sets = rows.groupingSets([[*g, stim], [*g, rater], list(g)], *g, stim, rater).agg(
+        F.sum("__x").cast("double").alias("__s"), F.sum(F.col("__x") * F.col("__x")).cast("double").alias("__ss"),
+        F.count(F.lit(1)).cast("double").alias("__c"), F.grouping_id().alias("__gid"))
+    gid, s, c = F.col("__gid"), F.col("__s"), F.col("__c")
+
+    def over(kind: int, x: Column) -> Column:
+        return F.sum(F.when(gid == kind, x))
+
+    # grouping_id 1: by stimulus, 2: by rater, 3: the group's total
+    sums = sets.groupBy(*g).agg(
+        over(1, F.lit(1.0)).alias("a"), over(2, F.lit(1.0)).alias("b"), over(3, c).alias("n"),
+        over(3, s * s / c).alias("tm"), over(3, F.col("__ss")).alias("t0"),
+        over(1, s * s / c).alias("ta"), over(2, s * s / c).alias("tb"),
+        over(1, c * c).alias("q1"), over(2, c * c).alias("q2"))
+    a, b, n = F.col("a"), F.col("b"), F.col("n")
+    sums = sums.withColumns({"p": F.try_divide(F.col("t0") - F.col("ta"), n - a),
+                             "q": F.try_divide(F.col("t0") - F.col("tb"), n - b),
+                             "k1": F.col("q1") / n, "k2": F.col("q2") / n})
+    error = F.try_divide(
+        (n - F.col("k1")) * F.col("q") + (a - F.col("k2")) * F.col("p") - (F.col("ta") - F.col("tm")),
+        n - F.col("k1") - F.col("k2") + 1)
+    out = sums.withColumn("v_error", F.when((a >= 2) & (b >= 2), error))
+    v_stim, v_rater = F.col("q") - F.col("v_error"), F.col("p") - F.col("v_error")
+    return out.select(
+        *g, a.cast("long").alias("n_stim"), b.cast("long").alias("n_rater"), n.cast("long").alias("n_cells"),
+        v_stim.alias("v_stim"), v_rater.alias("v_rater"), "v_error",
+        (F.col("v_error") + b * v_stim).alias("msb"), (F.col("v_error") + a * v_rater).alias("msj"),
+        F.col("v_error").alias("mse"))
+
+
 def variance_sums(rect: DataFrame, group: Sequence[str] = ("exp",), rater: str = "session_id",
-                  stim: str = "trial_name", value: str = "dv", exact_integers: bool = True) -> DataFrame:
+                  stim: str = "trial_name", value: str = "dv") -> DataFrame:
     """Per group: n_stim (n), n_rater (k), T, sum x^2, sum over stimuli of
     S_i^2 and over raters of S_j^2, from a complete rectangle of cells.
 
     One scan: ``GROUPING SETS ((g, stim), (g, rater), (g))``, then one small
-    aggregate per group.  Integer answers are summed as BIGINT (exact)."""
+    aggregate per group.  Answers of a whole-number type are summed as BIGINT
+    (exact), all others as doubles."""
     g = list(group)
-    x = F.col(value).cast("long") if exact_integers else F.col(value).cast("double")
+    x = _numeric(rect, value)
     base = rect.select(*g, rater, stim, x.alias("__x"))
     sets = base.groupingSets(
         [[*g, stim], [*g, rater], list(g)], *g, stim, rater
@@ -184,20 +250,58 @@ def prepared_cells(cells: DataFrame, min_values: int | None = 3, group: Sequence
 # --------------------------------------------------------------------------
 # R2 / R3  ICC(2,k)
 # --------------------------------------------------------------------------
+def screened(cells: DataFrame, min_values: int | None, group: Sequence[str], rater: str, stim: str,
+             value: str) -> DataFrame:
+    return screen_raters(cells, min_values, group, rater, stim, value)[0] if min_values else cells
+
+
+def _complete_sums(cells: DataFrame, kept: DataFrame, group: Sequence[str], rater: str, stim: str,
+                   value: str) -> DataFrame:
+    """Mean squares of the complete stimuli for every group of ``cells``,
+    with what the screened cells lost by leaving out the others."""
+    g = list(group)
+    ms = mean_squares(variance_sums(complete_cases(kept, g, rater, stim, value), g, rater, stim, value))
+    had = kept.where(F.col(value).isNotNull()).groupBy(*[F.col(c).alias(f"__{c}") for c in g]).agg(
+        F.count_distinct(rater).alias("__raters"), F.count_distinct(stim).alias("__stimuli"),
+        F.count(F.lit(1)).alias("__cells"))
+    out = with_every_group(ms, cells, g)
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in g]
+    out = out.join(had, on, "left").drop(*[f"__{c}" for c in g])
+    none = F.lit(0).cast("long")
+    return out.withColumns({
+        "n_raters": F.coalesce("n_rater", "__raters", none), "n_stimuli": F.coalesce("n_stim", none),
+        "n_stimuli_dropped": F.coalesce("__stimuli", none) - F.coalesce("n_stim", none),
+        "n_cells_dropped": F.coalesce("__cells", none) - F.coalesce(F.col("n_stim") * F.col("n_rater"), none),
+    })
+
+
+def _all_cells(cells: DataFrame, kept: DataFrame, group: Sequence[str], rater: str, stim: str,
+               value: str) -> DataFrame:
+    out = with_every_group(components(kept, group, rater, stim, value), cells, group)
+    none = F.lit(0).cast("long")
+    return out.withColumns({
+        "n_raters": F.coalesce("n_rater", none), "n_stimuli": F.coalesce("n_stim", none),
+        "n_cells_missing": F.coalesce(F.col("n_stim") * F.col("n_rater") - F.col("n_cells"), none),
+    })
+
+
 def icc2k(cells: DataFrame, min_values: int | None = 3, group: Sequence[str] = ("exp",), rater: str = "session_id",
-          stim: str = "trial_name", value: str = "dv") -> DataFrame:
+          stim: str = "trial_name", value: str = "dv", missing: str = "complete") -> DataFrame:
     """ICC(2,k) per group: (group..., n_raters, n_stimuli, icc2k, msb, msj,
-    mse).  Raters with fewer than ``min_values`` distinct answers are
-    dropped first (``None``/0 disables); null when fewer than 2 raters."""
-    rect, _ = prepared_cells(cells, min_values, group, rater, stim, value)
-    ms = mean_squares(variance_sums(rect, group, rater, stim, value))
-    return ms.select(
-        *group,
-        F.col("n_rater").alias("n_raters"),
-        F.col("n_stim").alias("n_stimuli"),
-        icc2k_column().alias("icc2k"),
-        "msb", "msj", "mse",
-    )
+    mse) and, by ``missing`` (see the module text), n_stimuli_dropped and
+    n_cells_dropped or n_cells_missing.  Raters with fewer than
+    ``min_values`` distinct answers are dropped first (``None``/0 disables).
+    Every group of ``cells`` has a row; fewer than 2 raters or stimuli give
+    nulls."""
+    kept = screened(cells, min_values, group, rater, stim, value)
+    if missing == "all":
+        c = _all_cells(cells, kept, group, rater, stim, value)
+        total = F.col("v_stim") + (F.col("v_rater") + F.col("v_error")) / F.col("n_rater")
+        return c.select(*group, "n_raters", "n_stimuli", "n_cells_missing",
+                        F.try_divide(F.col("v_stim"), total).alias("icc2k"), "msb", "msj", "mse")
+    ms = _complete_sums(cells, kept, group, rater, stim, value)
+    return ms.select(*group, "n_raters", "n_stimuli", "n_stimuli_dropped", "n_cells_dropped",
+                     icc2k_column().alias("icc2k"), "msb", "msj", "mse")
 
 
 _BOUNDS_SCHEMA = T.StructType([T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())])
@@ -238,11 +342,22 @@ def dropped_raters(cells: DataFrame, min_values: int = 3, group: Sequence[str] =
 # R6  Cronbach's alpha
 # --------------------------------------------------------------------------
 def cronbach_alpha(cells: DataFrame, min_values: int | None = 3, group: Sequence[str] = ("exp",),
-                   rater: str = "session_id", stim: str = "trial_name", value: str = "dv") -> DataFrame:
-    rect, _ = prepared_cells(cells, min_values, group, rater, stim, value)
-    sums = variance_sums(rect, group, rater, stim, value)
-    return sums.select(*group, F.col("n_rater").alias("n_raters"), F.col("n_stim").alias("n_stimuli"),
-                       alpha_column().alias("alpha"))
+                   rater: str = "session_id", stim: str = "trial_name", value: str = "dv",
+                   missing: str = "complete") -> DataFrame:
+    """R6 per group, every group of ``cells`` with a row.  With
+    ``missing='all'`` and absent cells alpha is the consistency of the
+    components, k v_stim / (k v_stim + v_error), which equals raw alpha on a
+    full rectangle; ``estimator`` says which of the two it is."""
+    kept = screened(cells, min_values, group, rater, stim, value)
+    if missing == "all":
+        c = _all_cells(cells, kept, group, rater, stim, value)
+        true = F.col("n_rater") * F.col("v_stim")
+        return c.select(*group, "n_raters", "n_stimuli", "n_cells_missing",
+                        F.when(F.col("n_cells_missing") == 0, "complete").otherwise("components").alias("estimator"),
+                        F.try_divide(true, true + F.col("v_error")).alias("alpha"))
+    sums = _complete_sums(cells, kept, group, rater, stim, value)
+    return sums.select(*group, "n_raters", "n_stimuli", "n_stimuli_dropped", "n_cells_dropped",
+                       F.lit("complete").alias("estimator"), alpha_column().alias("alpha"))
 
 
 # --------------------------------------------------------------------------
@@ -304,50 +419,60 @@ def rater_gram(rect: DataFrame, group: Sequence[str] = ("exp",), rater: str = "s
     )
 
 
-def one_factor_minres(r, tol: float = 1e-10, max_iter: int = 5000):
+MIN_UNIQUENESS = 0.005
+
+
+def one_factor_minres(r, tol: float = 1e-10, max_iter: int = 5000, flag: bool = False):
     """Loadings of one factor fitted by minimum residuals (unweighted least
     squares on the off-diagonal), by iterated principal axes from squared
-    multiple correlations."""
+    multiple correlations (largest correlations where the matrix is
+    singular).  Uniquenesses are held at ``MIN_UNIQUENESS`` or more; with
+    ``flag`` the result is (loadings, converged)."""
     import numpy as np
 
     r = np.asarray(r, dtype=float)
     k = r.shape[0]
-    try:
+    if np.linalg.matrix_rank(r) == k:
         h2 = 1.0 - 1.0 / np.diag(np.linalg.inv(r))
-    except np.linalg.LinAlgError:
-        h2 = np.max(np.abs(r - np.eye(k)), axis=1)
-    lam = np.zeros(k)
+    else:
+        h2 = np.max(np.abs(r - np.diag(np.diag(r))), axis=1)
+    lam, converged = np.zeros(k), False
+    h2 = np.clip(h2, 0.0, 1.0 - MIN_UNIQUENESS)
     for _ in range(max_iter):
         rr = r.copy()
         np.fill_diagonal(rr, h2)
         w, v = np.linalg.eigh(rr)
         lam = v[:, -1] * np.sqrt(max(w[-1], 0.0))
+        # held to proper solutions: no communality above 1 - MIN_UNIQUENESS
+        lam = np.clip(lam, -np.sqrt(1.0 - MIN_UNIQUENESS), np.sqrt(1.0 - MIN_UNIQUENESS))
         new = lam * lam
-        if np.max(np.abs(new - h2)) < tol:
-            h2 = new
-            break
+        converged = bool(np.max(np.abs(new - h2)) < tol)
         h2 = new
+        if converged:
+            break
     if lam.sum() < 0:
         lam = -lam
-    return lam
+    return (lam, converged) if flag else lam
 
 
-def omega_from_corr(r) -> float:
+def omega_from_corr(r, flag: bool = False):
     """Omega total of a one-factor model: 1 - sum of uniquenesses / sum of
-    the correlation matrix, with raters of negative loading reversed."""
+    the correlation matrix, with raters of negative loading reversed; with
+    ``flag`` also whether the fit converged."""
     import numpy as np
 
     r = np.asarray(r, dtype=float)
-    lam = one_factor_minres(r)
+    lam, converged = one_factor_minres(r, flag=True)
     sign = np.where(lam < 0, -1.0, 1.0)
     rf = r * np.outer(sign, sign)
-    return float(1.0 - np.sum(1.0 - lam * lam) / rf.sum())
+    omega = float(1.0 - np.sum(1.0 - lam * lam) / rf.sum())
+    return (omega, converged) if flag else omega
 
 
 def omega_total(cells: DataFrame, min_values: int | None = 3, group: Sequence[str] = ("exp",),
                 rater: str = "session_id", stim: str = "trial_name", value: str = "dv",
                 n_blocks: int | None = None) -> DataFrame:
-    """R7 per group: (group..., n_raters, omega_t).  Rater correlations are
+    """R7 per group: (group..., n_raters, omega_t, converged).  Rater correlations are
     Spark aggregates (``rater_gram``); the one-factor fit runs per group on
     its k x k correlations in ``applyInPandas``."""
     import numpy as np
@@ -360,18 +485,19 @@ def omega_total(cells: DataFrame, min_values: int | None = 3, group: Sequence[st
     corr = gram.select(*g, "rater_a", "rater_b", (num / den).alias("r"))
     key_fields = [f for f in corr.schema.fields if f.name in g]
     out_schema = T.StructType(key_fields + [T.StructField("n_raters", T.LongType()),
-                                            T.StructField("omega_t", T.DoubleType())])
+                                            T.StructField("omega_t", T.DoubleType()),
+                                            T.StructField("converged", T.BooleanType())])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         mat = pdf.pivot_table(index="rater_a", columns="rater_b", values="r", aggfunc="first")
         k = mat.shape[0]
-        val = float("nan")
+        val, converged = float("nan"), False
         if k >= 2:
             m = mat.to_numpy(dtype=float)
             if np.isfinite(m).all():
-                val = omega_from_corr(m)
+                val, converged = omega_from_corr(m, flag=True)
         row = {c: [pdf[c].iloc[0]] for c in g}
-        row.update({"n_raters": [k], "omega_t": [val]})
+        row.update({"n_raters": [k], "omega_t": [val], "converged": [converged]})
         return pd.DataFrame(row)[[f.name for f in out_schema.fields]]
 
     out = corr.groupBy(*g).applyInPandas(fit, out_schema)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dist import t_cdf, t_ppf
+from ..functions.dist import t_ppf, t_two_sided
 from ..functions.text import format_p
 
 
@@ -45,6 +45,20 @@ def paired_t(x: DataFrame, y: DataFrame, key: str | list[str], xcol: str = "x",
     )
 
 
+def paired_t_by(x: DataFrame, y: DataFrame, key: str, by: list[str], xcol: str = "x", ycol: str = "y") -> DataFrame:
+    """The paired test of every group ``by`` (e.g. trait) in one pass:
+    ``x`` and ``y`` hold one value per (key, group)."""
+    d = (F.col(xcol) - F.col(ycol)).alias("d")
+    stats = x.join(y, [key, *by]).select(*by, d).where(F.col("d").isNotNull()).groupBy(*by).agg(
+        F.count("d").cast("long").alias("n_pairs"), F.avg("d").alias("m_diff"), F.stddev_samp("d").alias("sd_diff"))
+    means = x.groupBy(*by).agg(F.avg(xcol).alias("m_std")).join(y.groupBy(*by).agg(F.avg(ycol).alias("m_unstd")), by)
+    return means.join(stats, by).select(
+        *by, "m_std", "m_unstd", "n_pairs", "m_diff", "sd_diff",
+        F.try_divide(F.col("m_diff"), F.col("sd_diff") / F.sqrt(F.col("n_pairs"))).alias("t"),
+        (F.col("n_pairs") - 1).cast("double").alias("df"),
+    )
+
+
 _OUT = T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
                      T.StructField("p", T.DoubleType())])
 
@@ -59,7 +73,7 @@ def _t_tail(m: pd.Series, sd: pd.Series, n: pd.Series, t: pd.Series) -> pd.DataF
         df = ni - 1
         q = t_ppf(0.975, df)
         half = q * si / math.sqrt(ni)
-        rows.append((mi - half, mi + half, 2.0 * (1.0 - t_cdf(abs(ti), df))))
+        rows.append((mi - half, mi + half, t_two_sided(ti, df)))
     return pd.DataFrame(rows, columns=["lo", "hi", "p"])
 
 

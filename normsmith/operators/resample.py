@@ -103,7 +103,7 @@ def icc_corridor(cells: DataFrame, n_seq: Sequence[int] = tuple(range(10, 101, 1
     rect = AG.complete_cases(sampled, key, rater, stim, value)
     ms = AG.mean_squares(AG.variance_sums(rect, key, rater, stim, value))
     return ms.select(*g, "n", "iter",
-                     F.col("n_rater").alias("n_raters"), AG.icc2k_column().alias("icc2k"), "msb", "msj", "mse")
+                     F.col("n_rater").alias("n_raters"), F.col("n_stim").alias("n_stimuli"), AG.icc2k_column().alias("icc2k"), "msb", "msj", "mse")
 
 
 # --------------------------------------------------------------------------

@@ -52,9 +52,20 @@ def eav_to_wide(df: DataFrame, keys: Sequence[str], name: str, value: str, names
     return one.groupBy(*k).pivot(name, list(names)).agg(F.first(value))
 
 
+def round_columns(df: DataFrame, digits: int = 2) -> DataFrame:
+    """Every floating or decimal column rounded, the others as they
+    are."""
+    return df.select(*[
+        F.round(F.col(f"`{f.name}`"), digits).alias(f.name)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)) else F.col(f"`{f.name}`")
+        for f in df.schema.fields
+    ])
+
+
 # --------------------------------------------------------------------------
 # P1 / P2  nested project structure
 # --------------------------------------------------------------------------
+# The field names of the project file.
 TRIAL = T.StructType([
     T.StructField("trial_n", T.LongType()),
     T.StructField("name", T.StringType()),
@@ -65,8 +76,12 @@ COMPONENT = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("name", T.StringType()),
     T.StructField("res_name", T.StringType()),
+    T.StructField("instructions", T.StringType()),
+    T.StructField("question", T.StringType()),
     T.StructField("exptype", T.StringType()),
+    T.StructField("trial_order", T.StringType()),
     T.StructField("total_stim", T.LongType()),
+    T.StructField("random_stim", T.LongType()),
     T.StructField("trial", T.ArrayType(TRIAL)),
     T.StructField("stimuli", T.MapType(T.StringType(), T.StringType())),
 ])
@@ -74,14 +89,20 @@ PROJECT = T.ArrayType(COMPONENT)
 
 
 def task_dimension(components: DataFrame) -> DataFrame:
-    """One row per component of type ``exp``: id, name, label (P3),
-    number of trials and of stimuli."""
+    """One row per component of type ``exp``: id, name, label (P3), its
+    texts and settings, number of trials and of stimuli."""
     exps = components.where(F.col("component_type") == "exp")
     return exps.select(
         F.col("id").alias("exp_id"),
         "name",
         "res_name",
         task_label(F.col("res_name")).alias("exp"),
+        "instructions",
+        "question",
+        "exptype",
+        "trial_order",
+        "total_stim",
+        "random_stim",
         F.size("trial").cast("long").alias("trials"),
         F.size("stimuli").cast("long").alias("stim"),
     )

@@ -145,3 +145,9 @@ def mode_info(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
         F.max("freq").cast("long").alias("freq"),
         (F.max("freq") / F.sum("freq")).alias("prop"),
     )
+
+
+def attribute_ids(df: DataFrame, item: str, attributes: Sequence[str]) -> DataFrame:
+    """The items that have each value of each attribute, as (attribute,
+    value, item) rows -- an id list of any length without a long cell."""
+    return df.unpivot([item], list(attributes), "attribute", "value").select("attribute", "value", item)

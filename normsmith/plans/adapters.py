@@ -38,6 +38,12 @@ PRIORITY_LEVELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "0-ABSEN
 # Emotion categories of the categorisation task, in order.
 EMOTION_CATEGORIES = ["anger", "disgust", "fear", "happiness", "sadness", "surprise"]
 
+# The view codes of stimulus names in the source study.
+VIEW_CODES = ["0", "l45", "l90", "r45", "r90"]
+
+# Levels of the typed CSV query; PROMO and STANDARD lie outside them.
+PART_TYPES = ["ECONOMY", "SMALL", "MEDIUM", "LARGE"]
+
 VIEWS = ["front", "left45", "left90", "right45", "right90"]
 
 EMOTION_CODES = [code for code, _ in EMOTION_LEVELS]

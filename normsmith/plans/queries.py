@@ -351,8 +351,12 @@ def packed_projects(spark, sf):
             F.col("o_orderkey").alias("id"),
             F.concat(F.lit("task_"), F.col("o_orderkey").cast("string")).alias("name"),
             F.concat(F.lit(TITLE_EXAMPLE), F.lower("o_orderpriority")).alias("res_name"),
+            F.concat(F.lit("Rate "), F.lower("o_orderpriority")).alias("instructions"),
+            F.concat(F.lit("How "), F.lower("o_orderpriority"), F.lit("?")).alias("question"),
             F.lit("rating").alias("exptype"),
+            F.lit("random").alias("trial_order"),
             F.size("trial").cast("long").alias("total_stim"),
+            (F.col("o_orderkey") % 10).alias("random_stim"),
             "trial",
             "stimuli",
         ))).alias("project")

@@ -9,6 +9,7 @@ of their input plus their parameters.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,19 +21,24 @@ from ..session import checkpoint_dir
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str, null_value: str | None = "NA",
-             tokens: Iterable[str] | None = ("", "NA")) -> DataFrame:
+             tokens: Iterable[str] | None = ("", "NA"), levels: dict[str, list[str]] | None = None) -> DataFrame:
     """Header CSV with a declared schema.  ``null_value`` is the
     reader's own null token; ``tokens`` are further strings turned to null
     in every string column (the R reader's default is empty and ``NA``).
     Pass ``null_value=''`` and ``tokens=None`` for recode tables whose text
     ``NA`` is a label.  A byte-order mark on the first header name is
-    harmless: columns come from ``schema``, not from the header."""
+    harmless: columns come from ``schema``, not from the header.
+    ``levels`` declares factor columns: a value outside its level list
+    becomes null and ``<column>_ord`` holds the level's place."""
     r = spark.read.option("header", True).option("encoding", "UTF-8").schema(schema)
     if null_value is not None:
         r = r.option("nullValue", null_value)
     df = r.csv(path)
     if tokens:
         df = normalise_nulls(df, tokens)
+    for name, known in (levels or {}).items():
+        place = F.nullif(F.array_position(F.array(*[F.lit(x) for x in known]), F.col(name)), F.lit(0)).cast("int")
+        df = df.withColumn(f"{name}_ord", place).withColumn(name, F.when(place.isNotNull(), F.col(name)))
     return df
 
 
@@ -45,13 +51,17 @@ def read_export_dir(spark: SparkSession, path: str, schema: T.StructType | str,
 
 
 def latest_file(spark: SparkSession, directory: str, pattern: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of the newest export only, chosen by file name (the names
-    carry the date, so the greatest name is the latest) from
-    ``_metadata.file_name`` -- no driver-side listing."""
-    df = spark.read.option("header", True).schema(schema).csv(f"{directory.rstrip('/')}/{pattern}")
-    named = df.select("*", F.col("_metadata.file_name").alias("__file"))
-    newest = named.agg(F.max("__file")).scalar()
-    return named.where(F.col("__file") == newest).drop("__file")
+    """Rows of the newest export only.  The names of the files (or
+    folders of part files) matching ``pattern`` carry the date, so the
+    greatest name is the latest.  Only names are listed (the ``binaryFile``
+    source reads no content when none is asked for); the older exports are
+    never opened."""
+    root = directory.rstrip("/")
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/{pattern}").select("path")
+    # the path element below the directory
+    element = F.element_at(F.split(F.element_at(F.split("path", re.escape(f"{root.rsplit('/', 1)[-1]}/")), -1), "/"), 1)
+    newest = names.agg(F.max(element)).first()[0]
+    return spark.read.option("header", True).schema(schema).csv(f"{root}/{newest}")
 
 
 def read_project_json(spark: SparkSession, path: str, schema: T.DataType) -> DataFrame:
@@ -102,6 +112,16 @@ def fingerprint_by(df: DataFrame, by: Iterable[str], columns: Iterable[str] | No
                                F.sum(h).cast("string").alias("fingerprint"))
 
 
+def digest_by(df: DataFrame, by: Iterable[str], columns: Iterable[str]) -> DataFrame:
+    """S12 with a digest that other engines have too: per group the sums of
+    the first two 32-bit words of the rows' MD5."""
+    by = list(by)
+    d = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]))
+    words = [F.conv(F.substring(d, at, 8), 16, 10).cast("decimal(38,0)") for at in (1, 9)]
+    return df.groupBy(*by).agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
+                               F.sum(words[0]).cast("string").alias("lo"), F.sum(words[1]).cast("string").alias("hi"))
+
+
 def cache_path(spark: SparkSession, name: str, data: DataFrame, params: dict, root: str | None = None) -> str:
     """Path ``<root>/<name>_<hash>`` where the hash covers the input's
     fingerprint *and* the parameters (so changed parameters never reuse a
