@@ -32,10 +32,19 @@ from normsmith.llm.queries import tokenizer_path
 ORACLE_SQL: str | None = None
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str, list]:
+    """``docs`` under names that clash with nothing, the name of its id
+    column, and the columns that restore it."""
+    names = [f"_{k}" for k in range(len(docs.columns))]
+    restore = [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
+    return docs.toDF(*names), names[docs.columns.index("doc_id")], restore
+
+
 def keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is among the decisions' (one row per id)."""
+    """Rows of ``docs`` whose id is among the decisions'."""
+    rows, at, restore = numbered(docs)
     ids = decisions.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+    return rows.join(ids, F.col(at).eqNullSafe(F.col("kept_id")), "left_semi").select(*restore)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +55,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256")
+    rows, at, restore = numbered(docs)
+    text = F.coalesce(F.col(f"_{docs.columns.index('text')}"), F.lit(""))
     # the digest again, as rows may share an id
-    text = F.regexp_replace(F.coalesce(docs["text"], F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    rows = docs.select(*[docs[c].alias(f"_{k}") for k, c in enumerate(docs.columns)], F.sha2(text, 256).alias("sha"))
-    at = f"_{docs.columns.index('doc_id')}"
-    one = rows.join(kept, rows[at].eqNullSafe(kept["kept_id"]) & (rows["sha"] == kept["text_sha256"]), "left_semi")
-    # rows that repeat both id and text
-    return one.dropDuplicates([at, "sha"]).select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)])
+    rows = rows.withColumn("sha", F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "), 256))
+    one = rows.join(kept, F.col(at).eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("text_sha256")), "left_semi")
+    return one.dropDuplicates([at, "sha"]).select(*restore)  # rows that repeat both id and text
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +69,11 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")
-    taken = mix(docs).select(F.col("doc_id").alias("mix_id"), copies.alias("copies")).where("copies > 0")
-    taken = taken.groupBy("mix_id").agg(F.max("copies").alias("copies"))
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["mix_id"]))
-    return out.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    taken = mix(docs).select(F.col("doc_id").alias("mix_id"), copies.alias("copies"))
+    taken = taken.groupBy("mix_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    rows, at, restore = numbered(docs)
+    out = rows.join(taken, F.col(at).eqNullSafe(F.col("mix_id")))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*restore)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def test_exact_stage(tables):
 
 def test_near_stage(tables):
     was = rows(tables[2])
-    want = {i for i, c, _ in brute_join(sorted(was, key=lambda r: (r[0] is None, r[0] or 0))) if i == c}
+    want = [i for i, c, _ in brute_join(sorted(was, key=lambda r: (r[0] is None, r[0] or 0))) if i == c]
     assert sorted((i for i, _ in rows(tables[3])), key=str) == sorted(want, key=str)
 
 
