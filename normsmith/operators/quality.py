@@ -128,7 +128,13 @@ def overly_consistent(
 ) -> DataFrame:
     """Q4 (share >= 0.90) full-outer Q5 (<= 2 distinct answers), one row per
     flagged (rater, task); the column of a rule that did not fire is null."""
-    prof = response_profile(facts, task, rater, value, stim)
+    return consistent_among(response_profile(facts, task, rater, value, stim), share, max_unique, task, rater)
+
+
+def consistent_among(
+    prof: DataFrame, share: float = 0.90, max_unique: int = 2, task: str = "exp", rater: str = "session_id"
+) -> DataFrame:
+    """The same from completions with ``same_pcnt`` and ``n_unique``."""
     return prof.where((F.col("same_pcnt") >= share) | (F.col("n_unique") <= max_unique)).select(
         rater,
         task,
@@ -155,15 +161,11 @@ def overly_fast(
     """Median rt strictly below the ``prob`` quantile (linear interpolation,
     R type 7 == Spark ``percentile``) of all (rater, task) medians; check
     trials included.  The medians (one row per task completion) are
-    materialised once; their quantile is found by distributed histogram
-    refinement (``quantile.exact_quantile``), never in a single task."""
-    from .quantile import exact_quantile
+    materialised once; their quantile is a scalar subquery of the filter."""
+    from .quantile import quantile_scalar
 
     med = cut_lineage(median_rt(facts, task, rater, rt))
-    cut = exact_quantile(med, "med_rt", prob)
-    if cut is None:
-        return med.where(F.lit(False)).select(rater, task, "med_rt")
-    return med.where(F.col("med_rt") < F.lit(cut)).select(rater, task, "med_rt")
+    return med.where(F.col("med_rt") < quantile_scalar(med, "med_rt", prob)).select(rater, task, "med_rt")
 
 
 # --------------------------------------------------------------------------
@@ -181,9 +183,23 @@ def honesty_failed(quest_df: DataFrame, rater: str = "session_id", answer: str =
 # --------------------------------------------------------------------------
 # Q8  attention checks
 # --------------------------------------------------------------------------
+# Fixed value: one failed check of seven is allowed.
+ATTENTION_RATE = 6 / 7
+
+
+def expected_answer(stim: str, task: str, substring_task: object | None = None) -> F.Column:
+    """The answer a check trial asks for: its name after the first
+    ``check_<word>_`` prefix; for ``substring_task`` characters 4-6 of it."""
+    # Fixed value: the prefix pattern of check names.
+    expected = first_match_removed(F.col(stim), "check_[a-z0-9-]+_")
+    if substring_task is None:
+        return expected
+    return F.when(F.col(task) == F.lit(substring_task), F.substring(expected, 4, 3)).otherwise(expected)
+
+
 def attention_failed(
     facts: DataFrame,
-    min_rate: float = 6 / 7,
+    min_rate: float = ATTENTION_RATE,
     substring_task: object | None = None,
     task: str = "exp",
     rater: str = "session_id",
@@ -195,10 +211,7 @@ def attention_failed(
     ``substring_task`` only characters 4-6 of it count.  A missing answer
     makes the rate missing (never flagged), as R ``mean`` does."""
     checks = facts.where(F.col(stim).contains("check"))
-    expected = first_match_removed(F.col(stim), "check_[a-z0-9-]+_")
-    if substring_task is not None:
-        expected = F.when(F.col(task) == F.lit(substring_task), F.substring(expected, 4, 3)).otherwise(expected)
-    hit = (expected == F.col(value).cast("string")).cast("double")
+    hit = (expected_answer(stim, task, substring_task) == F.col(value).cast("string")).cast("double")
     return (
         checks.withColumn("__hit", hit)
         .groupBy(rater, task)
@@ -214,6 +227,7 @@ def attention_failed(
 # --------------------------------------------------------------------------
 # Q9 ledger, Q10 apply, Q11 questionnaire, Q12 flow, Q13 counts
 # --------------------------------------------------------------------------
+# The ledger's column names.
 LEDGER_COLUMNS = ("same_pcnt", "n_unique", "med_rt", "honesty_check", "attn_checks_passed")
 
 
@@ -262,16 +276,41 @@ def exclusion_counts(ledger: DataFrame) -> DataFrame:
     return wide.unpivot([], list(LEDGER_COLUMNS) + ["total"], "reason", "n")
 
 
+def completion_profile(
+    firsts: DataFrame, substring_task: object | None = None, task: str = "exp", rater: str = "session_id",
+    value: str = "dv", stim: str = "trial_name", time: str = "dt",
+) -> DataFrame:
+    """One row per (rater, task) with what the rules ask for: n, first_dt,
+    n_answers, same_pcnt, n_unique, attn_checks_passed.
+    Answers are counted by value first (a partial aggregate), so a rater
+    with a third of all rows is spread over the map tasks."""
+    answer = ~F.col(stim).startswith("check_")
+    check = F.col(stim).contains("check")
+    hit = F.when(check, (expected_answer(stim, task, substring_task) == F.col(value).cast("string")).cast("double"))
+    by_value = firsts.groupBy(rater, task, answer.alias("__a"), F.when(answer, F.col(value)).alias("__v")).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(time).alias("first_dt"), F.count(F.when(check, 1)).alias("__checks"),
+        F.count(hit).alias("__hits_n"), F.sum(hit).alias("__hits"))
+    answers = F.when(F.col("__a"), F.col("__n"))
+    return by_value.groupBy(rater, task).agg(
+        F.sum("__n").cast("long").alias("n"), F.min("first_dt").alias("first_dt"),
+        F.coalesce(F.sum(answers), F.lit(0)).alias("n_answers"), (F.max(answers) / F.sum(answers)).alias("same_pcnt"),
+        F.count("__v").cast("long").alias("n_unique"),
+        # a missing answer to a check makes the rate missing
+        F.when(F.sum("__checks") == F.sum("__hits_n"), F.try_divide(F.sum("__hits"), F.sum("__hits_n")))
+        .alias("attn_checks_passed"))
+
+
 class Screening:
     """The screening flow Q1 -> Q2 -> (Q3) -> Q4..Q8 -> Q9 -> Q10/Q11.
 
     Every step is built on first access only (some steps run small jobs
     when built, e.g. the global quantile of the overly-fast rule), so a
     query that needs only the complete sessions does not pay for the
-    ledger.  The keep-first result is read by every later rule; with
-    ``materialise`` it is checkpointed once into the shared checkpoint
-    folder (when the session names one), so the raw log is scanned once
-    instead of once per rule; it holds one row per (rater, task, trial)."""
+    ledger.  Small tables are materialised in the shared checkpoint folder
+    (with ``materialise``, when the session names one): the keep-first
+    ratings, so that the raw log is scanned once, and the profile with one
+    row per (rater, task), from which the rules (the median time apart), the
+    ledger and all counts are read; trials are only touched again to be returned."""
 
     def __init__(self, raw, quest, order, tasks=None, first_task_only=True, keep="first", scope="session",
                  substring_task=None, levels=None, task="exp", rater="session_id", stim="trial_name",
@@ -298,29 +337,52 @@ class Screening:
 
         return self._get("firsts", build)
 
+    @property
+    def profile(self) -> DataFrame:
+        """One row per (rater, task) of the keep-first ratings."""
+        def build():
+            out = completion_profile(self.firsts, self.substring_task, self.task, self.rater, stim=self.stim)
+            return cut_lineage(out) if self.materialise else out
+
+        return self._get("profile", build)
+
     @property
     def tasks(self) -> DataFrame:
-        return self._get("tasks", lambda: self._tasks if self._tasks is not None
-                         else trials_per_task(self.firsts, self.task, self.rater))
+        return self._get("tasks", lambda: self._tasks if self._tasks is not None else self.profile.groupBy(self.task)
+                         .agg(F.max("n").cast("long").alias("trials_total")))
 
     @property
     def incomplete(self) -> DataFrame:
-        return self._get("incomplete", lambda: incomplete_tasks(self.firsts, self.tasks, self.task, self.rater))
+        return self._get("incomplete", lambda: self.profile.select(self.rater, self.task, "n").join(
+            self.tasks, self.task, "left").where(F.col("n") < F.col("trials_total")))
+
+    @property
+    def complete_profile(self) -> DataFrame:
+        return self._get("complete_profile", lambda: drop_incomplete(self.profile, self.incomplete, self.scope,
+                                                                     self.task, self.rater))
+
+    @property
+    def completions(self) -> DataFrame:
+        """The profile of the completions that the exclusion rules judge."""
+        return self._get("completions", lambda: first_task(self.complete_profile, self.keep, self.task, self.rater,
+                                                           time="first_dt")
+                         if self.first_task_only else self.complete_profile)
+
+    def _trials(self, of: DataFrame) -> DataFrame:
+        return self.firsts.join(of.select(self.rater, self.task), [self.rater, self.task], "left_semi")
 
     @property
     def complete(self) -> DataFrame:
-        return self._get("complete", lambda: drop_incomplete(self.firsts, self.incomplete, self.scope, self.task,
-                                                             self.rater))
+        return self._get("complete", lambda: self._trials(self.complete_profile))
 
     @property
     def exp_long(self) -> DataFrame:
-        return self._get("exp_long", lambda: first_task(self.complete, self.keep, self.task, self.rater)
-                         if self.first_task_only else self.complete)
+        return self._get("exp_long", lambda: self._trials(self.completions))
 
     @property
     def consistent(self) -> DataFrame:
-        return self._get("consistent", lambda: overly_consistent(self.exp_long, task=self.task, rater=self.rater,
-                                                                 stim=self.stim))
+        return self._get("consistent", lambda: consistent_among(
+            self.completions.where(F.col("n_answers") > 0), task=self.task, rater=self.rater))
 
     @property
     def fast(self) -> DataFrame:
@@ -332,22 +394,35 @@ class Screening:
 
     @property
     def attention(self) -> DataFrame:
-        return self._get("attention", lambda: attention_failed(self.exp_long, substring_task=self.substring_task,
-                                                               task=self.task, rater=self.rater, stim=self.stim))
+        return self._get("attention", lambda: self.completions.where(F.col("attn_checks_passed") < ATTENTION_RATE)
+                         .select(self.rater, self.task, "attn_checks_passed"))
 
     @property
     def ledger(self) -> DataFrame:
-        return self._get("ledger", lambda: exclusion_ledger(self.consistent, self.fast, self.honesty,
-                                                            self.attention, self.task, self.rater))
+        def build():
+            out = exclusion_ledger(self.consistent, self.fast, self.honesty, self.attention, self.task, self.rater)
+            return cut_lineage(out) if self.materialise else out
+
+        return self._get("ledger", build)
+
+    @property
+    def survivors(self) -> DataFrame:
+        """The profile of the completions of raters who are not excluded."""
+        return self._get("survivors", lambda: self.completions.join(
+            self.ledger.select(self.rater).distinct(), self.rater, "left_anti"))
 
     @property
     def final(self) -> DataFrame:
-        return self._get("final", lambda: apply_exclusions(self.exp_long, self.ledger, self.levels, self.task,
-                                                           self.rater, self.stim))
+        def build():
+            kept = self._trials(self.survivors).where(~F.col(self.stim).contains("check_"))
+            return kept if self.levels is None else kept.join(self.levels, self.task, "left")
+
+        return self._get("final", build)
 
     @property
     def quest(self) -> DataFrame:
-        return self._get("quest", lambda: restrict_to(self._quest_in, self.final, self.rater))
+        return self._get("quest", lambda: restrict_to(self._quest_in, self.survivors.where(F.col("n_answers") > 0),
+                                                      self.rater))
 
 
 def screen(raw: DataFrame, quest_df: DataFrame, order: Sequence[str], **kw) -> Screening:
@@ -356,20 +431,21 @@ def screen(raw: DataFrame, quest_df: DataFrame, order: Sequence[str], **kw) -> S
 
 
 def flow_counts(s: Screening, task: str = "exp", rater: str = "session_id") -> DataFrame:
-    """Q12: the flow as a long report (step, n); distinct counts are exact."""
+    """Q12: the flow as a long report (step, n); distinct counts are exact
+    and count a missing rater as one.  Everything is read from the profile
+    and the ledger (one row per completion), the trials are not."""
 
-    def one(df: DataFrame, name: str, expr: F.Column) -> DataFrame:
-        return df.agg(F.lit(name).alias("step"), expr.cast("long").alias("n"))
+    def one(df: DataFrame, name: str, n: F.Column) -> DataFrame:
+        return df.agg(n.cast("long").alias("n")).select(F.lit(name).alias("step"), "n")
 
+    raters = F.count_distinct(F.struct(rater))
+    start = s.profile.agg(raters.alias("initial_raters"), F.count(F.lit(1)).alias("initial_completions"))
     parts = [
-        # keep-first keeps every (rater, task) of the raw log, so the
-        # initial counts are read from it rather than rescanning the log.
-        one(s.firsts, "initial_raters", F.count_distinct(rater)),
-        one(s.firsts, "initial_completions", F.count_distinct(rater, task)),
-        one(s.exp_long, "complete_raters", F.count_distinct(rater)),
+        start.unpivot([], ["initial_raters", "initial_completions"], "step", "n"),
+        one(s.completions, "complete_raters", raters),
         one(s.ledger, "excluded_raters", F.count(F.lit(1))),
         one(s.consistent, "additionally_excluded", F.count(F.when(F.col("same_pcnt").isNull(), 1))),
-        one(s.final, "final_raters", F.count_distinct(rater)),
+        one(s.survivors.where(F.col("n_answers") > 0), "final_raters", raters),
     ]
     out = parts[0]
     for p in parts[1:]:

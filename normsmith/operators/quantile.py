@@ -1,170 +1,100 @@
-"""Exact quantiles of one column over a whole table, without one task
-holding all values (SURVEY A9, F8).
-
-Spark's ``percentile`` is exact but merges a value->count map of the whole
-group in one task: fine per rater, not for a global quantile over millions
-of rows.  Here the k-th smallest value is found by histogram refinement:
-each pass counts the rows of the current candidate range in ``buckets``
-equal-width buckets (a partial aggregate: at most ``buckets`` rows reach
-the driver), keeps the bucket that holds rank k, and repeats; once the
-candidate range holds at most ``exact_limit`` rows (or a single value) the
-k-th row is taken by a sort of those rows only.  The answer is exact; only
-bucket counts and a bounded candidate set ever leave the executors.
+"""Exact order statistics and quantiles, of a whole table or per group, with
+no task that holds all values of a group (SURVEY A8, A9, F8).
+
+One path for every size: values are counted in buckets that keep their order
+(the fourth root, so that a few thousand buckets cover any range), the bucket
+that holds the wanted rank is found by a running sum over a group's buckets,
+its values are counted in 4096 parts of the bucket, and the distinct values
+of the part with the rank are counted last.  Each step is a partial aggregate
+and a join with the (small) choice of the step before; which join that is,
+Spark decides by the measured sizes.  Nothing reaches the driver and no job
+runs while the plan is built.
+
+A null key is a group of its own.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def kth_smallest(df: DataFrame, col: str, k: int, buckets: int = 1 << 14, exact_limit: int = 1 << 16,
-                 max_passes: int = 12) -> float | None:
-    """0-based k-th smallest non-null value of ``col``."""
-    cur = df.select(F.col(col).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    rank = k
-    for _ in range(max_passes):
-        st = cur.agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")).first()
-        if st.n == 0 or rank >= st.n:
-            return None
-        if st.lo == st.hi:
-            return st.lo
-        if st.n <= exact_limit:
-            break
-        width = (st.hi - st.lo) / buckets
-        bucket = F.least(F.floor((F.col("__v") - F.lit(st.lo)) / F.lit(width)), F.lit(buckets - 1)).cast("long")
-        hist = sorted(cur.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect())
-        below = 0
-        chosen = None
-        for row in hist:
-            if rank < below + row.c:
-                chosen = row.b
-                break
-            below += row.c
-        if chosen is None:  # cannot happen: counts add up to n > rank
-            return None
-        rank -= below
-        cur = cur.where(bucket == chosen)
-    row = cur.orderBy("__v").offset(rank).limit(1).first()
-    return None if row is None else row["__v"]
-
-
-def exact_quantile(df: DataFrame, col: str, p: float, exact_limit: int = 1 << 16, **kw) -> float | None:
-    """Type-7 quantile (linear interpolation between order statistics, as R
-    ``quantile`` and Spark ``percentile``) of the non-null values.  A small
-    input is answered by one ordered fetch of the two neighbouring values;
-    a large one by ``kth_smallest`` refinement."""
-    vals = df.select(F.col(col).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    n = vals.count()
-    if n == 0:
-        return None
-    pos = (n - 1) * p
-    lower, higher = math.floor(pos), math.ceil(pos)
-    if n <= exact_limit:
-        got = [r["__v"] for r in vals.orderBy("__v").offset(lower).limit(higher - lower + 1).collect()]
-        x_lo, x_hi = got[0], got[-1]
-    else:
-        x_lo = kth_smallest(vals, "__v", lower, exact_limit=exact_limit, **kw)
-        x_hi = x_lo if higher == lower else kth_smallest(vals, "__v", higher, exact_limit=exact_limit, **kw)
-    if higher == lower:
-        return x_lo
-    return (higher - pos) * x_lo + (pos - lower) * x_hi
-
-
-def grouped_quantile(df: DataFrame, keys, col: str, p: float, limit: int = 1 << 20, buckets: int = 1 << 12,
-                     max_passes: int = 6, final_limit: int = 1 << 16, strict: bool = False,
+PARTS = 4096
+
+
+def order_statistics(df: DataFrame, keys: Sequence[str], col: str, ranks: dict[str, Column]) -> DataFrame:
+    """Per group of ``keys``: n_values (non-null values of ``col``), n_rows,
+    and for each entry of ``ranks`` the value at that 0-based rank, given as
+    an expression of ``n_values``; null where the group has no such rank."""
+    keys = list(keys)
+    value = F.col(col).cast("double")
+    # correctly rounded operations keep the order of the values
+    scaled = F.signum(value) * F.sqrt(F.sqrt(F.abs(value))) * 256
+    rows = df.select(F.struct(*[F.col(c) for c in keys], F.lit(0).alias("__0")).alias("__k"), value.alias("__v"),
+                     scaled.alias("__x"))
+    rows = rows.withColumn("__b", F.floor("__x")).withColumn("__s", F.floor((F.col("__x") - F.col("__b")) * PARTS))
+    group = Window.partitionBy("__k")
+    below = Window.unboundedPreceding
+
+    hist = rows.groupBy("__k", "__b").agg(F.count("__v").alias("__c"), F.count(F.lit(1)).alias("__all"))
+    hist = hist.select(
+        "__k", "__b", "__c", F.sum("__c").over(group).alias("n_values"), F.sum("__all").over(group).alias("n_rows"),
+        F.sum("__c").over(group.orderBy("__b").rowsBetween(below, 0)).alias("__upto"))
+    groups = hist.groupBy("__k").agg(F.max("n_values").alias("n_values"), F.max("n_rows").alias("n_rows"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), r.cast("long").alias("rank"))
+                                 for name, r in ranks.items()]))
+    first = F.col("__upto") - F.col("__c")
+    at = hist.withColumn("__r", wanted).where(
+        (F.col("__r.rank") >= first) & (F.col("__r.rank") < F.col("__upto"))
+    ).select("__k", "__b", F.col("__r.name").alias("__name"), (F.col("__r.rank") - first).alias("__rank"))
+
+    def step(parts: DataFrame, by: str, keep: list[str]) -> DataFrame:
+        """The element of ``by`` that holds each (group, name)'s rank."""
+        counts = parts.groupBy("__k", "__name", *keep, "__rank", by).agg(F.count("__v").alias("__c"))
+        run = Window.partitionBy("__k", "__name").orderBy(by).rowsBetween(below, 0)
+        counts = counts.withColumn("__upto", F.sum("__c").over(run))
+        return counts.where((F.col("__rank") >= first) & (F.col("__rank") < F.col("__upto"))).select(
+            "__k", "__name", *keep, by, (F.col("__rank") - first).alias("__rank"))
+
+    parts = step(rows.join(at, ["__k", "__b"]), "__s", ["__b"])
+    found = step(rows.join(parts, ["__k", "__b", "__s"]), "__v", [])
+    wide = found.groupBy("__k").agg(*[F.max(F.when(F.col("__name") == n, F.col("__v"))).alias(n) for n in ranks])
+    return groups.join(wide, "__k", "left").select(
+        *[F.col("__k")[c].alias(c) for c in keys], "n_values", "n_rows", *ranks)
+
+
+def grouped_quantile(df: DataFrame, keys: Sequence[str], col: str, p: float, strict: bool = False,
                      out: str = "q") -> DataFrame:
-    """Exact type-7 quantile of ``col`` per group, safe for hot groups.
-
-    Groups with at most ``limit`` values use Spark's ``percentile`` (its
-    buffer is bounded by the group).  The groups above ``limit`` -- at most
-    rows/limit of them, so their keys and small per-group state are safe to
-    broadcast -- are resolved by per-group histogram refinement: each pass
-    is one partial aggregate of (group, bucket) counts plus a window over at
-    most ``buckets`` rows per group, and the last step ranks only the
-    surviving candidates (at most about ``final_limit`` per group).  With
-    ``strict`` a group with any missing value gets null (R ``median``
-    without ``na.rm``)."""
-    from ..session import cut_lineage
-
-    k = list(keys)
-    base = df.select(*k, F.col(col).cast("double").alias("__v"))
-    stats = cut_lineage(base.groupBy(*k).agg(
-        F.count("__v").alias("__n"), F.count(F.lit(1)).alias("__all"),
-        F.min("__v").alias("__lo0"), F.max("__v").alias("__hi0")))
-    hot = stats.where(F.col("__n") > limit)
-    if hot.count() == 0:
-        res = base.groupBy(*k).agg(F.percentile("__v", p).alias(out))
-    else:
-        small = base.join(F.broadcast(hot.select(*k)), k, "left_anti")
-        res = small.groupBy(*k).agg(F.percentile("__v", p).alias(out)).unionByName(
-            _hot_quantiles(base.where(F.col("__v").isNotNull()), hot, k, p, buckets, max_passes, final_limit, out))
+    """Exact type-7 quantile (linear interpolation between order statistics,
+    as R ``quantile`` and Spark ``percentile``) of ``col`` per group.  With
+    ``strict`` a group with any missing value gets null (R ``median`` without
+    ``na.rm``)."""
+    at = (F.col("n_values") - 1).cast("double") * F.lit(p)
+    s = order_statistics(df, keys, col, {"__lo": F.floor(at), "__hi": F.ceil(at)})
+    whole = F.floor(at) == F.ceil(at)
+    q = F.when(whole, F.col("__lo")).otherwise(
+        (F.ceil(at) - at) * F.col("__lo") + (at - F.floor(at)) * F.col("__hi"))
     if strict:
-        res = res.join(stats.select(*k, "__n", "__all"), k).select(
-            *k, F.when(F.col("__all") > F.col("__n"), F.lit(None)).otherwise(F.col(out)).alias(out))
-    return res
-
-
-def _bucket(i: int, buckets: int):
-    lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-    b = F.least(F.floor((F.col("__v") - lo) / ((hi - lo) / F.lit(float(buckets)))), F.lit(buckets - 1))
-    return F.when(hi > lo, b).otherwise(F.lit(0)).cast("long")
-
-
-def _kth_per_group(base: DataFrame, st: DataFrame, k: list, buckets: int, max_passes: int,
-                   final_limit: int) -> DataFrame:
-    """Per group the value at 0-based ``__rank`` among its non-null values;
-    ``st`` holds (keys, __rank, __lo0, __hi0) for a bounded set of groups."""
-    from functools import reduce
-
-    from pyspark.sql import Window
-
-    from ..session import cut_lineage
-
-    conds = []
-    last = 0
-    for i in range(max_passes):
-        rows = base.join(F.broadcast(st), k)
-        cand = rows.where(reduce(lambda a, b: a & b, conds)) if conds else rows
-        b = _bucket(i, buckets)
-        hist = cand.groupBy(*k, b.alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
-        cum = F.sum("__c").over(Window.partitionBy(*k).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))
-        hist = hist.withColumn("__cum", cum).join(F.broadcast(st.select(*k, "__rank")), k)
-        pick = hist.where((F.col("__cum") - F.col("__c") <= F.col("__rank")) & (F.col("__rank") < F.col("__cum")))
-        pick = pick.select(*k, F.col("__b").alias(f"__b{i}"),
-                           (F.col("__rank") - (F.col("__cum") - F.col("__c"))).alias("__rank_next"),
-                           F.col("__c").alias("__m"))
-        chosen = cand.join(F.broadcast(pick.select(*k, f"__b{i}")), k).where(b == F.col(f"__b{i}"))
-        rng = chosen.groupBy(*k).agg(F.min("__v").alias(f"__lo{i + 1}"), F.max("__v").alias(f"__hi{i + 1}"))
-        st = cut_lineage(st.drop("__m").join(pick, k).drop("__rank").withColumnRenamed("__rank_next", "__rank")
-                         .join(rng, k))
-        conds.append(b == F.col(f"__b{i}"))
-        last = i + 1
-        open_groups = st.where((F.col("__m") > final_limit) & (F.col(f"__lo{last}") < F.col(f"__hi{last}")))
-        if open_groups.count() == 0:
-            break
-    lo, hi = F.col(f"__lo{last}"), F.col(f"__hi{last}")
-    settled = st.where(lo == hi).select(*k, lo.alias("__x"))
-    rows = base.join(F.broadcast(st.where(lo < hi)), k)
-    cand = rows.where(reduce(lambda a, b: a & b, conds))
-    ranked = cand.select(*k, "__v", "__rank", (F.row_number().over(Window.partitionBy(*k).orderBy("__v")) - 1)
-                         .alias("__i"))
-    picked = ranked.where(F.col("__i") == F.col("__rank")).select(*k, F.col("__v").alias("__x"))
-    return settled.unionByName(picked)
-
-
-def _hot_quantiles(base: DataFrame, hot: DataFrame, k: list, p: float, buckets: int, max_passes: int,
-                   final_limit: int, out: str) -> DataFrame:
-    pos = (F.col("__n") - 1).cast("double") * F.lit(p)
-    state = hot.select(*k, pos.alias("__pos"), F.floor(pos).cast("long").alias("__r0"),
-                       F.ceil(pos).cast("long").alias("__r1"), "__lo0", "__hi0")
-    x0 = _kth_per_group(base, state.select(*k, F.col("__r0").alias("__rank"), "__lo0", "__hi0"), k, buckets,
-                        max_passes, final_limit).withColumnRenamed("__x", "__x0")
-    x1 = _kth_per_group(base, state.select(*k, F.col("__r1").alias("__rank"), "__lo0", "__hi0"), k, buckets,
-                        max_passes, final_limit).withColumnRenamed("__x", "__x1")
-    j = state.join(x0, k).join(x1, k)
-    val = F.when(F.col("__r0") == F.col("__r1"), F.col("__x0")).otherwise(
-        (F.col("__r1") - F.col("__pos")) * F.col("__x0") + (F.col("__pos") - F.col("__r0")) * F.col("__x1"))
-    return j.select(*k, val.alias(out))
+        q = F.when(F.col("n_rows") == F.col("n_values"), q)
+    return s.select(*keys, q.alias(out))
+
+
+def quantile_scalar(df: DataFrame, col: str, p: float) -> Column:
+    """The quantile of all non-null values as a scalar subquery, for use in a
+    filter of the same plan (F8)."""
+    return grouped_quantile(df, [], col, p).select("q").scalar()
+
+
+def kth_smallest(df: DataFrame, col: str, k: int) -> float | None:
+    """0-based k-th smallest non-null value of ``col``."""
+    row = order_statistics(df, [], col, {"x": F.lit(k)}).first()
+    return None if row is None else row["x"]
+
+
+def exact_quantile(df: DataFrame, col: str, p: float) -> float | None:
+    """The quantile of all non-null values, on the driver."""
+    row = grouped_quantile(df, [], col, p).first()
+    q = None if row is None else row["q"]
+    return None if q is None or math.isnan(q) else q

@@ -68,25 +68,22 @@ def rater_samples(cells: DataFrame, n_seq: Sequence[int], n_iter: int, seed: int
     (group, n, iter) = the n raters with the smallest hash keys; sizes above
     the number of raters of a group are skipped, as in the reference.
 
-    One ranking per size with a literal bound (``row_number <= n``), so
-    Spark keeps only the n smallest per map task before the shuffle
-    (partial window-group limit): a task with millions of raters never
-    ranks them all in one place.  The iteration grid comes from
-    ``explode`` (no join)."""
-    from functools import reduce
-
+    One ranking over the (size, iteration) grid with a literal bound
+    (``row_number <= largest size``), so Spark keeps only that many per map
+    task before the shuffle (partial window-group limit): a task with
+    millions of raters never ranks them all in one place.  The grid comes
+    from ``explode`` (no join, one scan)."""
     g = list(group)
     raters = cells.select(*g, rater).distinct()
     avail = raters.groupBy(*g).agg(F.count(F.lit(1)).alias("__avail"))
     iters = F.explode(F.sequence(F.lit(iter_start).cast("long"), F.lit(iter_start + n_iter - 1).cast("long")))
-    parts = []
-    for n in n_seq:
-        grid = raters.withColumn("n", F.lit(int(n)).cast("long")).withColumn("iter", iters)
-        h = sort_key(seed, [*[F.col(c) for c in g], F.col("n"), F.col("iter"), F.col(rater)], algo)
-        w = Window.partitionBy(*g, "iter").orderBy(h, F.col(rater))
-        parts.append(grid.withColumn("__rk", F.row_number().over(w)).where(F.col("__rk") <= int(n))
-                     .select(*g, "n", "iter", rater))
-    samples = reduce(DataFrame.unionByName, parts)
+    sizes = F.explode(F.array(*[F.lit(int(n)).cast("long") for n in n_seq]))
+    grid = raters.withColumn("n", sizes).withColumn("iter", iters)
+    h = sort_key(seed, [*[F.col(c) for c in g], F.col("n"), F.col("iter"), F.col(rater)], algo)
+    w = Window.partitionBy(*g, "n", "iter").orderBy(h, F.col(rater))
+    largest = int(max(n_seq))
+    ranked = grid.withColumn("__rk", F.row_number().over(w)).where(F.col("__rk") <= largest)
+    samples = ranked.where(F.col("__rk") <= F.col("n")).select(*g, "n", "iter", rater)
     return samples.join(avail, g).where(F.col("n") <= F.col("__avail")).select(*g, "n", "iter", rater)
 
 
@@ -96,9 +93,11 @@ def icc_corridor(cells: DataFrame, n_seq: Sequence[int] = tuple(range(10, 101, 1
     """ICC(2,k) for every (group, n, iter) sample of raters, with the mean
     squares (for bounds).  No low-variety screen here (the reference does
     none); stimuli not answered by every sampled rater are left out."""
+    from ..session import cut_lineage
+
     g = list(group)
     samples = rater_samples(cells, n_seq, n_iter, seed, iter_start, g, rater, algo)
-    sampled = cells.join(samples, [*g, rater])
+    sampled = cut_lineage(cells.join(samples, [*g, rater]))  # read several times below
     key = [*g, "n", "iter"]
     rect = AG.complete_cases(sampled, key, rater, stim, value)
     ms = AG.mean_squares(AG.variance_sums(rect, key, rater, stim, value))
@@ -131,6 +130,17 @@ def corridor_thresholds(summary: DataFrame, thresholds: Sequence[float] = (0.75,
     return summary.groupBy(*group).agg(*aggs)
 
 
+def with_thresholds(summary: DataFrame, thresholds: Sequence[float] = (0.75, 0.90),
+                    group: Sequence[str] = ("exp",)) -> DataFrame:
+    """The summary with the thresholds of its group on every row (a
+    window over the summary, which is computed once)."""
+    w = Window.partitionBy(*group)
+    return summary.withColumns({
+        "n_for_" + f"{t:.2f}".replace(".", ""): F.min(F.when(F.col("icc_median") >= t, F.col("n"))).over(w)
+        for t in thresholds
+    })
+
+
 # --------------------------------------------------------------------------
 # W4 + R8  centre and bootstrap means
 # --------------------------------------------------------------------------

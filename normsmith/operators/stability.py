@@ -15,49 +15,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import resample as RS
+from .quantile import order_statistics
 
 
 def percentile_interval(means: DataFrame, interval: float = 0.95, group: Sequence[str] = ("exp",),
-                        size: str = "sample_size", value: str = "mean_rating", limit: int = 1 << 22) -> DataFrame:
+                        size: str = "sample_size", value: str = "mean_rating") -> DataFrame:
     """With len values and b = floor(len*(1-interval)/2), the sorted
     values at positions b and len-b (1-based), not a quantile estimate.
-    b = 0 has no lower position: ``ll`` is null then.
-
-    Groups of at most ``limit`` means are ranked by a window; larger ones
-    (a task with very many stimuli) get the two order statistics by
-    per-group histogram refinement, so no task sorts such a group whole."""
-    from ..session import cut_lineage
-    from .quantile import _kth_per_group
-
-    key = [*group, size]
-    b = F.floor(F.col("__len") * F.lit(1.0 - interval) / 2).cast("long")
-    stats = cut_lineage(means.groupBy(*key).agg(
-        F.count(value).alias("__len"), F.min(value).alias("__lo0"), F.max(value).alias("__hi0")))
-    big = stats.where(F.col("__len") > limit)
-    n_big = big.count()
-    rows = means.where(F.col(value).isNotNull())
-    small_rows = rows.join(F.broadcast(big.select(*key)), key, "left_anti") if n_big else rows
-    w = Window.partitionBy(*key)
-    ranked = small_rows.select(
-        *key, value,
-        F.row_number().over(w.orderBy(value)).alias("__pos"),
-        F.count(F.lit(1)).over(w).alias("__len"),
-    )
-    out = ranked.groupBy(*key).agg(
-        F.max(F.when((b > 0) & (F.col("__pos") == b), F.col(value))).alias("ll"),
-        F.max(F.when(F.col("__pos") == F.col("__len") - b, F.col(value))).alias("ul"),
-    )
-    if n_big:
-        base = rows.select(*key, F.col(value).cast("double").alias("__v"))
-        st = big.select(*key, b.alias("__b"), "__len", "__lo0", "__hi0")
-        lo = _kth_per_group(base, st.where(F.col("__b") > 0).select(*key, (F.col("__b") - 1).alias("__rank"),
-                                                                     "__lo0", "__hi0"), key, 1 << 12, 6, 1 << 16)
-        hi = _kth_per_group(base, st.select(*key, (F.col("__len") - F.col("__b") - 1).alias("__rank"), "__lo0",
-                                            "__hi0"), key, 1 << 12, 6, 1 << 16)
-        big_out = st.select(*key).join(lo.withColumnRenamed("__x", "ll"), key, "left") \
-            .join(hi.withColumnRenamed("__x", "ul"), key, "left")
-        out = out.unionByName(big_out)
-    return out
+    b = 0 has no lower position: ``ll`` is null then."""
+    n = F.col("n_values")
+    b = F.floor(n * F.lit(1.0 - interval) / 2)
+    return order_statistics(means, [*group, size], value, {"ll": b - 1, "ul": n - b - 1}).select(
+        *group, size, "ll", "ul")
 
 
 def normal_interval(means: DataFrame, interval: float = 0.95, group: Sequence[str] = ("exp",),
@@ -78,7 +47,7 @@ def interval(means: DataFrame, interval: float = 0.95, method: str = "percentile
         return percentile_interval(means, interval, group, size, value)
     if method == "normal":
         return normal_interval(means, interval, group, size, value)
-    raise ValueError("Invalid method for getting CI")
+    raise ValueError(f"unknown interval method {method!r}: percentile or normal")
 
 
 def _widest(ll: Column, ul: Column) -> Column:
@@ -108,9 +77,7 @@ def point_of_stability(cis: DataFrame, threshold: float = 0.5, inarow: int = 1,
     else:
         raise ValueError("mode must be 'first' or 'sustained'")
     flagged = cis.select(*group, size, F.row_number().over(w).alias("__idx"), run.alias("__run"))
-    keys = cis.select(*group).distinct()
-    pos = flagged.groupBy(*group).agg(F.min(F.when(F.col("__run"), F.col("__idx"))).cast("long").alias("pos"))
-    return keys.join(pos, list(group), "left")
+    return flagged.groupBy(*group).agg(F.min(F.when(F.col("__run"), F.col("__idx"))).cast("long").alias("pos"))
 
 
 def ribbon(cis: DataFrame, pos: DataFrame, group: Sequence[str] = ("exp",), size: str = "sample_size") -> DataFrame:

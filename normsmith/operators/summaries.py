@@ -90,10 +90,10 @@ def median_histogram(df: DataFrame, rater: str, task: str, rt: str, width: float
     quantile of the medians on every row."""
     from ..session import cut_lineage
     from .quality import median_rt
-    from .quantile import exact_quantile
+    from .quantile import quantile_scalar
 
     med = cut_lineage(median_rt(df, task, rater, rt))
-    cut = F.lit(exact_quantile(med, "med_rt", marker)).cast("double")
+    cut = quantile_scalar(med, "med_rt", marker)
     return med.where(F.col("med_rt").isNotNull()).groupBy(hist_bins(F.col("med_rt"), width).alias("bin_start")).agg(
         F.count(F.lit(1)).cast("long").alias("n")
     ).withColumn("marker", cut)
@@ -117,15 +117,20 @@ def equal_count_groups(df: DataFrame, item: str, sep: str = ", ") -> DataFrame:
 
 
 def rating_descriptives(cells: DataFrame, task: str = "exp", value: str = "dv") -> DataFrame:
-    """N, mean, sd, median, min, max per task."""
-    return cells.groupBy(task).agg(
+    """N, mean, sd, median, min, max per task; the median comes from
+    ``order_statistics``, so no task holds all answers of a rating task."""
+    from .quantile import grouped_quantile
+
+    d = cells.groupBy(task).agg(
         F.count(value).cast("long").alias("n"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("sd"),
-        F.median(value).alias("median"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
+    med = grouped_quantile(cells, [task], value, 0.5, out="median").withColumnRenamed(task, "__t")
+    return d.join(med, F.col(task).eqNullSafe(F.col("__t")), "left").select(
+        task, "n", "mean", "sd", "median", "min", "max")
 
 
 def share_within(df: DataFrame, by: Sequence[str], of: str, n: str = "n") -> DataFrame:

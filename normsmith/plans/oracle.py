@@ -257,7 +257,7 @@ cms as (
   from csums
 ),
 corridor as (
-  select exp, n, iter, k as n_raters,
+  select exp, n, iter, k as n_raters, nn as n_stimuli,
          case when k >= 2 and nn >= 2 then (msb - mse) / (msb + (msj - mse) / nn) end as icc2k
   from cms
 ),
@@ -313,7 +313,7 @@ CORRIDOR_BASE = _with(RATINGS, FIRSTS, CELLS, CORRIDOR)
 BOOT_BASE = _with(RATINGS, FIRSTS, CELLS, BOOT)
 
 ORACLE.update({
-    "icc_corridor": CORRIDOR_BASE + "select exp, n, iter, n_raters, round(icc2k, 6) as icc2k from corridor",
+    "icc_corridor": CORRIDOR_BASE + "select exp, n, iter, n_raters, n_stimuli, round(icc2k, 6) as icc2k from corridor",
     "icc_corridor_summary": CORRIDOR_BASE
     + """select exp, n, round(icc_median, 6) as icc_median, round(icc_low, 6) as icc_low,
         round(icc_high, 6) as icc_high from csummary""",

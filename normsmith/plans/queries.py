@@ -179,7 +179,14 @@ def _corridor(spark, sf):
 @register("icc_corridor")
 def q_corridor(spark, sf):
     c = _corridor(spark, sf)
-    return c.select("exp", "n", "iter", "n_raters", r6("icc2k").alias("icc2k"))
+    return c.select("exp", "n", "iter", "n_raters", "n_stimuli", r6("icc2k").alias("icc2k"))
+
+
+@register("icc_corridor_bounds")
+def q_corridor_bounds(spark, sf):
+    c = AG.with_icc_bounds(_corridor(spark, sf))
+    return c.select("exp", "n", "iter", "n_stimuli", r6("icc2k").alias("icc2k"),
+                    r6("icc2k_lower").alias("icc2k_lower"), r6("icc2k_upper").alias("icc2k_upper"))
 
 
 @register("icc_corridor_summary")
@@ -526,9 +533,7 @@ def q_rt_hist(spark, sf):
 def q_corr_ribbon(spark, sf):
     from ..operators import resample as RS
 
-    s = RS.corridor_summary(_corridor(spark, sf))
-    t = RS.corridor_thresholds(s)
-    return s.join(t, "exp", "left").select(
+    return RS.with_thresholds(RS.corridor_summary(_corridor(spark, sf))).select(
         "exp", "n", r6("icc_median").alias("icc_median"), r6("icc_low").alias("icc_low"),
         r6("icc_high").alias("icc_high"), "n_for_075", "n_for_090",
     )

@@ -136,11 +136,11 @@ def test_exact_quantile_matches_numpy(spark):
     vals = np.concatenate([rng.lognormal(3, 2, 5000), np.full(300, 7.25), rng.integers(0, 50, 2000).astype(float)])
     df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "x double").repartition(6)
     for p in (0.0, 0.01, 0.25, 0.5, 0.975, 1.0):
-        got = exact_quantile(df, "x", p, buckets=64, exact_limit=50)   # force several refinement passes
+        got = exact_quantile(df, "x", p)
         assert got == pytest.approx(float(np.quantile(vals, p)), rel=1e-12, abs=1e-12)
     s = np.sort(vals)
     for k in (0, 1, 299, 4000, len(vals) - 1):
-        assert kth_smallest(df, "x", k, buckets=16, exact_limit=10) == s[k]
+        assert kth_smallest(df, "x", k) == s[k]
     assert exact_quantile(df.where("x is null"), "x", 0.5) is None
 
 
@@ -190,12 +190,12 @@ def test_grouped_quantile_hot_groups(spark):
     rows += [("small", float(v)) for v in (1, 2, 3, 10)] + [("nul", 1.0), ("nul", None)]
     df = spark.createDataFrame(rows, "g string, x double").repartition(7)
     for p in (0.5, 0.01, 0.9):
-        got = {r.g: r.q for r in grouped_quantile(df, ["g"], "x", p, limit=500, buckets=32, final_limit=100).collect()}
+        got = {r.g: r.q for r in grouped_quantile(df, ["g"], "x", p).collect()}
         want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("x", p).alias("q")).collect()}
         assert set(got) == set(want)
         for g in want:
             assert got[g] == pytest.approx(want[g], rel=1e-12), (g, p)
-    strict = {r.g: r.q for r in grouped_quantile(df, ["g"], "x", 0.5, limit=500, strict=True).collect()}
+    strict = {r.g: r.q for r in grouped_quantile(df, ["g"], "x", 0.5, strict=True).collect()}
     assert strict["nul"] is None and strict["small"] == 2.5
 
 
@@ -204,7 +204,7 @@ def test_percentile_interval_large_groups(spark):
     rows = [("T", 1, float(v)) for v in rng.normal(0, 1, 3000)] + [("T", 2, float(v)) for v in range(10)]
     df = spark.createDataFrame(rows, "exp string, sample_size long, mean_rating double").repartition(4)
     a = {r.sample_size: (r.ll, r.ul) for r in ST.percentile_interval(df).collect()}
-    b = {r.sample_size: (r.ll, r.ul) for r in ST.percentile_interval(df, limit=100).collect()}
+    b = {r.sample_size: (r.ll, r.ul) for r in ST.percentile_interval(df).collect()}
     assert a == b
     s = sorted(v for _, n, v in rows if n == 1)
     assert a[1] == (s[75 - 1], s[3000 - 75 - 1])
