@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values (they must equal the source exports): the pattern of the
-# title prefix removed from task resource names, a title carrying that
+# Defaults of a study's own names, to be given for real exports: the pattern
+# of the title prefix removed from task resource names, a title carrying that
 # prefix, and the folder prefixes removed from trial names.
-TITLE_PATTERN = "ManyFaces? Pilot Ratings: "
-TITLE_EXAMPLE = "ManyFaces Pilot Ratings: "
-TRIAL_FOLDERS = ("manyfaces", "attention_checks")
+TITLE_PATTERN = "(?:Pilot )?Study Ratings: "
+TITLE_EXAMPLE = "Pilot Study Ratings: "
+TRIAL_FOLDERS = ("stimuli", "attention_checks")
 
 
 def first_match_removed(col: Column, pattern: str) -> Column:
@@ -28,10 +28,10 @@ def strip_prefix(col: Column, prefixes: tuple[str, ...] = TRIAL_FOLDERS) -> Colu
     return F.regexp_replace(col, F.lit(f"^({alt})/"), F.lit(""))
 
 
-def task_label(res_name: Column) -> Column:
+def task_label(res_name: Column, pattern: str = TITLE_PATTERN) -> Column:
     """Task label from the resource name (first match of the title
     prefix removed, then trimmed)."""
-    return F.trim(first_match_removed(res_name, TITLE_PATTERN))
+    return F.trim(first_match_removed(res_name, pattern))
 
 
 def split_parts(col: Column, delim: str, names: tuple[str, ...], require: bool = True) -> list[Column]:

@@ -176,7 +176,7 @@ def honesty_failed(quest_df: DataFrame, rater: str = "session_id", answer: str =
     return (
         quest_df.select(rater, F.col(answer).alias("honesty_check"))
         .distinct()
-        .where(F.col("honesty_check") != ok)
+        .where(F.col("honesty_check").cast("string") != F.lit(str(ok)))
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import strip_prefix, task_label
+from ..functions.text import TITLE_PATTERN, strip_prefix, task_label
 
 
 def column_range(df: DataFrame, first: str, last: str) -> list[str]:
@@ -88,7 +88,7 @@ COMPONENT = T.StructType([
 PROJECT = T.ArrayType(COMPONENT)
 
 
-def task_dimension(components: DataFrame) -> DataFrame:
+def task_dimension(components: DataFrame, title_pattern: str = TITLE_PATTERN) -> DataFrame:
     """One row per component of type ``exp``: id, name, label (P3), its
     texts and settings, number of trials and of stimuli."""
     exps = components.where(F.col("component_type") == "exp")
@@ -96,7 +96,7 @@ def task_dimension(components: DataFrame) -> DataFrame:
         F.col("id").alias("exp_id"),
         "name",
         "res_name",
-        task_label(F.col("res_name")).alias("exp"),
+        task_label(F.col("res_name"), title_pattern).alias("exp"),
         "instructions",
         "question",
         "exptype",

@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.nulls import normalise_nulls, to_int_truncating
-from ..functions.text import split_parts, strip_prefix
+from ..functions.text import TITLE_PATTERN, TRIAL_FOLDERS, split_parts, strip_prefix
 from ..operators import agreement as AG
 from ..operators import clean as CL
 from ..operators import quality as Q
 from ..operators import reshape as RE
 from ..operators import resample as RS
 from ..operators import stability as ST
+from ..operators import summaries as SM
+from ..session import checkpoint_dir
 from ..sources import files as FS
 
 TRIAL_SCHEMA = (
@@ -35,8 +37,8 @@ TRIAL_SCHEMA = (
 )
 QUEST_SCHEMA = "session_id long, q_name string, dv string, endtime timestamp, user_status string"
 
-# Questionnaire items that become columns, and the task
-# order of the reference study.
+# Questionnaire items that become columns, the task order and
+# the task families.
 QUESTIONS = ["age", "gender", "ethnicity", "residence", "device", "try"]
 TASK_ORDER = [
     "attractive", "dominant", "trustworthy", "attractive (unstd)", "dominant (unstd)", "trustworthy (unstd)",
@@ -60,10 +62,13 @@ class StudyConfig:
     cos_threshold: float = 0.5
     seed: int = 123
     boot_method: str = "auto"
+    title_pattern: str = TITLE_PATTERN         # the study's title prefix, as a pattern
+    trial_folders: tuple = TRIAL_FOLDERS       # folder prefixes of trial names
     families: dict = field(default_factory=lambda: {
         "trait": {"tasks": TRAIT_TASKS},
         "unstd": {"pattern": "unstd"},
         "emotion": {"tasks": EMOTION_TASKS},
+        "emotion_category": {"pattern": "^em", "numeric": False},
     })
 
 
@@ -73,17 +78,17 @@ def prepare(spark: SparkSession, trials: str, quest: str, project: str, cfg: Stu
     """Data preparation: returns the cleaned tables and the ledger."""
     cfg = cfg or StudyConfig()
     comps = FS.read_project_json(spark, project, RE.PROJECT)
-    tasks = RE.task_dimension(comps).select("exp_id", "exp", F.col("trials").alias("trials_total"))
+    tasks = RE.task_dimension(comps, cfg.title_pattern).select("exp_id", "exp", F.col("trials").alias("trials_total"))
     raw = FS.read_csv(spark, trials, TRIAL_SCHEMA)
     raw = (
-        raw.select("session_id", "exp_id", strip_prefix(F.col("trial_name")).alias("trial_name"), "dv", "rt", "dt")
+        raw.select("session_id", "exp_id", strip_prefix(F.col("trial_name"), cfg.trial_folders).alias("trial_name"), "dv", "rt", "dt")
         .distinct()
         .join(tasks, "exp_id", "left")
     )
     q_raw = FS.read_csv(spark, quest, QUEST_SCHEMA).select("session_id", "q_name", "dv", "endtime").distinct()
     q_wide = RE.eav_to_wide(q_raw, ["session_id", "endtime"], "q_name", "dv", QUESTIONS)
     q_wide = q_wide.withColumn("age", to_int_truncating(F.col("age"))).withColumn(
-        "try_answer", F.col("try").try_cast("int"))
+        "try_answer", F.col("try"))  # compared as text: any other answer than the honest one fails
     if quest_ethnicity_recode:
         rec = FS.read_csv(spark, quest_ethnicity_recode, "ethnicity string, ethnicity_rec string", null_value="",
                           tokens=None)
@@ -136,9 +141,15 @@ def agreement(data_exp: DataFrame, cfg: StudyConfig | None = None) -> dict[str,
     cells = data_exp.select("exp", "session_id", "trial_name", "dv")
     out: dict[str, DataFrame] = {}
     for fam, sel in cfg.families.items():
-        sub = AG.task_subset(cells, tasks=sel.get("tasks"), pattern=sel.get("pattern"))
-        out[f"icc_{fam}"] = AG.with_icc_bounds(AG.icc2k(sub))
-        out[f"alpha_{fam}"] = AG.cronbach_alpha(sub).join(AG.omega_total(sub).select("exp", "omega_t"), "exp", "left")
+        numeric = sel.get("numeric", True)
+        sub = AG.task_subset(cells, tasks=sel.get("tasks"), pattern=sel.get("pattern"), numeric=numeric)
+        if not numeric:  # categories: counts and shares of the answers
+            out[f"counts_{fam}"] = SM.share_within(sub, ["exp", "trial_name"], "dv")
+            continue
+        # all present cells, as a mixed model would use them
+        out[f"icc_{fam}"] = AG.with_icc_bounds(AG.icc2k(sub, missing="all"))
+        out[f"alpha_{fam}"] = AG.cronbach_alpha(sub, missing="all").join(
+            AG.omega_total(sub).select("exp", "omega_t", "converged"), "exp", "left")
         res = ST.stability_stats(sub, cfg.boot_n, cfg.boot_iters, cos_threshold=cfg.cos_threshold, seed=cfg.seed,
                                  method=cfg.boot_method)
         out[f"stability_ci_{fam}"] = res.cis
@@ -174,6 +185,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", required=True)
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName("normsmith-study").getOrCreate()
+    if checkpoint_dir(spark) is None:  # what is read often is staged beside the results
+        spark.sparkContext.setCheckpointDir(f"{a.out.rstrip('/')}/_stage")
     prep = prepare(spark, a.trials, a.quest, a.project, models=a.models, gender_recode=a.gender_recode,
                    ethnicity_recode=a.ethnicity_recode, quest_ethnicity_recode=a.quest_ethnicity_recode)
     write_all(prep, a.out)

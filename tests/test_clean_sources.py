@@ -45,7 +45,7 @@ def test_level_counts_keeps_zero_levels(spark):
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("check_o_3 check_x_4",), ("ManyFace Pilot Ratings:  Attractive ",),
+    df = spark.createDataFrame([("check_o_3 check_x_4",), ("Study Ratings:  Attractive ",),
                                 ("attention_checks/check_a_1",)], "s string")
     r = df.select(first_match_removed(F.col("s"), "check_[a-z0-9-]+_").alias("a"), task_label(F.col("s")).alias("b"),
                   strip_prefix(F.col("s")).alias("c")).collect()
