@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
+
 
 def _betacf(a: float, b: float, x: float, eps: float = 1e-15, itmax: int = 10000) -> float:
     tiny = 1e-300
@@ -125,3 +127,75 @@ def icc2k_bounds(msb: float, msj: float, mse: float, n: int, k: int, conf: float
         return k * x / (1 + (k - 1) * x)
 
     return (up(lo), up(hi))
+
+
+# ------------------------------------------------------------ whole columns
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _betacf_array(a: np.ndarray, b: np.ndarray, x: np.ndarray, eps: float = 1e-15, itmax: int = 10000) -> np.ndarray:
+    tiny = 1e-300
+
+    def safe(v: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(v) > tiny, v, tiny)
+
+    c = np.ones_like(x)
+    d = 1.0 / safe(1.0 - (a + b) * x / (a + 1.0))
+    h = d.copy()
+    for m in range(1, itmax + 1):
+        for aa in (m * (b - m) * x / ((a - 1.0 + 2 * m) * (a + 2 * m)),
+                   -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 1.0 + 2 * m))):
+            d = 1.0 / safe(1.0 + aa * d)
+            c = safe(1.0 + aa / c)
+            h *= d * c
+        if (np.abs(d * c - 1.0) < eps).all():
+            break
+    return h
+
+
+def betainc_array(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``betainc`` of whole columns."""
+    inside = np.clip(x, 1e-300, 1.0 - 1e-16)
+    front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(inside) + b * np.log1p(-inside))
+    left = inside < (a + 1.0) / (a + b + 2.0)
+    p, q, y = np.where(left, a, b), np.where(left, b, a), np.where(left, inside, 1.0 - inside)
+    part = front * _betacf_array(p, q, y) / p
+    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.where(left, part, 1.0 - part)))
+
+
+def f_ppf_array(p: float, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    """Quantiles of F(d1, d2) by bisection of all rows at once; NaN for bad
+    parameters."""
+    ok = (d1 > 0) & (d2 > 0) & np.isfinite(d1) & np.isfinite(d2)
+    a, b = np.where(ok, d1, 1.0) / 2.0, np.where(ok, d2, 1.0) / 2.0
+
+    def cdf(v: np.ndarray) -> np.ndarray:
+        return betainc_array(a, b, a * v / (a * v + b))
+
+    lo, hi = np.zeros_like(a), np.ones_like(a)
+    while (short := (cdf(hi) < p) & (hi < 1e300)).any():
+        lo, hi = np.where(short, hi, lo), np.where(short, hi * 2.0, hi)
+    for _ in range(200):
+        mid = 0.5 * (lo + hi)
+        below = cdf(mid) < p
+        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+        if (hi - lo <= 1e-15 * np.maximum(1.0, np.abs(mid))).all():
+            break
+    return np.where(ok, 0.5 * (lo + hi), np.nan)
+
+
+def icc2k_bounds_array(msb, msj, mse, n, k, conf: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
+    """``icc2k_bounds`` of whole columns."""
+    msb, msj, mse, n, k = (np.asarray(v, dtype=float) for v in (msb, msj, mse, n, k))
+    ok = (n >= 2) & (k >= 2) & (mse > 0) & np.isfinite(msb) & np.isfinite(msj)
+    with np.errstate(all="ignore"):
+        q = 1.0 - (1.0 - conf) / 2.0
+        r = (msb - mse) / (msb + (k - 1) * mse + k * (msj - mse) / n)
+        fj = msj / mse
+        a = n * (1 + (k - 1) * r) - k * r
+        v = (k - 1) * (n - 1) * (k * r * fj + a) ** 2 / ((n - 1) * k * k * r * r * fj * fj + a * a)
+        v, df = np.where(ok, v, np.nan), np.where(ok, n - 1, np.nan)
+        f1, f2 = f_ppf_array(q, df, v), f_ppf_array(q, v, df)
+        c = k * msj + (k * n - k - n) * mse
+        bounds = (n * (msb - f1 * mse) / (f1 * c + n * msb), n * (f2 * msb - mse) / (c + n * f2 * msb))
+        return tuple(np.where(ok, k * x / (1 + (k - 1) * x), np.nan) for x in bounds)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dist import icc2k_bounds
+from ..functions.dist import icc2k_bounds_array
 
 
 # --------------------------------------------------------------------------
@@ -309,9 +309,8 @@ _BOUNDS_SCHEMA = T.StructType([T.StructField("lower", T.DoubleType()), T.StructF
 
 @F.pandas_udf(_BOUNDS_SCHEMA)
 def _bounds_udf(msb: pd.Series, msj: pd.Series, mse: pd.Series, n: pd.Series, k: pd.Series) -> pd.DataFrame:
-    rows = [icc2k_bounds(*vals) if not any(pd.isna(v) for v in vals) else (float("nan"), float("nan"))
-            for vals in zip(msb, msj, mse, n, k)]
-    return pd.DataFrame(rows, columns=["lower", "upper"])
+    lower, upper = icc2k_bounds_array(msb, msj, mse, n, k)
+    return pd.DataFrame({"lower": lower, "upper": upper})
 
 
 def with_icc_bounds(icc: DataFrame) -> DataFrame:

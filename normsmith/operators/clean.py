@@ -1,8 +1,8 @@
 """Recodes, unit rules and level sets.
 
-Lookup tables here are small literal dimensions whose size is known when
-the job is built, so broadcasting them is safe; their keys are checked for
-uniqueness first (a duplicate key would silently multiply rows).
+Lookup tables are joined plainly: Spark broadcasts one whose measured size
+allows it.  Their keys are checked for uniqueness first (a duplicate key
+would silently multiply rows).
 """
 
 from __future__ import annotations
@@ -36,13 +36,13 @@ def recode(df: DataFrame, col: str, table: DataFrame, out: str, keep_na_label: b
            check: bool = True) -> DataFrame:
     """P10 + P15 + J1: lower-case ``col``, left-join the recode table,
     unmatched -> null.  The label text ``NA`` becomes null unless
-    ``keep_na_label`` (the reference keeps it as text).  The table is a
-    small dimension (broadcast); its keys are checked for repeats first."""
+    ``keep_na_label`` (the reference keeps it as text).  The table's
+    keys are checked for repeats first."""
     if check:
         check_unique(table, table.columns[0])
     dim = table.withColumnRenamed(table.columns[0], "__rk")
     lowered = df.withColumn(col, F.lower(F.col(col)))
-    joined = lowered.join(F.broadcast(dim), F.col(col) == F.col("__rk"), "left").drop("__rk")
+    joined = lowered.join(dim, F.col(col) == F.col("__rk"), "left").drop("__rk")
     if not keep_na_label:
         joined = joined.withColumn(out, F.when(F.col(out) == "NA", F.lit(None)).otherwise(F.col(out)))
     return joined
@@ -83,7 +83,7 @@ def level_table(spark: SparkSession, levels: Sequence[str], labels: Sequence[str
 def as_factor(df: DataFrame, col: str, levels: DataFrame) -> DataFrame:
     """Value outside the level set -> null label and null order."""
     dim = levels.withColumnRenamed(levels.columns[0], "__lv")
-    return df.join(F.broadcast(dim), F.col(col) == F.col("__lv"), "left").drop("__lv")
+    return df.join(dim, F.col(col) == F.col("__lv"), "left").drop("__lv")
 
 
 def level_counts(df: DataFrame, col: str, levels: DataFrame) -> DataFrame:

@@ -257,7 +257,7 @@ def apply_exclusions(
     set get a null order, as a factor would give NA."""
     kept = facts.join(ledger.select(rater).distinct(), rater, "left_anti").where(~F.col(stim).contains("check_"))
     if levels is not None:
-        kept = kept.join(F.broadcast(levels), task, "left")
+        kept = kept.join(levels, task, "left")
     return kept
 
 

@@ -18,6 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import agreement as AG
 
@@ -144,19 +145,37 @@ def with_thresholds(summary: DataFrame, thresholds: Sequence[float] = (0.75, 0.9
 # --------------------------------------------------------------------------
 # W4 + R8  centre and bootstrap means
 # --------------------------------------------------------------------------
+def _order_bucket(df: DataFrame, rater: str) -> Column:
+    """A coarse bucket of the rater id that keeps its order."""
+    if isinstance(df.schema[rater].dataType, T.NumericType):
+        x = F.col(rater).cast("double")
+        return F.floor(F.signum(x) * F.sqrt(F.sqrt(F.abs(x))) * 256)
+    return F.substring(F.col(rater).cast("string"), 1, 3)
+
+
 def centred(cells: DataFrame, group: Sequence[str] = ("exp",), stim: str = "trial_name", value: str = "dv",
             rater: str = "session_id") -> DataFrame:
     """Ratings centred on their stimulus mean (``scale(scale=FALSE)``) with
     their 1-based position among the stimulus' ratings (by rater) and the
-    stimulus' rating count m.  Missing ratings are left out."""
-    w = Window.partitionBy(*group, stim)
-    rows = cells.where(F.col(value).isNotNull())
-    return rows.select(
-        *group, stim, rater,
-        (F.col(value).cast("double") - F.avg(F.col(value).cast("double")).over(w)).alias("rating_c"),
-        F.row_number().over(w.orderBy(rater)).alias("pos"),
-        F.count(F.lit(1)).over(w).alias("m"),
-    )
+    stimulus' rating count m.  Missing ratings are left out.
+
+    Counts and sums per (stimulus, range of raters) are partial aggregates;
+    a position is the count of the ranges before plus the place within the
+    range, so no task sorts or holds a whole stimulus."""
+    key = [*group, stim]
+    rows = cells.where(F.col(value).isNotNull()).select(
+        *key, rater, F.col(value).cast("double").alias("__x"), _order_bucket(cells, rater).alias("__b"))
+    w = Window.partitionBy(*key)
+    ranges = rows.groupBy(*key, "__b").agg(F.count(F.lit(1)).alias("__c"), F.sum("__x").alias("__s"))
+    ranges = ranges.select(
+        *key, "__b",
+        F.coalesce(F.sum("__c").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        .alias("__before"),
+        F.sum("__c").over(w).alias("m"), (F.sum("__s").over(w) / F.sum("__c").over(w)).alias("__mean"))
+    place = F.row_number().over(Window.partitionBy(*key, "__b").orderBy(rater))
+    return rows.join(ranges, [*key, "__b"]).select(
+        *key, rater, (F.col("__x") - F.col("__mean")).alias("rating_c"),
+        (F.col("__before") + place).cast("int").alias("pos"), "m")
 
 
 def work_partitions(df: DataFrame) -> int:
@@ -173,25 +192,20 @@ def work_partitions(df: DataFrame) -> int:
 
 def bootstrap_means(cells: DataFrame, N: int = 100, iterations: int = 500, seed: int = 123, iter_start: int = 0,
                     group: Sequence[str] = ("exp",), stim: str = "trial_name", value: str = "dv",
-                    rater: str = "session_id", method: str = "auto", max_array: int = 100_000,
-                    algo: str = "md5") -> DataFrame:
+                    rater: str = "session_id", method: str = "join", algo: str = "md5") -> DataFrame:
     """For every (group, stim), sample size n in 1..N and iteration, the
     mean of n centred ratings drawn with replacement.
 
+    ``method='join'`` (the default) emits one row per draw and joins it to
+    the ratings by (group, stim, position): no bound on ratings per stimulus.
     ``method='array'`` keeps each stimulus' ratings as one sorted array and
-    computes every mean with a higher-order ``aggregate`` over its n draws:
-    one output row per mean, no per-draw rows.  Its array is one stimulus'
-    ratings, so it is used only when the largest stimulus holds at most
-    ``max_array`` ratings (checked with one small aggregate).
-    ``method='join'`` emits one row per draw and joins it to the ratings by
-    (group, stim, position): no bound on ratings per stimulus.
-    ``'auto'`` picks by the check.
+    computes every mean with a higher-order ``aggregate`` over its n draws;
+    ``'arrow'`` does so in NumPy.  Both hold one stimulus' ratings in a row:
+    they are for studies whose stimuli have a known, small number of ratings,
+    and are only used when asked for.
     """
     g = list(group)
     c = centred(cells, g, stim, value, rater)
-    if method == "auto":
-        largest = c.agg(F.max("m")).first()[0] or 0
-        method = "array" if largest <= max_array else "join"
     sizes = F.sequence(F.lit(1).cast("long"), F.lit(N).cast("long"))
     iters = F.sequence(F.lit(iter_start).cast("long"), F.lit(iter_start + iterations - 1).cast("long"))
 
@@ -236,7 +250,7 @@ def bootstrap_means(cells: DataFrame, N: int = 100, iterations: int = 500, seed:
         return picked.groupBy(*g, stim, "sample_size", "iteration").agg(F.avg("rating_c").alias("mean_rating"))
     if method == "arrow":
         return _bootstrap_arrow(c, g, stim, N, iterations, seed, iter_start)
-    raise ValueError("method must be 'auto', 'array', 'join' or 'arrow'")
+    raise ValueError("method must be 'join', 'array' or 'arrow'")
 
 
 def _bootstrap_arrow(c: DataFrame, g: list[str], stim: str, N: int, iterations: int, seed: int,
@@ -248,7 +262,6 @@ def _bootstrap_arrow(c: DataFrame, g: list[str], stim: str, N: int, iterations:
     partitioning or retries (but differs from the md5 draws)."""
     import numpy as np
     import pandas as pd
-    from pyspark.sql import types as T
 
     per_stim = c.groupBy(*g, stim).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "rating_c"))), lambda x: x["rating_c"]).alias("__r")

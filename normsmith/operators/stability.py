@@ -11,10 +11,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import resample as RS
+from .clean import widest
 from .quantile import order_statistics
 
 
@@ -50,12 +51,6 @@ def interval(means: DataFrame, interval: float = 0.95, method: str = "percentile
     raise ValueError(f"unknown interval method {method!r}: percentile or normal")
 
 
-def _widest(ll: Column, ul: Column) -> Column:
-    """``pmax(abs(ll), abs(ul))`` (null if either is null; ``greatest``
-    alone would skip the null)."""
-    return F.when(ll.isNull() | ul.isNull(), F.lit(None)).otherwise(F.greatest(F.abs(ll), F.abs(ul)))
-
-
 def point_of_stability(cis: DataFrame, threshold: float = 0.5, inarow: int = 1, mode: str = "first",
                        group: Sequence[str] = ("exp",), size: str = "sample_size") -> DataFrame:
     """Per group, the first size (position in the ordered series) from
@@ -66,7 +61,7 @@ def point_of_stability(cis: DataFrame, threshold: float = 0.5, inarow: int = 1,
     Null when no such size exists or the series is shorter than ``inarow``.
     """
     t = abs(threshold)
-    stable = F.coalesce((_widest(F.col("ll"), F.col("ul")) < t).cast("int"), F.lit(0))
+    stable = F.coalesce((widest(F.col("ll"), F.col("ul")) < t).cast("int"), F.lit(0))
     w = Window.partitionBy(*group).orderBy(size)
     if mode == "first":
         frame = w.rowsBetween(0, inarow - 1)
@@ -97,7 +92,7 @@ class StabilityResult:
 def stability_stats(cells: DataFrame, N: int = 100, iterations: int = 500, ci_interval: float = 0.95,
                     ci_method: str = "percentile", cos_threshold: float = 0.5, seed: int = 123, iter_start: int = 0,
                     save_means: bool = False, group: Sequence[str] = ("exp",), stim: str = "trial_name",
-                    value: str = "dv", rater: str = "session_id", method: str = "auto",
+                    value: str = "dv", rater: str = "session_id", method: str = "join",
                     algo: str = "md5") -> StabilityResult:
     """Centre -> resample -> interval per (group, N) -> POS.  The means
     are checkpointed once (when a checkpoint folder is configured): the

@@ -64,7 +64,7 @@ def images_per_type(models: DataFrame, flags: Sequence[str], levels: DataFrame)
     typed = counts.select(F.element_at(parts, 1).alias("type"), F.element_at(parts, 2).alias("emotion"), "n")
     wide = RE.long_to_wide(typed, ["emotion"], "type", "n", ["std", "unstd"])
     lv = levels.withColumnRenamed(levels.columns[0], "emotion")
-    return wide.join(F.broadcast(lv), "emotion", "left").select(
+    return wide.join(lv, "emotion", "left").select(
         F.col("label").alias("emotion"), "ord", F.col("std").cast("long").alias("std"),
         F.col("unstd").cast("long").alias("unstd"),
     )

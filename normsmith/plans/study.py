@@ -61,7 +61,7 @@ class StudyConfig:
     boot_iters: int = 300
     cos_threshold: float = 0.5
     seed: int = 123
-    boot_method: str = "auto"
+    boot_method: str = "join"
     title_pattern: str = TITLE_PATTERN         # the study's title prefix, as a pattern
     trial_folders: tuple = TRIAL_FOLDERS       # folder prefixes of trial names
     families: dict = field(default_factory=lambda: {
@@ -99,7 +99,7 @@ def prepare(spark: SparkSession, trials: str, quest: str, project: str, cfg: Stu
         first_task_only=cfg.first_task_only, keep=cfg.keep, scope=cfg.scope, substring_task=cfg.substring_task,
         task="exp_id",
     )
-    final = s.final.join(F.broadcast(levels), "exp", "left")
+    final = s.final.join(levels, "exp", "left")
     out = {
         "exp_long": s.exp_long,
         "exclusions": s.ledger,
