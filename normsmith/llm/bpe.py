@@ -27,8 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Pieces remembered by a worker before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 # Letters and digits that Unicode added after version 16, which
 # the tokenizer's pattern does not take for such.
 NEWER = regex.compile(
@@ -110,7 +112,11 @@ class Bpe:
         self.pair_keys = keys[order]
         self.pair_rank = order.astype(np.int64)
         self.merged = np.array(merged, np.int64)  # by rank
-        # known pieces: number, ids as little-endian bytes, tokens joined by a space
+        self.forget()
+
+    def forget(self) -> None:
+        """Known pieces: number, ids as little-endian bytes, tokens joined by
+        a space."""
         self.known: dict[str, int] = {}
         self.ids: list[bytes] = []
         self.shown: list[str] = []
@@ -204,7 +210,7 @@ class Bpe:
     def codes(self, texts: list[str]) -> list[list[int]]:
         """Texts as numbers of known pieces."""
         if len(self.known) > REMEMBERED:
-            self.known, self.ids, self.shown = {}, [], []
+            self.forget()
         if not self.known:
             for token, i in self.special.items():
                 self.known[token] = len(self.ids)
@@ -226,12 +232,13 @@ class Bpe:
         return " ".join([self.tokens[i] for i in ids])
 
 
-def encoder(definition: str, digest: bool):
+def encoder(bpe: Bpe, digest: bool):
     """Arrow batches (id, text) -> ids and decoded text of each row, or their
-    digests.  The tokenizer is built once per task."""
+    digests.  The tables are built on the driver (vocabulary and merges of
+    one file) and travel with the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(definition)
+        bpe.forget()
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -267,9 +274,10 @@ def bpe_encode(
     unsigned 32-bit integers).  ``tokenizer`` is the path of the tokenizer
     file on the driver; its text travels with the tasks."""
     with open(tokenizer, encoding="utf-8") as f:
-        definition = f.read()
+        bpe = Bpe(f.read())
+    small_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
     kind = "string" if digest else "array<long>"
-    return rows.mapInArrow(encoder(definition, digest), f"doc_id long, n_tokens long, ids {kind}, decoded string")
+    return rows.mapInArrow(encoder(bpe, digest), f"doc_id long, n_tokens long, ids {kind}, decoded string")

@@ -36,10 +36,21 @@ def unrid(col: str | Column) -> Column:
     return F.when(c != NULL_ID, c)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts reach Python in batches of at most 8 MB, unless the session says
+    otherwise: a task's memory then does not depend on how long texts are."""
+    if spark.conf.get(BATCH_BYTES, None) in (None, "64MB", "67108864", "67108864b"):
+        spark.conf.set(BATCH_BYTES, "8MB")
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(rid, text): only the two columns an operator needs, under its own
     names, so further columns of the input can not clash.  A null text is
     the empty text; a null id becomes ``NULL_ID``."""
+    small_batches(df.sparkSession)
     return df.select(rid(id_col).alias("rid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rid, stage, unrid
+from .common import rid, small_batches, stage, unrid
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -309,6 +309,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def page_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """(page, url, host, html): host is a 64-bit hash, null without a host."""
+    small_batches(pages.sparkSession)
     name = F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     return pages.select(
         rid(id_col).alias("page"),

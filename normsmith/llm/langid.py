@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rid, stage, unrid
+from .common import rid, small_batches, stage, unrid
 from .html_template import attributes, block_text, main_parts, parse, TOKEN, Node
 
 BITS = 13  # of the hashed trigrams
@@ -166,6 +166,7 @@ def identify_languages(
 ) -> DataFrame:
     """One row per page: page_id, lang (most probable), confidence (its
     posterior), text_lang (by text alone), declared, n_trigrams."""
+    small_batches(pages.sparkSession)
     langs, logp = fit_text(labelled)
     many = len(langs)
     host = F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingles, split_words, stage
+from .common import shingles, small_batches, split_words, stage
 
 # Byte classes; bytes of non-ASCII letters count as letters.
 LOWER, UPPER, DIGIT, SPACE, LINE, STOP, MARK, SYMBOL, CONTROL = range(9)
@@ -265,6 +265,7 @@ def in_fold(doc_id: str = "doc_id") -> Column:
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    small_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
