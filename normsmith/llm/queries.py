@@ -36,6 +36,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+ORACLE["op9_exact_dedup"] = r"""
+WITH n AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
+)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM n
+"""
+
+
 def tokenizer_path() -> str:
     """The tokenizer file of the word BPE (a file on the driver)."""
     import public_tokenizers
@@ -65,6 +75,31 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+ORACLE["op3_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, len(ws) AS n, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' ')) END AS grams
+  FROM w
+), g AS (SELECT DISTINCT doc_id, md5(unnest(grams)) AS gram FROM s),
+c AS (SELECT doc_id, count(*) AS k FROM g GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+), l AS (
+  SELECT x, y FROM p JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y WHERE p.k * 9 >= 4 * (cx.k + cy.k)
+), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS o FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.o = e.x),
+m AS (SELECT doc_id, min(o) AS class_id FROM r GROUP BY doc_id),
+d AS (SELECT x AS doc_id, count(*) AS n_links FROM e GROUP BY x)
+SELECT s.doc_id, m.class_id, coalesce(d.n_links, 0) AS n_links,
+       CASE WHEN s.n = 0 THEN 0 ELSE greatest(s.n - 4, 1) END AS n_grams, s.doc_id = m.class_id AS kept
+FROM s JOIN m ON s.doc_id = m.doc_id LEFT JOIN d ON s.doc_id = d.doc_id
+"""
+
+
 @register("op8_pivot_near_duplicates")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
