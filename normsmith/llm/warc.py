@@ -8,7 +8,7 @@ transfer framing.  A block above ``segment`` bytes is split: the first part
 in the response record, the rest in continuation records that name the origin
 record and their number, the last one the total length.  A task rolls over
 to a new archive after ``archive`` bytes.  Spark's text writer stores the
-archives (a record ends with two line ends, which is the row separator), so
+archives, gzipped (a record ends with two line ends, which is the row separator), so
 they work on any store and a lost task leaves nothing behind.
 
 Reading.  Whole archives are parsed per task; segments of a record are
@@ -25,6 +25,7 @@ raise ValueError.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, delete, exists, rid, shared_folder, stage, unrid
+from .common import NULL_ID, delete, exists, rid, shared_folder, small_batches, stage, unrid
 
 END = b"\r\n\r\n"
 VERSION = b"WARC/1.1"
@@ -155,6 +156,7 @@ def write_warc(
     archive: int = 32 << 20,
 ) -> None:
     """Write the archives of a pages table below ``folder``."""
+    small_batches(pages.sparkSession)
     rows = pages.select(
         rid(id_col).alias("page"),
         F.col(url_col).cast("string").alias("url"),
@@ -175,6 +177,7 @@ def write_warc(
         .withColumn("value", F.col("value").cast("string"))  # the bytes as they are
         .write.partitionBy("archive")
         .option("lineSep", END.decode())
+        .option("compression", "gzip")
         .text(folder)
     )
 
@@ -230,8 +233,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Archives in, records out; segments keep their part of the block."""
     for batch in batches:
         for content in batch.column(0):
-            rows = []
-            for f, block in parse(content.as_py()):
+            rows, data = [], content.as_py()
+            if data.startswith(b"\x1f\x8b"):
+                data = gzip.decompress(data)
+            for f, block in parse(data):
                 number = f.get("warc-segment-number")
                 own = f["warc-record-id"]
                 digest = f.get("warc-payload-digest", "").removeprefix("sha256:") or None
