@@ -7,11 +7,19 @@ the page's main part: its ``article`` elements, else ``main``, else the body.
 
 Template removal: the subtrees of the main part are hashed (kind and text)
 and counted per host in Spark, over distinct main parts, so that copies of a
-page count once.  A subtree that recurs across many of a host's pages is
-template and is deleted: inside an explicit article a share of ``in_article``
-of the host's pages, elsewhere, for containers that are not running text, a
-share of ``chrome`` (and at least ``least`` pages in both cases).  Running
-text recurring on fewer pages stays, as quotations and shared passages do.
+page count once.  A subtree is a candidate when it recurs on at least
+``least`` of a host's pages and on a share of them: ``chrome`` for containers
+outside an explicit article that are mostly links, or short and without
+running text, list items or cells; ``in_article`` for all others.  Text
+recurring on fewer pages stays, as quotations and shared passages do.
+
+Recurrence alone does not tell template from the text of near copies.  A page
+speaks for its candidates only if its own text (what does not recur on
+``least`` pages) is at least as long as its recurring text, links left out of
+both.  A candidate is deleted, from all pages of the host, when the distinct
+own texts beside it reach ``least`` and the same share of the host's distinct
+own texts.  Where all pages of a host repeat more than they say themselves,
+nothing is deleted.
 
 Only counts are shuffled; the pages themselves are read a second time, and
 the few deletions join them by page.
@@ -47,6 +55,8 @@ BLOCK = frozenset(
     "section summary table tbody td tfoot th thead tr ul".split()
 )
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption td th dd dt b i em strong span a code q cite u s".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption li dt dd tr td th".split())
+SHORT = 200  # characters of a container that may be template at the chrome share
 NOISE = frozenset(
     "nav footer aside form script style noscript template iframe object embed svg canvas audio video map head title "
     "button select textarea input option optgroup datalist fieldset dialog menu applet".split()
@@ -86,12 +96,14 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("kind", "attrs", "children", "hash", "parent")
+    __slots__ = ("kind", "attrs", "children", "hash", "parent", "direct", "chars", "links", "prose")
 
     def __init__(self, kind: str, attrs: str, parent: Node | None):
         self.kind, self.attrs, self.parent = kind, attrs, parent
         self.children: list[Node | str] = []
         self.hash = 0
+        # set by hash_subtrees: texts outside any child; lengths of all text and of links; holds running text
+        self.direct, self.chars, self.links, self.prose = "", 0, 0, False
 
 
 def parse(html: str) -> Node:
@@ -232,20 +244,27 @@ def hash_subtrees(top: Node) -> list[Node]:
         todo += [c for c in node.children if isinstance(c, Node)]
     out = []
     for node in reversed(order):
-        parts, some = [node.kind], False
+        parts, direct, chars, links, prose = [node.kind], [], 0, 0, False
         for c in node.children:
             if isinstance(c, Node):
                 parts.append(f"<{c.hash}" if c.hash else "<")
-                some = some or c.hash != 0
+                chars, links, prose = chars + c.chars, links + c.links, prose or c.prose
             elif c.strip():
-                parts.append(" ".join(c.split()))
-                some = True
-        node.hash = digest(*parts) or 1 if some else 0
-        if some:
+                direct.append(" ".join(c.split()))
+                parts.append(direct[-1])
+                chars += len(direct[-1])
+        node.direct, node.chars, node.links = "\0".join(direct), chars, chars if node.kind == "a" else links
+        node.prose = prose or (chars > node.links and node.kind in PROSE)
+        node.hash = digest(*parts) or 1 if chars else 0
+        if chars:
             out.append(node)
     return out
 
 
+def link_heavy(node: Node) -> bool:
+    return 2 * node.links >= node.chars
+
+
 def block_text(tops: list[Node], drop: frozenset[int] | set[int] = frozenset()) -> str:
     """Blocks in page order; subtrees whose hash is in ``drop`` left out."""
     out: list[str] = []
@@ -264,31 +283,52 @@ def block_text(tops: list[Node], drop: frozenset[int] | set[int] = frozenset())
     return " ".join("".join(out).split())
 
 
-def page_subtrees(html: str) -> tuple[int, list[tuple[int, bool]]]:
-    """(hash of the main part, (hash, may be deleted at the chrome share) of
+def page_subtrees(html: str) -> tuple[int, list[tuple[int, bool, int, int]]]:
+    """(hash of the main part, (hash, may be deleted at the chrome share,
+    length and hash of the text that is the subtree's own and no link) of
     each subtree that holds text)."""
     tops, told = main_parts(parse(html))
-    seen: dict[int, bool] = {}
+    seen: dict[int, tuple[bool, int, int]] = {}
     whole = []
+
+    def add(key: int, chrome: bool, node: Node, linked: bool) -> None:
+        said = node.direct and not linked
+        before = seen[key][1] if key in seen else 0
+        seen[key] = (chrome, before + (len(node.direct) if said else 0), digest(node.direct) if said else 0)
+
     for top in tops:
-        for node in hash_subtrees(top):
-            if node is not top:
-                seen[node.hash] = not told and node.kind not in FLOW
+        nodes = hash_subtrees(top)
+        linked = {id(top)} if top.kind == "a" else set()
+        for node in reversed(nodes):  # parents first
+            if node is top:
+                if node.direct:  # counts as text, under a key that no subtree has
+                    add(digest("top", node.direct), False, node, False)
+                continue
+            inside = node.kind == "a" or id(node.parent) in linked
+            if inside:
+                linked.add(id(node))
+            heavy = link_heavy(node)
+            boilerplate = heavy or (not node.prose and node.chars - node.links <= SHORT)
+            add(node.hash, not told and node.kind not in FLOW and boilerplate, node, inside or heavy)
         whole.append(str(top.hash))
-    return digest(*whole), list(seen.items())
+    return digest(*whole), [(h, *v) for h, v in seen.items()]
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], [], []]
         for page, host, html in zip(*(batch.column(c).to_pylist() for c in ("page", "host", "html"))):
             body, subtrees = page_subtrees(html)
-            for h, chrome in subtrees:
-                for column, v in zip(out, (page, host, body, h, chrome)):
+            for row in subtrees:
+                for column, v in zip(out, (page, host, body, *row)):
                     column.append(v)
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.bool_())],
-            names=["page", "host", "body", "subtree", "chrome"],
+            [
+                *(pa.array(c, pa.int64()) for c in out[:4]),
+                pa.array(out[4], pa.bool_()),
+                *(pa.array(c, pa.int64()) for c in out[5:]),
+            ],
+            names=["page", "host", "body", "subtree", "chrome", "size", "said"],
         )
 
 
@@ -334,20 +374,52 @@ def extract_main_text(
     subtrees = stage(
         rows.where("host is not null")
         .select("page", "host", "html")
-        .mapInArrow(_subtrees, "page long, host long, body long, subtree long, chrome boolean"),
+        .mapInArrow(_subtrees, "page long, host long, body long, subtree long, chrome boolean, size long, said long"),
         "subtrees",
     )
     # distinct main parts, per host and per subtree of a host
+    parts = subtrees.groupBy("host", "subtree", "body").agg(
+        F.bool_and("chrome").alias("chrome"), F.max("size").alias("size"), F.max("said").alias("said")
+    )
     bodies = subtrees.groupBy("host", "body").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
     counts = (
-        subtrees.groupBy("host", "subtree", "body")
-        .agg(F.bool_and("chrome").alias("chrome"))
-        .groupBy("host", "subtree")
+        parts.groupBy("host", "subtree")
         .agg(F.count("*").alias("n"), F.bool_and("chrome").alias("chrome"))
         .where(F.col("n") >= least)
     )
+    counts = stage(counts, "counts")
     share = F.when(F.col("chrome"), F.lit(chrome)).otherwise(F.lit(in_article))
-    templates = counts.join(bodies, "host").where(F.col("n") >= F.col("pages") * share).select("host", "subtree")
+    candidates = (
+        counts.join(bodies, "host").where(F.col("n") >= F.col("pages") * share).select("host", "subtree", share.alias("share"))
+    )
+    # pages that say more themselves than they repeat, by the hash of their own text
+    again = counts.select("host", "subtree", F.lit(True).alias("again"))
+    texts = parts.where("size > 0").join(again, ["host", "subtree"], "left")
+    own = F.col("again").isNull()
+    speakers = (
+        texts.groupBy("host", "body")
+        .agg(
+            F.sum(F.when(own, F.col("size")).otherwise(-F.col("size"))).alias("more"),
+            F.max(own).alias("own"),
+            F.sum(F.when(own, F.shiftright("said", 24))).alias("remainder"),
+        )
+        .where("own and more >= 0")
+        .select("host", "body", "remainder")
+    )
+    speakers = stage(speakers, "speakers")
+    voices = speakers.groupBy("host", "remainder").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("voices"))
+    templates = (
+        subtrees.select("host", "subtree", "body")
+        .join(candidates, ["host", "subtree"])
+        .join(speakers, ["host", "body"])
+        .groupBy("host", "subtree", "share", "remainder")
+        .agg(F.lit(1).alias("one"))
+        .groupBy("host", "subtree", "share")
+        .agg(F.count("*").alias("beside"))
+        .join(voices, "host")
+        .where((F.col("beside") >= least) & (F.col("beside") >= F.col("voices") * F.col("share")))
+        .select("host", "subtree")
+    )
     drops = stage(
         subtrees.join(templates, ["host", "subtree"])
         .groupBy("page", "host")

@@ -76,6 +76,36 @@ def test_templates_go(spark):
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_near_copies_keep_their_text(spark):
+    def others(host, n, make):
+        return [(f"https://{host}/{k}", make(k)) for k in range(n)]
+
+    story = "".join(f"<p>Paragraph {k} of the story that many pages print again.</p>" for k in range(4))
+    link = "<div class=x1><a href=/>Home</a> <a href=/a>About</a></div>"
+    rows = []
+    # copies of one article in a container, a few on a large host, and most of a host
+    for host, n in (("a.example", 94), ("b.example", 3)):
+        rows += [(f"https://{host}/c{k}", f"<body><div class=c><p>same article</p></div><p>printed {k}</p></body>") for k in range(6)]
+        rows += others(host, n, lambda k: f"<body><p>quite another text, number {k}</p></body>")
+    # near copies that differ in one paragraph, with and without article; their template still goes
+    for host, left, right in (("c.example", "<article>", "</article>"), ("d.example", "<div>", "</div>")):
+        rows += [(f"https://{host}/c{k}", f"<body>{left}{link}{story}<p>Printed on day {k}.</p>{right}</body>") for k in range(12)]
+        rows += others(host, 10, lambda k: f"<body>{left}{link}<p>Own text number {k}.</p>{right}</body>")
+    # a quotation in a container on a few pages that differ otherwise
+    quote = "<div class=q><p>A quoted passage</p></div>"
+    rows += others("e.example", 40, lambda k: f"<body><p>a text of its own, which is number {k}</p>{quote if k < 6 else ''}</body>")
+    got = extract_main_text(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string"))
+    out = {r.url: r for r in got.collect()}
+    told = " ".join(re.findall("<p>(.*?)</p>", story))
+    for k in range(6):
+        assert out[f"https://a.example/c{k}"].text == out[f"https://b.example/c{k}"].text == f"same article printed {k}"
+        assert out[f"https://e.example/{k}"].text == f"a text of its own, which is number {k} A quoted passage"
+    for host in ("c.example", "d.example"):
+        for k in range(12):
+            assert out[f"https://{host}/c{k}"].text == f"{told} Printed on day {k}."
+        assert out[f"https://{host}/3"].text == "Own text number 3."
+
+
 # ------------------------------------------------------------------ language
 def test_languages(spark):
     pages, docs = spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
