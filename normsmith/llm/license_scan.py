@@ -1,8 +1,10 @@
 """Licence recognition by sentence rules (DataFrame functions only).
 
-A text is cut into sentences, at sentence ends and, in a second reading, at
-line ends as well (so that both a notice wrapped over lines and one behind a
-line without full stop are seen).  Sentences are normalised (lower case, each
+A text is cut into sentences in three readings: at sentence ends and line ends;
+at sentence ends only, lines joined; and, for the layout of licence files, at
+sentence ends, blank lines, list marks, copyright lines and colons at a line
+end, with comment marks taken off and the other lines joined.  Sentences are
+normalised (lower case, each
 run of other characters than letters and digits one space) and mapped to the
 numbers of known licence sentences; unknown sentences drop out.  A licence
 rule is an ordered list of such numbers that must follow each other; longer
@@ -114,6 +116,75 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC0-1.0", ["Licensed under CC0 1.0."]),
 ]
 
+# Further notices and texts.  The oracle SQL knows only RULES.
+MORE_RULES: list[tuple[str, list[str]]] = [
+    (
+        "MIT-0",
+        [
+            'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.'
+        ],
+    ),
+    (
+        "GPL-3.0",
+        [
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+        ],
+    ),
+    (
+        "LGPL-3.0",
+        [
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+        ],
+    ),
+    (
+        "LGPL-2.1",
+        [
+            "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+        ],
+    ),
+    (
+        "AGPL-3.0",
+        [
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+        ],
+    ),
+    (
+        "ISC",
+        [
+            "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+        ],
+    ),
+    (
+        "0BSD",
+        [
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."
+        ],
+    ),
+    (
+        "BSL-1.0",
+        [
+            'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:'
+        ],
+    ),
+    (
+        "Zlib",
+        [
+            "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"
+        ],
+    ),
+    ("Apache-2.0", ["Apache License", "Version 2.0, January 2004"]),
+    ("GPL-3.0", ["GNU General Public License", "Version 3, 29 June 2007"]),
+    ("GPL-2.0", ["GNU General Public License", "Version 2, June 1991"]),
+    *(
+        (name, [f"SPDX-License-Identifier: {name}{kind}"])
+        for name, kinds in [
+            ("GPL-3.0", ["-or-later"]), ("GPL-2.0", ["-only", "-or-later"]), ("BSD-2-Clause", [""]), ("BSD-3-Clause", [""]),
+            ("ISC", [""]), ("MPL-2.0", [""]), ("Unlicense", [""]), ("CC0-1.0", [""]), ("CC-BY-4.0", [""]), ("CC-BY-SA-4.0", [""]),
+        ]
+        for kind in kinds
+    ),
+]
+
 END_OF_SENTENCE = r"[.!?][ \t]+"
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
@@ -144,6 +215,32 @@ def sequence(text: Column, known: list[str]) -> Column:
     return F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))), "")
 
 
+# Licence files and comment blocks: what is replaced, in this order, so that a
+# blank line stands where a sentence must end.
+LAYOUT = [
+    (r"\r\n?", "\n"),
+    # comment marks; a star before text is left, as it may mark a list
+    (r"(?m)^[ \t]*(?:/\*+|\*+/|\*(?=[ \t]*$)|//+|#+|;+|--+|>+|<!--|%+|dnl\b)[ \t]*|[ \t]*(?:\*+/|-->)[ \t]*$", ""),
+    # an address on lines of its own ends the sentence before it
+    (r"\s*\n[ \t*]*(https?://\S+)[ \t]*(?=\n|$)", " $1\n\n"),
+    # copyright lines
+    (r"(?m)^[ \t*]*(?:(?:copyright[ \t]*)?(?:\(c\)|©)[ \t]|copyright[ \t]+[0-9]{4})[^\n]*$", "\n$0\n"),
+    # a star that the line before has not: a list, not a comment
+    (r"(?m)^(?![ \t]*\*)([^\n]*)\n[ \t]*\*[ \t]+", "$1\n\n"),
+    (r"(?m)^[ \t*]*(?:[-•·]|\(?(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})[.)])[ \t]+", "\n"),
+    (r"(?<!free software):[ \t]*\n", ":\n\n"),
+    (r"\n[ \t*]*\n\s*", "\u0001"),
+]
+
+
+def paragraphs(text: Column) -> Column:
+    """A lower-case text with line ends only where the layout ends a sentence."""
+    x = text
+    for pattern, new in LAYOUT:
+        x = F.regexp_replace(x, pattern, new)
+    return F.translate(x, "\n\u0001", " \n")
+
+
 def matches(seq: Column, rules: list[tuple[str, str]]) -> Column:
     """Licences of the rules found in a sequence, once per occurrence."""
     table = F.array(*[F.struct(F.lit(a).alias("licence"), F.lit(p).alias("p")) for a, p in rules])
@@ -166,7 +263,7 @@ def license_scan(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rules: list[tuple[str, list[str]]] = RULES,
+    rules: list[tuple[str, list[str]]] = RULES + MORE_RULES,
 ) -> DataFrame:
     """One row per document: doc_id, n_sentences (known licence sentences),
     n_matches (rules matched), licences (distinct, sorted, comma-joined)."""
@@ -177,24 +274,26 @@ def license_scan(
         F.col(id_col).cast("long").alias("doc_id"),
         sequence(lines, known).alias("by_line"),
         sequence(F.translate(lines, "\n", " "), known).alias("wrapped"),
+        # without line ends the two readings are one
+        F.when(F.instr(lines, "\n") > 0, sequence(paragraphs(text), known)).otherwise("").alias("laid_out"),
     )
-    found = seqs.select(
-        "doc_id", "by_line", "wrapped", matches(F.col("by_line"), table).alias("a"), matches(F.col("wrapped"), table).alias("b")
-    )
+    readings = ["by_line", "wrapped", "laid_out"]
+    found = seqs.select("doc_id", *readings, *[matches(F.col(r), table).alias(f"{r}_found") for r in readings])
 
     def count(seq: str) -> Column:
         return F.length(seq) - F.length(F.replace(F.col(seq), F.lit("<"), F.lit("")))
 
     return found.select(
         "doc_id",
-        F.greatest(count("by_line"), count("wrapped")).cast("long").alias("n_sentences"),
-        F.greatest(F.size("a"), F.size("b")).cast("long").alias("n_matches"),
-        F.array_join(F.array_sort(F.array_union("a", "b")), ",").alias("licences"),
+        F.greatest(*[count(r) for r in readings]).cast("long").alias("n_sentences"),
+        F.greatest(*[F.size(f"{r}_found") for r in readings]).cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(*[f"{r}_found" for r in readings]))), ",").alias("licences"),
     )
 
 
 def oracle_sql(rules=RULES) -> str:
-    """The same scan of ``documents`` in DuckDB SQL."""
+    """The scan of ``documents`` by ``rules`` in DuckDB SQL, in the first two
+    readings."""
     known, table = known_sentences(rules)
     quoted = ", ".join("'" + s.replace("'", "''") + "'" for s in known)
 

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from normsmith.llm.bpe import Bpe, bpe_encode
-from normsmith.llm.license_scan import RULES, license_scan
+from normsmith.llm.license_scan import MORE_RULES, RULES, license_scan
 from normsmith.llm.mixing import mix
 from normsmith.llm.quality_gbdt import FEATURES, fit, score_quality, statistics
 from normsmith.llm.queries import tokenizer_path
@@ -190,3 +190,104 @@ def test_license_rules(spark, edge):
     assert license_scan(edge.limit(0)).count() == 0
     plan = license_scan(edge)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Foo
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED.
+"""
+APACHE = """Copyright 2020 Foo
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS.
+"""
+GPL = """Copyright (C) 2020  Foo
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+ISC = """ISC License
+
+Copyright (c) 2020 Foo
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+BSD = """BSD 3-Clause License
+
+Copyright (c) 2020, Foo
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_license_files_as_published(spark):
+    """Licence texts in their published columns, plain and in comments."""
+    texts = {"MIT": (MIT, 2), "Apache-2.0": (APACHE, 2), "GPL-3.0": (GPL, 2), "ISC": (ISC, 1), "BSD-3-Clause": (BSD, 3), "MPL-2.0": (MPL, 2)}
+    rows, want = [], {}
+    for name, (t, n) in texts.items():
+        c_block = "/*\n" + "".join(f" * {line}".rstrip() + "\n" for line in t.splitlines()) + " */\nint x;\n"
+        forms = [t, "A heading\n\n" + t + "\nmore text", t.replace("\n", "\r\n"), c_block]
+        forms += ["".join(f"{mark} {line}".rstrip() + "\n" for line in t.splitlines()) for mark in ("#", "//", "--", ";")]
+        for f in forms:
+            want[len(rows)] = (name, n)
+            rows.append((len(rows), f))
+    # other list marks, no blank line behind the copyright line
+    for old, new in ((r"(?m)^(\d)\. ", r"(\1) "), (r"(?m)^(\d)\. ", r"\1) "), (r"(?m)^\d\. ", "* "), (r"(?m)^\d\. ", "- ")):
+        want[len(rows)] = ("BSD-3-Clause", 3)
+        rows.append((len(rows), re.sub(r"\n\n", "\n", re.sub(old, new, BSD))))
+    for name, t in (("MIT", MIT), ("Apache-2.0", APACHE), ("GPL-3.0", GPL)):
+        want[len(rows)] = (name, 2)
+        rows.append((len(rows), t.replace("Foo\n\n", "Foo\n")))
+    got = license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.licences, r.n_sentences) for r in got} == want
+    assert {r.n_matches for r in got} == {1}
+
+
+def test_more_license_rules(spark):
+    rows = [(k, "Copyright 2020 Foo\n" + "\n".join(s) + "\n\nrest") for k, (_, s) in enumerate(MORE_RULES)]
+    got = license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.licences, r.n_matches) for r in got} == {k: (name, 1) for k, (name, _) in enumerate(MORE_RULES)}
