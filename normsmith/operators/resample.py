@@ -199,10 +199,10 @@ def bootstrap_means(cells: DataFrame, N: int = 100, iterations: int = 500, seed:
     ``method='join'`` (the default) emits one row per draw and joins it to
     the ratings by (group, stim, position): no bound on ratings per stimulus.
     ``method='array'`` keeps each stimulus' ratings as one sorted array and
-    computes every mean with a higher-order ``aggregate`` over its n draws;
-    ``'arrow'`` does so in NumPy.  Both hold one stimulus' ratings in a row:
-    they are for studies whose stimuli have a known, small number of ratings,
-    and are only used when asked for.
+    computes every mean with a higher-order ``aggregate`` over its n draws; it
+    holds one stimulus' ratings in a row, is for studies whose stimuli have a
+    known, small number of ratings, and is only used when asked for.
+    ``'arrow'`` draws the positions in NumPy and joins them as ``'join'`` does.
     """
     g = list(group)
     c = centred(cells, g, stim, value, rater)
@@ -256,17 +256,17 @@ def bootstrap_means(cells: DataFrame, N: int = 100, iterations: int = 500, seed:
 def _bootstrap_arrow(c: DataFrame, g: list[str], stim: str, N: int, iterations: int, seed: int,
                      iter_start: int) -> DataFrame:
     """Vectorised draws for full-size runs: one input row per (stimulus,
-    sample size) carrying the stimulus' ratings; NumPy draws all iterations
-    of that size at once with a Philox generator keyed by
+    sample size) with the stimulus' rating count; NumPy draws the positions of
+    all iterations of that size with a Philox generator keyed by
     ``xxhash64(seed, keys..., size)``, so the result does not depend on
-    partitioning or retries (but differs from the md5 draws)."""
+    partitioning or retries (but differs from the md5 draws).  The ratings
+    come by a join on (group, stim, position); a mean adds them in the order
+    of their draws."""
     import numpy as np
     import pandas as pd
 
-    per_stim = c.groupBy(*g, stim).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "rating_c"))), lambda x: x["rating_c"]).alias("__r")
-    )
-    sized = per_stim.withColumn("sample_size", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(N).cast("long"))))
+    stims = c.groupBy(*g, stim).agg(F.max("m").alias("__m"))
+    sized = stims.withColumn("sample_size", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(N).cast("long"))))
     sized = sized.withColumn(
         "__key", sort_key(seed, [*[F.col(x) for x in g], F.col(stim), F.col("sample_size")], "xxhash64")
     )
@@ -274,7 +274,7 @@ def _bootstrap_arrow(c: DataFrame, g: list[str], stim: str, N: int, iterations:
     fields = [f for f in sized.schema.fields if f.name in (*g, stim)]
     out_schema = T.StructType(fields + [
         T.StructField("sample_size", T.LongType()), T.StructField("iteration", T.LongType()),
-        T.StructField("mean_rating", T.DoubleType()),
+        T.StructField("draw", T.LongType()), T.StructField("pos", T.IntegerType()),
     ])
     iters = np.arange(iter_start, iter_start + iterations, dtype=np.int64)
 
@@ -282,18 +282,22 @@ def _bootstrap_arrow(c: DataFrame, g: list[str], stim: str, N: int, iterations:
 
     def draw(batches):
         for pdf in batches:
-            if pdf.empty:
-                continue
-            means, sizes = [], []
-            for r, n, key in zip(pdf["__r"], pdf["sample_size"], pdf["__key"]):
-                r = np.asarray(r, dtype=float)
-                rng = np.random.Generator(np.random.Philox(key=int(key) & 0xFFFFFFFFFFFFFFFF))
-                means.append(r[rng.integers(0, len(r), size=(iterations, int(n)))].mean(axis=1))
-            rows = np.repeat(np.arange(len(pdf)), iterations)
-            out = {k: pdf[k].to_numpy()[rows] for k in key_names}
-            out["sample_size"] = pdf["sample_size"].to_numpy()[rows]
-            out["iteration"] = np.tile(iters, len(pdf))
-            out["mean_rating"] = np.concatenate(means)
-            yield pd.DataFrame(out)[[f.name for f in out_schema.fields]]
-
-    return sized.mapInPandas(draw, out_schema)
+            for k in range(len(pdf)):
+                row = pdf.iloc[k]
+                n = int(row["sample_size"])
+                rng = np.random.Generator(np.random.Philox(key=int(row["__key"]) & 0xFFFFFFFFFFFFFFFF))
+                out = {x: pdf[x].iloc[[k]].repeat(iterations * n).to_numpy() for x in key_names}
+                out["sample_size"] = np.full(iterations * n, n, dtype=np.int64)
+                out["iteration"] = np.repeat(iters, n)
+                out["draw"] = np.tile(np.arange(n, dtype=np.int64), iterations)
+                out["pos"] = (rng.integers(0, int(row["__m"]), size=(iterations, n)) + 1).astype(np.int32).ravel()
+                yield pd.DataFrame(out)[[f.name for f in out_schema.fields]]
+
+    draws = sized.mapInPandas(draw, out_schema)
+    picked = draws.join(c.select(*g, stim, "pos", "rating_c"), [*g, stim, "pos"])
+    # at most N draws a mean; sorted, so that the sum is the same on any partitioning
+    drawn = F.array_sort(F.collect_list(F.struct("draw", "rating_c")))
+    total = F.aggregate(drawn, F.lit(0.0), lambda acc, x: acc + x["rating_c"])
+    return picked.groupBy(*g, stim, "sample_size", "iteration").agg(
+        (total / F.col("sample_size")).alias("mean_rating")
+    )

@@ -214,3 +214,29 @@ def test_rater_samples_sizes(cells01):
     s = RS.rater_samples(cells01, (3, 25), 4, 5)
     counts = {(r.exp, r.n, r.iter): r["count"] for r in s.groupBy("exp", "n", "iter").count().collect()}
     assert set(counts.values()) == {3} and len(counts) == 12   # n = 25 exceeds the 20 raters: skipped
+
+
+def test_arrow_engine_holds_no_stimulus_in_a_row(spark, cells01):
+    """The draws are those of NumPy on the ratings ordered by rater, and no
+    row collects the ratings of a stimulus."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    out = RS.bootstrap_means(cells01, 6, 4, 3, method="arrow")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "__r" not in plan and "collect_list(struct(pos" not in plan
+    ratings = {}
+    for r in RS.centred(cells01).orderBy("pos").collect():
+        ratings.setdefault((r.exp, r.trial_name), []).append(r.rating_c)
+    sizes = spark.range(1, 7).withColumnRenamed("id", "sample_size")
+    keys = cells01.select("exp", "trial_name").distinct().crossJoin(sizes).withColumn(
+        "key", F.xxhash64(F.lit(3).cast("long"), "exp", "trial_name", "sample_size"))
+    want = {}
+    for r in keys.collect():
+        x = np.array(ratings[r.exp, r.trial_name])
+        rng = np.random.Generator(np.random.Philox(key=r.key & 0xFFFFFFFFFFFFFFFF))
+        for i, m in enumerate(x[rng.integers(0, len(x), size=(4, r.sample_size))].mean(axis=1)):
+            want[r.exp, r.trial_name, r.sample_size, i] = m
+    got = {(r.exp, r.trial_name, r.sample_size, r.iteration): r.mean_rating for r in out.collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
