@@ -130,7 +130,10 @@ def icc2k_bounds(msb: float, msj: float, mse: float, n: int, k: int, conf: float
 
 
 # ------------------------------------------------------------ whole columns
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    # no np.vectorize: it keeps a ufunc that can not travel to the workers
+    x = np.asarray(x, dtype=float)
+    return np.array([math.lgamma(v) for v in x.ravel()], dtype=float).reshape(x.shape)
 
 
 def _betacf_array(a: np.ndarray, b: np.ndarray, x: np.ndarray, eps: float = 1e-15, itmax: int = 10000) -> np.ndarray:

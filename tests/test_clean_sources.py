@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from normsmith.functions.text import TITLE_EXAMPLE, TRIAL_FOLDERS
-from conftest import SF001
+from data_paths import SF001
 from normsmith.functions.text import first_match_removed, format_p, split_parts, strip_prefix, task_label
 from normsmith.operators import clean as CL
 from normsmith.operators import reshape as RE

@@ -4,7 +4,7 @@ and DuckDB on the ratings adapter."""
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from data_paths import SF01
 from normsmith.operators import agreement as AG
 from normsmith.operators import resample as RS
 from normsmith.operators import stability as ST

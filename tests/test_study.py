@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from normsmith.functions.text import TITLE_EXAMPLE, TRIAL_FOLDERS
-from conftest import SF01
+from data_paths import SF01
 from normsmith.plans import study
 from normsmith.sources import files as FS
 from normsmith.sources import tables as S
