@@ -18,8 +18,8 @@ TRIAL_FOLDERS = ("stimuli", "attention_checks")
 
 def first_match_removed(col: Column, pattern: str) -> Column:
     """R ``sub(pattern, "", x)``: remove the leftmost match only
-    (``regexp_replace`` would remove every match)."""
-    return F.regexp_replace(col, F.lit(f"^(.*?){pattern}"), F.lit("$1"))
+    (``regexp_replace`` would remove every match), wherever line ends are."""
+    return F.regexp_replace(col, F.lit(f"^((?s:.*?)){pattern}"), F.lit("$1"))
 
 
 def strip_prefix(col: Column, prefixes: tuple[str, ...] = TRIAL_FOLDERS) -> Column:

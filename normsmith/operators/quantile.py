@@ -1,16 +1,11 @@
 """Exact order statistics and quantiles, of a whole table or per group, with
 no task that holds all values of a group (SURVEY A8, A9, F8).
 
-One path for every size: values are counted in buckets that keep their order
-(the fourth root, so that a few thousand buckets cover any range), the bucket
-that holds the wanted rank is found by a running sum over a group's buckets,
-its values are counted in 4096 parts of the bucket, and the distinct values
-of the part with the rank are counted last.  Each step is a partial aggregate
-and a join with the (small) choice of the step before; which join that is,
-Spark decides by the measured sizes.  Nothing reaches the driver and no job
-runs while the plan is built.
-
-A null key is a group of its own.
+One path for every size: the values are sorted by one range shuffle
+(``ranks``), the wanted ranks are turned into places of that order from the
+small table of runs, and these few rows are looked up.  Nothing reaches the
+driver.  NaN counts as a value above all numbers, as in Spark's own
+percentile.  A null key is a group of its own.
 """
 
 from __future__ import annotations
@@ -18,10 +13,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PARTS = 4096
+from .ranks import runs, sorted_rows
 
 
 def order_statistics(df: DataFrame, keys: Sequence[str], col: str, ranks: dict[str, Column]) -> DataFrame:
@@ -29,40 +24,25 @@ def order_statistics(df: DataFrame, keys: Sequence[str], col: str, ranks: dict[s
     and for each entry of ``ranks`` the value at that 0-based rank, given as
     an expression of ``n_values``; null where the group has no such rank."""
     keys = list(keys)
-    value = F.col(col).cast("double")
-    # correctly rounded operations keep the order of the values
-    scaled = F.signum(value) * F.sqrt(F.sqrt(F.abs(value))) * 256
-    rows = df.select(F.struct(*[F.col(c) for c in keys], F.lit(0).alias("__0")).alias("__k"), value.alias("__v"),
-                     scaled.alias("__x"))
-    rows = rows.withColumn("__b", F.floor("__x")).withColumn("__s", F.floor((F.col("__x") - F.col("__b")) * PARTS))
-    group = Window.partitionBy("__k")
-    below = Window.unboundedPreceding
-
-    hist = rows.groupBy("__k", "__b").agg(F.count("__v").alias("__c"), F.count(F.lit(1)).alias("__all"))
-    hist = hist.select(
-        "__k", "__b", "__c", F.sum("__c").over(group).alias("n_values"), F.sum("__all").over(group).alias("n_rows"),
-        F.sum("__c").over(group.orderBy("__b").rowsBetween(below, 0)).alias("__upto"))
-    groups = hist.groupBy("__k").agg(F.max("n_values").alias("n_values"), F.max("n_rows").alias("n_rows"))
-    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), r.cast("long").alias("rank"))
-                                 for name, r in ranks.items()]))
-    first = F.col("__upto") - F.col("__c")
-    at = hist.withColumn("__r", wanted).where(
-        (F.col("__r.rank") >= first) & (F.col("__r.rank") < F.col("__upto"))
-    ).select("__k", "__b", F.col("__r.name").alias("__name"), (F.col("__r.rank") - first).alias("__rank"))
-
-    def step(parts: DataFrame, by: str, keep: list[str]) -> DataFrame:
-        """The element of ``by`` that holds each (group, name)'s rank."""
-        counts = parts.groupBy("__k", "__name", *keep, "__rank", by).agg(F.count("__v").alias("__c"))
-        run = Window.partitionBy("__k", "__name").orderBy(by).rowsBetween(below, 0)
-        counts = counts.withColumn("__upto", F.sum("__c").over(run))
-        return counts.where((F.col("__rank") >= first) & (F.col("__rank") < F.col("__upto"))).select(
-            "__k", "__name", *keep, by, (F.col("__rank") - first).alias("__rank"))
-
-    parts = step(rows.join(at, ["__k", "__b"]), "__s", ["__b"])
-    found = step(rows.join(parts, ["__k", "__b", "__s"]), "__v", [])
-    wide = found.groupBy("__k").agg(*[F.max(F.when(F.col("__name") == n, F.col("__v"))).alias(n) for n in ranks])
-    return groups.join(wide, "__k", "left").select(
-        *[F.col("__k")[c].alias(c) for c in keys], "n_values", "n_rows", *ranks)
+    # the row's number breaks ties, so that a frequent value is spread as well
+    rows = df.select(*keys, F.col(col).cast("double").alias("__x"), F.monotonically_increasing_id().alias("__t"))
+    rows = sorted_rows(rows, keys, ["__x", "__t"])
+    r = runs(rows, keys, "__x")
+    wanted = F.explode(F.array(F.struct(F.lit("").alias("name"), F.lit(None).cast("long").alias("rank")),
+                               *[F.struct(F.lit(name).alias("name"), e.cast("long").alias("rank"))
+                                 for name, e in ranks.items()]))
+    # every run keeps its group's row (the empty name); a rank below n_values
+    # lies in exactly one run, whose first place gives the row to look up
+    r = r.withColumn("__w", wanted)
+    inside = (F.col("__w.rank") >= F.col("__before")) & (F.col("__w.rank") < F.col("__before") + F.col("__c"))
+    r = r.where((F.col("__w.name") == "") | (inside & (F.col("__w.rank") < F.col("n_values")))).select(
+        "__key", "n_values", "n_rows", F.col("__w.name").alias("__name"),
+        (F.col("__first") + F.col("__w.rank") - F.col("__before")).alias("__look"))
+    found = r.join(rows.select("__x", "__at"), F.col("__look") == F.col("__at"), "left")
+    out = found.groupBy("__key").agg(
+        F.max("n_values").alias("n_values"), F.max("n_rows").alias("n_rows"),
+        *[F.max(F.when(F.col("__name") == name, F.col("__x"))).alias(name) for name in ranks])
+    return out.select(*[F.col("__key")[c].alias(c) for c in keys], "n_values", "n_rows", *ranks)
 
 
 def grouped_quantile(df: DataFrame, keys: Sequence[str], col: str, p: float, strict: bool = False,

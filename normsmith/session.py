@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,11 +61,14 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the configured checkpoint folder; only when none is set (tests,
-    local bench) take a fresh local one."""
+    """Use the configured checkpoint folder; only when none is set on a local
+    master (tests, bench) take a fresh local one.  A cluster must name one:
+    a folder of one machine is not seen by the others."""
     d = checkpoint_dir(spark)
     if d:
         return d
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     d = tempfile.mkdtemp(prefix="normsmith-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(d)
     return d
@@ -78,3 +82,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if checkpoint_dir(df.sparkSession):
         return df.checkpoint(eager=True)
     return df
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written as parquet below the checkpoint folder and read again:
+    later steps see one fixed set of rows, read only the columns they need
+    and know its size.  ``discard`` deletes it."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/normsmith-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

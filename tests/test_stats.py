@@ -240,3 +240,54 @@ def test_arrow_engine_holds_no_stimulus_in_a_row(spark, cells01):
     got = {(r.exp, r.trial_name, r.sample_size, r.iteration): r.mean_rating for r in out.collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_quantile_counts_nan_as_largest(spark):
+    from normsmith.operators.quantile import grouped_quantile, order_statistics
+
+    rows = [("n", float(v)) for v in (5, 7, "nan", 9, 11)] + [("o", 1.0), ("o", None), (None, 2.0), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r.q for r in grouped_quantile(df, ["g"], "x", 0.5).collect()}
+    assert got == {"n": 9.0, "o": 1.0, None: 2.0, "e": None}
+    top = {r.g: (r.n_values, r.n_rows, r.t) for r in order_statistics(df, ["g"], "x", {"t": F.lit(4)}).collect()}
+    assert math.isnan(top["n"][2]) and top["n"][:2] == (5, 5)
+    assert top["o"] == (1, 2, None) and top["e"] == (0, 1, None)
+    assert grouped_quantile(df.limit(0), ["g"], "x", 0.5).collect() == []
+
+
+def test_positions_of_one_large_group(spark):
+    """A million raters of one stimulus, ids with a long common prefix: the
+    positions are those of a plain sort and no partition holds much more than
+    the others."""
+    from normsmith.operators.ranks import PLACE_BITS, sorted_rows, with_positions
+
+    n = 1_000_000
+    rows = spark.range(n).select(
+        F.lit("s1").alias("stim"), F.concat(F.lit("rater_"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("r"))
+    rows = rows.repartition(8, "r")
+    got = with_positions(rows, ["stim"], ["r"])
+    bad = got.where((F.col("pos") != F.substring("r", 7, 7).cast("long")) | (F.col("n_rows") != n)).count()
+    assert bad == 0 and got.count() == n
+    sizes = [r["count"] for r in sorted_rows(rows, ["stim"], ["r"]).groupBy(
+        F.shiftright("__at", PLACE_BITS)).count().collect()]
+    assert max(sizes) <= 1.5 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_positions_of_many_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g if g else None, float(x)) for g, x in zip(rng.integers(0, 40, 3000).tolist(), rng.random(3000))]
+    df = spark.createDataFrame(rows, "g long, x double").repartition(6)
+    from normsmith.operators.ranks import with_positions
+
+    groups = {}
+    for g, x in sorted(rows, key=lambda t: t[1]):
+        groups.setdefault(g, []).append(x)
+    for r in with_positions(df, ["g"], ["x"]).collect():
+        assert groups[r.g][r.pos] == r.x and r.n_rows == len(groups[r.g])
+
+
+def test_first_match_behind_a_line_end(spark):
+    from normsmith.functions.text import first_match_removed
+
+    df = spark.createDataFrame([("x\ny a- z a-",), ("a-b",), ("none",), (None,)], "t string")
+    assert [r[0] for r in df.select(first_match_removed(F.col("t"), "a-")).collect()] == ["x\ny  z a-", "b", "none", None]
