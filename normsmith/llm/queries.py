@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .html_template import extract_main_text
 from .langid import identify_languages
+from .lexical_search import ranked_search
 from .license_scan import license_scan
 from .license_scan import oracle_sql as license_oracle
 from .mixing import mix
@@ -141,3 +142,37 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_language_id")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@register("op12_ranked_search")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op12_ranked_search"] = """
+WITH t AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), d AS (SELECT k, doc_id, CAST(len(ts) AS BIGINT) AS n FROM t WHERE len(ts) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d),
+p AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(ts) AS term FROM t) GROUP BY k, term),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s
+), r AS (
+  SELECT item_id, doc_id, p.k,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words)))) AS BIGINT) AS score
+  FROM i JOIN p USING (term) JOIN w USING (term) JOIN d USING (k), s
+  GROUP BY item_id, doc_id, p.k
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+         doc_id, score
+  FROM r WHERE score > 0
+) WHERE rank <= 50
+""".replace("\\\\", "\\")
