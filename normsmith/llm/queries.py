@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .common import table
+from .conversation_repair import repair_damaged
 from .exact_dedup import exact_dedup
 from .html_template import extract_main_text
+from .kd_shards import kd_shards
 from .langid import identify_languages
 from .lexical_search import ranked_search
 from .license_scan import license_scan
@@ -144,12 +147,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+@register("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 @register("op12_ranked_search")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-ORACLE["op12_ranked_search"] = """
+ORACLE["op12_ranked_search"] = r"""
 WITH t AS (
   SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -175,4 +183,12 @@ SELECT item_id, rank, doc_id, score FROM (
          doc_id, score
   FROM r WHERE score > 0
 ) WHERE rank <= 50
-""".replace("\\\\", "\\")
+"""
+
+
+@register("op13_kd_shards")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(table(spark, sf_dir, "documents"), shards=8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
