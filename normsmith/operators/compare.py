@@ -1,20 +1,16 @@
 """Paired comparisons.
 
 The pairs are an inner join of two per-unit aggregates; every statistic is
-a Spark aggregate over the pairs.  Only the t quantile and tail probability
-of the one resulting row go through an Arrow-batched UDF.
+a Spark aggregate over the pairs, and the t quantile and tail probability are
+Column expressions of its rows (``dist_columns``), one test or many.
 """
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.dist import t_ppf, t_two_sided
+from ..functions.dist_columns import t_quantile, t_two_sided
 from ..functions.text import format_p
 
 
@@ -40,7 +36,7 @@ def paired_t(x: DataFrame, y: DataFrame, key: str | list[str], xcol: str = "x",
         "n_pairs",
         "m_diff",
         "sd_diff",
-        (F.col("m_diff") / (F.col("sd_diff") / F.sqrt(F.col("n_pairs")))).alias("t"),
+        F.try_divide(F.col("m_diff"), F.col("sd_diff") / F.sqrt(F.col("n_pairs"))).alias("t"),
         (F.col("n_pairs") - 1).cast("double").alias("df"),
     )
 
@@ -59,34 +55,19 @@ def paired_t_by(x: DataFrame, y: DataFrame, key: str, by: list[str], xcol: str =
     )
 
 
-_OUT = T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
-                     T.StructField("p", T.DoubleType())])
-
-
-@F.pandas_udf(_OUT)
-def _t_tail(m: pd.Series, sd: pd.Series, n: pd.Series, t: pd.Series) -> pd.DataFrame:
-    rows = []
-    for mi, si, ni, ti in zip(m, sd, n, t):
-        if any(pd.isna(v) for v in (mi, si, ni, ti)) or ni < 2:
-            rows.append((math.nan, math.nan, math.nan))
-            continue
-        df = ni - 1
-        q = t_ppf(0.975, df)
-        half = q * si / math.sqrt(ni)
-        rows.append((mi - half, mi + half, t_two_sided(ti, df)))
-    return pd.DataFrame(rows, columns=["lo", "hi", "p"])
+def with_t_interval(tests: DataFrame, conf: float = 0.95) -> DataFrame:
+    """Adds the interval of the mean difference, the two-sided p value and
+    its APA text to rows of ``paired_t`` or ``paired_t_by``; null where there
+    are fewer than two pairs."""
+    df = F.when(F.col("n_pairs") >= 2, F.col("df"))
+    half = t_quantile(1 - (1 - conf) / 2, df) * F.col("sd_diff") / F.sqrt(F.col("n_pairs"))
+    out = tests.withColumns({"__half": half, "p_value": t_two_sided(F.col("t"), df)})
+    return out.select(
+        *tests.columns, (F.col("m_diff") - F.col("__half")).alias("ci_95_lower"),
+        (F.col("m_diff") + F.col("__half")).alias("ci_95_upper"), "p_value", format_p(F.col("p_value")).alias("p"))
 
 
 def paired_t_summary(x: DataFrame, y: DataFrame, key: str | list[str], xcol: str = "x", ycol: str = "y") -> DataFrame:
     """``paired_t`` plus the 95% interval of the mean difference, the
     two-sided p value and its APA text."""
-    base = paired_t(x, y, key, xcol, ycol)
-    tail = _t_tail(F.col("m_diff"), F.col("sd_diff"), F.col("n_pairs").cast("double"), F.col("t"))
-    out = base.withColumn("__t", tail)
-    return out.select(
-        *base.columns,
-        F.col("__t.lo").alias("ci_95_lower"),
-        F.col("__t.hi").alias("ci_95_upper"),
-        F.col("__t.p").alias("p_value"),
-        format_p(F.col("__t.p")).alias("p"),
-    )
+    return with_t_interval(paired_t(x, y, key, xcol, ycol))

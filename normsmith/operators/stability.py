@@ -96,11 +96,15 @@ def stability_stats(cells: DataFrame, N: int = 100, iterations: int = 500, ci_in
                     algo: str = "md5") -> StabilityResult:
     """Centre -> resample -> interval per (group, N) -> POS.  The means
     are checkpointed once (when a checkpoint folder is configured): the
-    interval reads them twice (group sizes, then ranks)."""
-    from ..session import cut_lineage
+    interval reads them twice (group sizes, then ranks).  ``method='values'``
+    is for the full workload (``resample.bootstrap_by_value``)."""
+    from ..session import cut_lineage, staged
 
-    means = cut_lineage(RS.bootstrap_means(cells, N, iterations, seed, iter_start, group, stim, value, rater, method,
-                                           algo=algo))
+    if method == "values":
+        means = staged(RS.bootstrap_by_value(cells, N, iterations, seed, iter_start, group, stim, value))
+    else:
+        means = cut_lineage(RS.bootstrap_means(cells, N, iterations, seed, iter_start, group, stim, value, rater, method,
+                                               algo=algo))
     cis = interval(means, ci_interval, ci_method, group)
     pos = point_of_stability(cis, cos_threshold, group=group)
     return StabilityResult(cis, pos, means if save_means else None)

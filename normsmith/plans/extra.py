@@ -17,18 +17,22 @@ from ..operators import compare as CP
 from ..operators import quality as Q
 from ..operators import reshape as RE
 from ..operators import summaries as SM
-from ..session import ensure_checkpoint_dir
+from ..operators.quantile import grouped_quantile
+from ..session import ensure_checkpoint_dir, track
 from ..sources import files as FS
 from ..sources import tables as S
 from . import adapters as AD
 from . import flows
-from .oracle import AGREE_BASE, ORACLE
+from .oracle import AGREE_BASE, CELLS, FIRSTS, ORACLE
+from .oracle_full import GROWN, P_TEXT, t_interval
 from .queries import packed_projects, r6, register
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for one query's files, in the shared store."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    track(path)
+    return path
 
 
 def query(name: str, sql: str | None):
@@ -348,7 +352,63 @@ def q_paired_by_trait(spark, sf):
     return RE.round_columns(CP.paired_t_by(x, y, "o_custkey", ["trait"]), 2)
 
 
+_PAIRS_ST = "with recursive " + _PAIRS.removeprefix("with ").rstrip() + """,
+st as (select trait, count(d) as n_pairs, avg(d) as m_diff, stddev_samp(d) as sd_diff,
+         avg(d) / (stddev_samp(d) / sqrt(count(d))) as t, cast(count(d) - 1 as double) as df
+       from d where d is not null group by trait),
+"""
+
+
+@query(
+    "paired_t_p_by_trait",
+    _PAIRS_ST + t_interval("st", "trait")
+    + f"""select st.trait, n_pairs, round(m_diff, 6) as m_diff, round(t, 6) as t, df, round(lo, 6) as ci_95_lower,
+       round(hi, 6) as ci_95_upper, round(p, 6) as p_value, {P_TEXT} as p
+from st join tint on st.trait = tint.trait""",
+)
+def q_paired_p_by_trait(spark, sf):
+    """Interval and p value of every trait's test, in one pass."""
+    x, y = _trait_means(spark, sf)
+    t = CP.with_t_interval(CP.paired_t_by(x, y, "o_custkey", ["trait"]))
+    return t.select("trait", "n_pairs", *[r6(c).alias(c) for c in ("m_diff", "t")], "df",
+                    *[r6(c).alias(c) for c in ("ci_95_lower", "ci_95_upper", "p_value")], "p")
+
+
+@query(
+    "quantile_nan",
+    """select event_type, round(quantile_cont(v, 0.25), 6) as q25, round(quantile_cont(v, 0.5), 6) as q50
+from (select event_type, case when event_id % 17 = 0 then 'nan'::double else value end as v from events) t
+where v is not null group by event_type""",
+)
+def q_quantile_nan(spark, sf):
+    """Values that are no numbers count as the largest."""
+    v = F.when(F.col("event_id") % 17 == 0, F.lit(float("nan"))).otherwise(F.col("rt"))
+    rows = S.trial_log(spark, sf).select(F.col("exp").alias("event_type"), v.cast("double").alias("v"))
+    out = None
+    for p, name in ((0.25, "q25"), (0.5, "q50")):
+        q = grouped_quantile(rows, ["event_type"], "v", p, out=name)
+        out = q if out is None else out.join(q, "event_type")
+    return out.select("event_type", r6("q25").alias("q25"), r6("q50").alias("q50"))
+
+
 # ------------------------------------------------------------------ agreement
+_NULL_TASK = AGREE_BASE.replace(
+    "select exp, session_id, trial_name, dv from firsts where",
+    "select case when exp = 'A' then '~' else exp end as exp, session_id, trial_name, dv from firsts where")
+
+
+@query(
+    "icc2k_null_task",
+    _NULL_TASK
+    + """select nullif(exp, '~') as exp, k as n_raters, n as n_stimuli,
+        round(case when k >= 2 and n >= 2 then (msb - mse) / (msb + (msj - mse) / n) end, 6) as icc2k from ms""",
+)
+def q_icc_null_task(spark, sf):
+    """A task without a name is screened and estimated like others."""
+    c = flows.rating_cells(spark, sf).withColumn("exp", F.when(F.col("exp") != "A", F.col("exp")))
+    return AG.icc2k(c).select("exp", "n_raters", "n_stimuli", r6("icc2k").alias("icc2k"))
+
+
 _VAR_COMPONENTS = """n_i as (select exp, trial_name, count(dv) as n, sum(dv) as s from obs group by exp, trial_name),
 n_j as (select exp, session_id, count(dv) as n, sum(dv) as s from obs group by exp, session_id),
 tot as (select exp, count(dv) as nn, sum(dv) as g, sum(dv * dv) as t0 from obs group by exp),
@@ -422,3 +482,28 @@ def q_alpha_missing(spark, sf):
     """R6 with absent cells in every stimulus."""
     a = AG.cronbach_alpha(_missing(spark, sf), min_values=None, missing="all")
     return a.select("exp", "n_raters", "n_stimuli", "n_cells_missing", "estimator", r6("alpha").alias("alpha"))
+
+
+_GROWN_OBS = (
+    "with " + GROWN.replace("l_partkey % 50 as st", "l_partkey as st") + ",\n" + FIRSTS + ",\n" + CELLS
+    + ",\nobs as (select * from cells where dv is not null),\n" + _VAR_COMPONENTS
+)
+
+
+@query(
+    "icc2k_grown",
+    _GROWN_OBS
+    + """select exp, cast(b as bigint) as n_raters, cast(a as bigint) as n_stimuli, cast(a * b - nn as bigint) as n_cells_missing,
+  ve < 0 or q - ve < 0 or p - ve < 0 as improper,
+  round(case when ve >= 0 and p >= 0 and (q - ve) + p / b > 0 then (q - ve) / ((q - ve) + p / b) end, 6) as icc2k,
+  round(case when ve >= 0 and b * (q - ve) + ve > 0 then b * (q - ve) / (b * (q - ve) + ve) end, 6) as alpha
+from vc""",
+)
+def q_icc_grown(spark, sf):
+    """R2, R6 with every supplier a rater and every part a stimulus: raters,
+    stimuli and absent cells grow with the table."""
+    c = flows.grown_cells(spark, sf, n_stimuli=None)
+    icc = AG.icc2k(c, min_values=None, missing="all")
+    alpha = AG.cronbach_alpha(c, min_values=None, missing="all").select("exp", "alpha")
+    return icc.join(alpha, "exp").select("exp", "n_raters", "n_stimuli", "n_cells_missing", "improper",
+                                         r6("icc2k").alias("icc2k"), r6("alpha").alias("alpha"))

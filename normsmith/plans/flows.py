@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
-from ..session import cut_lineage
+from ..session import cut_lineage, staged
 from ..sources import tables as S
 
 # Task order of the adapter's three tasks.
@@ -54,3 +54,12 @@ def rating_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(~F.col("trial_name").contains("check_"))
         .select("exp", "session_id", "trial_name", "dv")
     )
+
+
+def grown_cells(spark: SparkSession, sf_dir: str, n_stimuli: int | None = 50) -> DataFrame:
+    """As ``rating_cells``, but every supplier is a rater (and with
+    ``n_stimuli=None`` every part a stimulus): the input of the resampling
+    queries at the study's full workload, which grows with the tables."""
+    log = S.ratings(spark, sf_dir, n_raters=None, n_stimuli=n_stimuli).where(~F.col("trial_name").contains("check_"))
+    first = Q.keep_first(log, ["session_id", "exp", "trial_name"], S.RATINGS_ORDER)
+    return staged(first.select("exp", "session_id", "trial_name", "dv"))

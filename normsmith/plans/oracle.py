@@ -212,61 +212,6 @@ ORACLE: dict[str, str] = {
           k / (k - 1.0) * (1 - (sum_sq - ss_rater / n) / (ss_stim - total * total / n)) end, 6) as alpha from sums""",
 }
 
-CORRIDOR = """raters as (select distinct exp, session_id from cells),
-grid as (
-  select r.exp, r.session_id, g.n, i.iter
-  from raters r, (select cast(v as bigint) as n from (values (3), (5), (10), (15)) g(v)) g,
-       (select range as iter from range(0, 20)) i
-),
-ranked as (
-  select *, row_number() over (partition by exp, n, iter
-                               order by md5(concat_ws('|', '123', exp, n, iter, session_id)), session_id) as rk,
-            count(*) over (partition by exp, n, iter) as avail
-  from grid
-),
-samples as (select exp, n, iter, session_id from ranked where rk <= n and n <= avail),
-sc as (
-  select s.exp, s.n, s.iter, c.session_id, c.trial_name, c.dv
-  from cells c join samples s on c.exp = s.exp and c.session_id = s.session_id
-),
-ck as (select exp, n, iter, count(distinct session_id) as k from sc group by exp, n, iter),
-cfull as (
-  select m.exp, m.n, m.iter, m.trial_name
-  from (select exp, n, iter, trial_name, count(dv) as m from sc group by exp, n, iter, trial_name) m
-  join ck on m.exp = ck.exp and m.n = ck.n and m.iter = ck.iter where m.m = ck.k
-),
-crect as (
-  select sc.* from sc join cfull f on sc.exp = f.exp and sc.n = f.n and sc.iter = f.iter and sc.trial_name = f.trial_name
-),
-cstim as (select exp, n, iter, trial_name, sum(dv) as s from crect group by exp, n, iter, trial_name),
-crater as (select exp, n, iter, session_id, sum(dv) as s from crect group by exp, n, iter, session_id),
-csums as (
-  select t.exp, t.n, t.iter, a.nn, b.k, t.total, t.sum_sq, a.ss_stim, b.ss_rater
-  from (select exp, n, iter, cast(sum(dv) as double) as total, cast(sum(dv * dv) as double) as sum_sq
-        from crect group by exp, n, iter) t
-  join (select exp, n, iter, count(*) as nn, cast(sum(s * s) as double) as ss_stim from cstim group by exp, n, iter) a
-    on t.exp = a.exp and t.n = a.n and t.iter = a.iter
-  join (select exp, n, iter, count(*) as k, cast(sum(s * s) as double) as ss_rater from crater group by exp, n, iter) b
-    on t.exp = b.exp and t.n = b.n and t.iter = b.iter
-),
-cms as (
-  select *, (ss_stim / k - total * total / (nn * k)) / (nn - 1) as msb,
-            (ss_rater / nn - total * total / (nn * k)) / (k - 1) as msj,
-            (sum_sq - total * total / (nn * k) - (ss_stim / k - total * total / (nn * k))
-                     - (ss_rater / nn - total * total / (nn * k))) / ((nn - 1) * (k - 1)) as mse
-  from csums
-),
-corridor as (
-  select exp, n, iter, k as n_raters, nn as n_stimuli,
-         case when k >= 2 and nn >= 2 then (msb - mse) / (msb + (msj - mse) / nn) end as icc2k
-  from cms
-),
-csummary as (
-  select exp, n, median(icc2k) as icc_median, quantile_cont(icc2k, 0.025) as icc_low,
-         quantile_cont(icc2k, 0.975) as icc_high
-  from corridor group by exp, n
-)"""
-
 BOOT = """centred as (
   select exp, trial_name, session_id,
          cast(dv as double) - avg(cast(dv as double)) over (partition by exp, trial_name) as rc,
@@ -290,58 +235,15 @@ means as (
   select p.exp, p.trial_name, p.sample_size, p.iteration, avg(c.rc) as mean_rating
   from picked p join centred c on p.exp = c.exp and p.trial_name = c.trial_name and p.pos = c.pos
   group by p.exp, p.trial_name, p.sample_size, p.iteration
-),
-ranked_means as (
-  select exp, sample_size, mean_rating,
-         row_number() over (partition by exp, sample_size order by mean_rating) as rpos,
-         count(*) over (partition by exp, sample_size) as len
-  from means
-),
-cis as (
-  select exp, sample_size,
-         max(case when floor(len * (1 - 0.95) / 2) > 0 and rpos = floor(len * (1 - 0.95) / 2) then mean_rating end) as ll,
-         max(case when rpos = len - floor(len * (1 - 0.95) / 2) then mean_rating end) as ul
-  from ranked_means group by exp, sample_size
-),
-pos as (
-  select k.exp, p.pos from (select distinct exp from cis) k left join (
-    select exp, cast(min(sample_size) as bigint) as pos from cis
-    where ll is not null and ul is not null and greatest(abs(ll), abs(ul)) < 0.75 group by exp) p on k.exp = p.exp
 )"""
 
-CORRIDOR_BASE = _with(RATINGS, FIRSTS, CELLS, CORRIDOR)
 BOOT_BASE = _with(RATINGS, FIRSTS, CELLS, BOOT)
 
 ORACLE.update({
-    "icc_corridor": CORRIDOR_BASE + "select exp, n, iter, n_raters, n_stimuli, round(icc2k, 6) as icc2k from corridor",
-    "icc_corridor_summary": CORRIDOR_BASE
-    + """select exp, n, round(icc_median, 6) as icc_median, round(icc_low, 6) as icc_low,
-        round(icc_high, 6) as icc_high from csummary""",
-    "icc_thresholds": CORRIDOR_BASE
-    + """select exp, min(case when icc_median >= 0.75 then n end) as n_for_075,
-        min(case when icc_median >= 0.90 then n end) as n_for_090 from csummary group by exp""",
     "bootstrap_means": BOOT_BASE
     + "select exp, trial_name, sample_size, iteration, round(mean_rating, 6) as mean_rating from means",
     "bootstrap_means_join": BOOT_BASE
     + "select exp, trial_name, sample_size, iteration, round(mean_rating, 6) as mean_rating from means",
-    "stability_ci": BOOT_BASE + "select exp, sample_size, round(ll, 6) as ll, round(ul, 6) as ul from cis",
-    "stability_normal_ci": BOOT_BASE
-    + """select exp, sample_size,
-        round(avg(mean_rating) - 1.959963984540054 * stddev_samp(mean_rating) / sqrt(count(mean_rating)), 6) as ll,
-        round(avg(mean_rating) + 1.959963984540054 * stddev_samp(mean_rating) / sqrt(count(mean_rating)), 6) as ul
-        from means group by exp, sample_size""",
-    "point_of_stability": BOOT_BASE + "select exp, pos from pos",
-    "point_of_stability_sustained": BOOT_BASE
-    + """, flagged as (
-          select exp, sample_size,
-                 min(case when ll is not null and ul is not null and greatest(abs(ll), abs(ul)) < 0.75 then 1 else 0 end)
-                   over (partition by exp order by sample_size rows between current row and unbounded following) as ok
-          from cis)
-        select k.exp, p.pos from (select distinct exp from cis) k left join
-          (select exp, cast(min(sample_size) as bigint) as pos from flagged where ok = 1 group by exp) p on k.exp = p.exp""",
-    "stability_ribbon": BOOT_BASE
-    + """select c.exp, c.sample_size, round(c.ll, 6) as ll, round(c.ul, 6) as ul, p.pos
-        from cis c left join pos p on c.exp = p.exp""",
 })
 
 
@@ -467,11 +369,6 @@ select n, string_agg(ethnicity, ', ' order by ethnicity) as items from c group b
 select round(greatest(ceil(med_rt / 10.0) - 1, 0) * 10.0, 6) as bin_start, count(*) as n,
        round((select quantile_cont(med_rt, 0.01) from med), 6) as marker
 from med where med_rt is not null group by 1""",
-        "corridor_ribbon": CORRIDOR_BASE
-        + """, th as (select exp, min(case when icc_median >= 0.75 then n end) as n_for_075,
-                 min(case when icc_median >= 0.90 then n end) as n_for_090 from csummary group by exp)
-select s.exp, s.n, round(icc_median, 6) as icc_median, round(icc_low, 6) as icc_low, round(icc_high, 6) as icc_high,
-       n_for_075, n_for_090 from csummary s left join th on s.exp = th.exp""",
         "tile_counts": agree
         + f""", t as (select string_split_regex(printf('lab%d_m%02d_std_neu_front', {stim} % 5, {stim}), '[^A-Za-z0-9]+') as p,
                  dv from cells where exp in ('A', 'N'))

@@ -160,12 +160,15 @@ def q_alpha(spark, sf):
 
 
 # ---------------------------------------------------------------- resampling
-# Workload of the registered checks: corridor sizes 3/5/10/15
-# with 20 iterations; bootstrap N = 20 with 20 iterations; seed 123.
-CORRIDOR_SIZES = (3, 5, 10, 15)
-CORRIDOR_ITERS = 20
-BOOT_N = 20
-BOOT_ITERS = 20
+# The study's own workload: corridor sizes 10..100 with 50 iterations,
+# bootstrap sizes 1..100 with 300 iterations; seed 123.
+CORRIDOR_SIZES = tuple(range(10, 101, 10))
+CORRIDOR_ITERS = 50
+BOOT_N = 100
+BOOT_ITERS = 300
+# A small one of row-per-draw means, compared row by row.
+SMALL_N = 20
+SMALL_ITERS = 20
 SEED = 123
 POS_THRESHOLD = 0.75
 
@@ -173,18 +176,20 @@ POS_THRESHOLD = 0.75
 def _corridor(spark, sf):
     from ..operators import resample as RS
 
-    return RS.icc_corridor(flows.rating_cells(spark, sf), CORRIDOR_SIZES, CORRIDOR_ITERS, SEED)
+    return RS.full_corridor(flows.grown_cells(spark, sf), CORRIDOR_SIZES, CORRIDOR_ITERS, SEED)
 
 
 @register("icc_corridor")
 def q_corridor(spark, sf):
     c = _corridor(spark, sf)
-    return c.select("exp", "n", "iter", "n_raters", "n_stimuli", r6("icc2k").alias("icc2k"))
+    return c.select("exp", "n", "iter", "n_raters", "n_stimuli", "n_cells_missing", r6("icc2k").alias("icc2k"))
 
 
 @register("icc_corridor_bounds")
 def q_corridor_bounds(spark, sf):
-    c = AG.with_icc_bounds(_corridor(spark, sf))
+    from ..session import staged
+
+    c = AG.with_icc_bounds(staged(_corridor(spark, sf).repartition(32)))
     return c.select("exp", "n", "iter", "n_stimuli", r6("icc2k").alias("icc2k"),
                     r6("icc2k_lower").alias("icc2k_lower"), r6("icc2k_upper").alias("icc2k_upper"))
 
@@ -205,16 +210,42 @@ def q_thresholds(spark, sf):
     return RS.corridor_thresholds(RS.corridor_summary(_corridor(spark, sf)))
 
 
+@register("rater_sample_counts")
+def q_sample_counts(spark, sf):
+    """How often each rater is drawn, over all sizes and iterations."""
+    from ..operators import resample as RS
+
+    samples = RS.permuted_samples(flows.grown_cells(spark, sf), CORRIDOR_SIZES, CORRIDOR_ITERS, SEED)
+    return samples.groupBy("exp", "session_id").agg(F.count(F.lit(1)).alias("n_drawn"),
+                                                    F.sum(F.col("n") * (F.col("iter") + 1)).alias("check_sum"))
+
+
 def _means(spark, sf):
     from ..operators import resample as RS
-    from ..session import cut_lineage
+    from ..session import staged
+
+    return staged(RS.bootstrap_by_value(flows.grown_cells(spark, sf), BOOT_N, BOOT_ITERS, SEED))
+
+
+def _small_means(spark, sf):
+    from ..operators import resample as RS
 
-    return cut_lineage(RS.bootstrap_means(flows.rating_cells(spark, sf), BOOT_N, BOOT_ITERS, SEED))
+    return RS.bootstrap_means(flows.rating_cells(spark, sf), SMALL_N, SMALL_ITERS, SEED)
+
+
+@register("bootstrap_full")
+def q_boot_full(spark, sf):
+    """R8 at N=100 x 300: per task and sample size the means over all stimuli
+    and iterations, summed up."""
+    return _means(spark, sf).groupBy("exp", "sample_size").agg(
+        F.count("mean_rating").alias("n_means"), r6(F.avg("mean_rating")).alias("mean"),
+        r6(F.stddev_samp("mean_rating")).alias("sd"), r6(F.min("mean_rating")).alias("low"),
+        r6(F.max("mean_rating")).alias("high"))
 
 
 @register("bootstrap_means")
 def q_boot(spark, sf):
-    m = _means(spark, sf)
+    m = _small_means(spark, sf)
     return m.select("exp", "trial_name", "sample_size", "iteration", r6("mean_rating").alias("mean_rating"))
 
 
@@ -222,7 +253,7 @@ def q_boot(spark, sf):
 def q_boot_join(spark, sf):
     from ..operators import resample as RS
 
-    m = RS.bootstrap_means(flows.rating_cells(spark, sf), BOOT_N, BOOT_ITERS, SEED, method="join")
+    m = RS.bootstrap_means(flows.rating_cells(spark, sf), SMALL_N, SMALL_ITERS, SEED, method="join")
     return m.select("exp", "trial_name", "sample_size", "iteration", r6("mean_rating").alias("mean_rating"))
 
 
@@ -246,8 +277,7 @@ def q_stab_normal(spark, sf):
 def q_pos(spark, sf):
     from ..operators import stability as ST
 
-    res = ST.stability_stats(flows.rating_cells(spark, sf), BOOT_N, BOOT_ITERS, cos_threshold=POS_THRESHOLD, seed=SEED)
-    return res.pos
+    return ST.point_of_stability(ST.percentile_interval(_means(spark, sf)), POS_THRESHOLD)
 
 
 @register("point_of_stability_sustained")
@@ -271,7 +301,7 @@ def q_ribbon(spark, sf):
 @register("omega_total")
 def q_omega(spark, sf):
     om = AG.omega_total(flows.rating_cells(spark, sf))
-    return om.select("exp", "n_raters", r6("omega_t").alias("omega_t"))
+    return om.select("exp", "n_raters", "n_cells_missing", r6("omega_t").alias("omega_t"))
 
 
 def _customer_means(spark, sf):
@@ -663,6 +693,6 @@ def q_pos_arrow(spark, sf):
     runs; its draws differ from the md5 ones, so it has no SQL twin."""
     from ..operators import stability as ST
 
-    res = ST.stability_stats(flows.rating_cells(spark, sf), BOOT_N, BOOT_ITERS, cos_threshold=POS_THRESHOLD,
+    res = ST.stability_stats(flows.rating_cells(spark, sf), SMALL_N, SMALL_ITERS, cos_threshold=POS_THRESHOLD,
                              seed=SEED, method="arrow")
     return res.pos

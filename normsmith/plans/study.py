@@ -27,7 +27,7 @@ from ..operators import reshape as RE
 from ..operators import resample as RS
 from ..operators import stability as ST
 from ..operators import summaries as SM
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, scratch
 from ..sources import files as FS
 
 TRIAL_SCHEMA = (
@@ -61,7 +61,7 @@ class StudyConfig:
     boot_iters: int = 300
     cos_threshold: float = 0.5
     seed: int = 123
-    boot_method: str = "join"
+    boot_method: str = "values"
     title_pattern: str = TITLE_PATTERN         # the study's title prefix, as a pattern
     trial_folders: tuple = TRIAL_FOLDERS       # folder prefixes of trial names
     families: dict = field(default_factory=lambda: {
@@ -133,11 +133,18 @@ def prepare_models(spark: SparkSession, path: str, gender_recode: str | None, et
         "weight_kg", CL.weight_kg(F.col("weight"), F.col("weight_units")))
 
 
-def agreement(data_exp: DataFrame, cfg: StudyConfig | None = None) -> dict[str, DataFrame]:
+def agreement(data_exp: DataFrame, cfg: StudyConfig | None = None, cache_root: str | None = None) -> dict[str, DataFrame]:
     """Agreement tables per task family: ICC(2,k) with bounds, alpha and
     omega; ICC corridor with its summary and thresholds (trait tasks);
-    stability intervals and points of stability."""
+    stability intervals and points of stability.  With ``cache_root`` the
+    corridor and the intervals, which take longest, are loaded where a run on
+    the same answers with the same parameters has stored them (S11)."""
     cfg = cfg or StudyConfig()
+    spark = data_exp.sparkSession
+
+    def stored(name: str, data: DataFrame, params: dict, compute) -> DataFrame:
+        return FS.run_or_load(spark, name, data, params, compute, cache_root) if cache_root else compute()
+
     cells = data_exp.select("exp", "session_id", "trial_name", "dv")
     out: dict[str, DataFrame] = {}
     for fam, sel in cfg.families.items():
@@ -150,12 +157,15 @@ def agreement(data_exp: DataFrame, cfg: StudyConfig | None = None) -> dict[str,
         out[f"icc_{fam}"] = AG.with_icc_bounds(AG.icc2k(sub, missing="all"))
         out[f"alpha_{fam}"] = AG.cronbach_alpha(sub, missing="all").join(
             AG.omega_total(sub).select("exp", "omega_t", "converged"), "exp", "left")
-        res = ST.stability_stats(sub, cfg.boot_n, cfg.boot_iters, cos_threshold=cfg.cos_threshold, seed=cfg.seed,
-                                 method=cfg.boot_method)
-        out[f"stability_ci_{fam}"] = res.cis
-        out[f"pos_{fam}"] = res.pos
+        boot = {"n": cfg.boot_n, "iters": cfg.boot_iters, "seed": cfg.seed, "method": cfg.boot_method}
+        cis = stored(f"stability_ci_{fam}", sub, boot, lambda: ST.stability_stats(
+            sub, cfg.boot_n, cfg.boot_iters, cos_threshold=cfg.cos_threshold, seed=cfg.seed, method=cfg.boot_method).cis)
+        out[f"stability_ci_{fam}"] = cis
+        out[f"pos_{fam}"] = ST.point_of_stability(cis, cfg.cos_threshold)
     trait = AG.task_subset(cells, tasks=cfg.families["trait"].get("tasks"))
-    corridor = RS.icc_corridor(trait, cfg.corridor_sizes, cfg.corridor_iters, cfg.seed)
+    grid = {"sizes": list(cfg.corridor_sizes), "iters": cfg.corridor_iters, "seed": cfg.seed}
+    corridor = stored("icc_corridor", trait, grid, lambda: RS.full_corridor(
+        trait, cfg.corridor_sizes, cfg.corridor_iters, cfg.seed))
     summary = RS.corridor_summary(corridor)
     out["icc_corridor"] = corridor
     out["icc_corridor_summary"] = summary
@@ -191,7 +201,8 @@ def main(argv: list[str] | None = None) -> None:
                    ethnicity_recode=a.ethnicity_recode, quest_ethnicity_recode=a.quest_ethnicity_recode)
     write_all(prep, a.out)
     data_exp = spark.read.parquet(f"{a.out.rstrip('/')}/data_exp")
-    write_all(agreement(data_exp), a.out)
+    with scratch(spark):
+        write_all(agreement(data_exp, cache_root=f"{a.out.rstrip('/')}/_cache"), a.out)
 
 
 if __name__ == "__main__":

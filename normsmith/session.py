@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,20 +85,48 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df
 
 
+_scratch: list[list[str]] = []
+
+
+def track(path: str) -> None:
+    """Have the innermost ``scratch`` block delete ``path`` at its end."""
+    if _scratch:
+        _scratch[-1].append(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are staged inside the block are deleted when it ends.  As
+    results are lazy, write or collect them inside the block."""
+    mine: list[str] = []
+    _scratch.append(mine)
+    try:
+        yield
+    finally:
+        _scratch.remove(mine)
+        for path in mine:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written as parquet below the checkpoint folder and read again:
     later steps see one fixed set of rows, read only the columns they need
-    and know its size.  ``discard`` deletes it."""
+    and know its size.  Deleted by ``discard``, or by the ``scratch`` block
+    around it."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/normsmith-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    track(path)
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged_path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _delete(df.sparkSession, df._staged_path)

@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nulls import normalise_nulls
-from ..session import checkpoint_dir
+from ..operators.ranks import runs, sorted_rows
+from ..session import checkpoint_dir, discard
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str, null_value: str | None = "NA",
@@ -71,11 +74,39 @@ def read_project_json(spark: SparkSession, path: str, schema: T.DataType) -> Dat
     return raw.select(F.explode(F.from_json("value", schema)).alias("c")).select("c.*")
 
 
+class PagedExport:
+    """S3: the rows of ``df`` in ``key`` order, in pages of any size.
+
+    The rows are sorted once by one range shuffle and staged (``ranks``); the
+    page directory has one row per partition, its number of rows and the
+    place of its first.  A page opens only the ranges that hold it: its filter
+    is on the stored place, which the files' statistics are about, and no row
+    passes through a single task but the page's own."""
+
+    def __init__(self, df: DataFrame, key: Iterable[str]):
+        self._columns, key = df.columns, list(key)
+        self._rows = sorted_rows(df, [], key)
+        # one entry per partition of the sort
+        self._directory = sorted((r["__first"], r["__before"], r["__c"]) for r in runs(self._rows, []).collect())
+
+    def page(self, size: int, number: int) -> DataFrame:
+        """Rows ``number * size`` and on; empty behind the last."""
+        lo, hi = number * size, (number + 1) * size
+        wanted = F.lit(False)
+        for first, before, count in self._directory:
+            if before < hi and before + count > lo:
+                wanted = wanted | F.col("__at").between(first + max(lo - before, 0), first + min(hi - before, count) - 1)
+        return self._rows.where(wanted).orderBy("__at").select(*self._columns)
+
+    def close(self) -> None:
+        """Delete the staged rows."""
+        discard(self._rows)
+
+
 def page(df: DataFrame, key: Iterable[str], size: int, number: int) -> DataFrame:
-    """S3: page ``number`` (from 0) of ``size`` rows in ``key`` order.  For
-    export pagination of a bounded extract only; whole-table jobs read the
-    table partitioned instead."""
-    return df.orderBy(*key).offset(number * size).limit(size)
+    """S3: one page (from 0) in ``key`` order; for several pages of one table
+    keep a ``PagedExport``."""
+    return PagedExport(df, key).page(size, number)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Iterable[str] | None = None,
@@ -122,29 +153,71 @@ def digest_by(df: DataFrame, by: Iterable[str], columns: Iterable[str]) -> DataF
                                F.sum(words[0]).cast("string").alias("lo"), F.sum(words[1]).cast("string").alias("hi"))
 
 
-def cache_path(spark: SparkSession, name: str, data: DataFrame, params: dict, root: str | None = None) -> str:
+def cache_path(spark: SparkSession, name: str, data: DataFrame, params: dict, root: str | None = None,
+               by_files: bool = False) -> str:
     """Path ``<root>/<name>_<hash>`` where the hash covers the input's
     fingerprint *and* the parameters (so changed parameters never reuse a
-    stale result)."""
+    stale result).  With ``by_files`` the input is known by the paths, lengths
+    and times of the files it reads, and its rows are not read: for inputs
+    that are files as they are."""
     import hashlib
 
     root = root or checkpoint_dir(spark)
     if not root:
         raise RuntimeError("no spark.checkpoint.dir configured for cached results")
-    row = fingerprint(data).first()
-    key = json.dumps({"n": row["n_rows"], "fp": row["fingerprint"], "params": params}, sort_keys=True, default=str)
+    if by_files:
+        known = {"files": sorted(file_marks(spark, data.inputFiles()))}
+    else:
+        row = fingerprint(data).first()
+        known = {"n": row["n_rows"], "fp": row["fingerprint"]}
+    key = json.dumps({**known, "params": params}, sort_keys=True, default=str)
     return f"{root.rstrip('/')}/normsmith-cache/{name}_{hashlib.sha256(key.encode()).hexdigest()[:16]}"
 
 
+def file_marks(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
+    """(path, length, modification time) of files."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        status = p.getFileSystem(conf).getFileStatus(p)
+        out.append((path, status.getLen(), status.getModificationTime()))
+    return out
+
+
+def publish(spark: SparkSession, df: DataFrame, path: str) -> bool:
+    """Write ``df`` to a folder of its own, then give it its name by one
+    rename that fails where the name is taken.  Of several jobs that publish
+    the same path one wins; the others delete what they wrote and return
+    False.  Readers never see a result that is half written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    own = f"{path}.part-{uuid.uuid4().hex}"
+    df.write.parquet(own)
+    source, target = jvm.org.apache.hadoop.fs.Path(own), jvm.org.apache.hadoop.fs.Path(path)
+    store = source.getFileSystem(conf)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), conf)
+    options = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+    try:
+        context.rename(store.makeQualified(source), store.makeQualified(target), options)
+        return True
+    except Py4JJavaError as e:
+        if not store.exists(target):
+            raise
+        if "FileAlreadyExists" not in str(e.java_exception.getClass().getName()) and not store.exists(source):
+            raise
+        store.delete(source, True)
+        return False
+
+
 def run_or_load(spark: SparkSession, name: str, data: DataFrame, params: dict,
-                compute: Callable[[], DataFrame], root: str | None = None) -> DataFrame:
-    """Read the stored result if it exists, otherwise compute,
-    write once (parquet in the shared folder) and read back.  A run that
-    dies half-way leaves no ``_SUCCESS`` marker and is recomputed."""
-    path = cache_path(spark, name, data, params, root)
+                compute: Callable[[], DataFrame], root: str | None = None, by_files: bool = False) -> DataFrame:
+    """Read the stored result if it exists, otherwise compute it and
+    publish it under its name (``publish``); where another job was faster, its
+    result is read.  A run that dies half-way leaves no result."""
+    path = cache_path(spark, name, data, params, root, by_files)
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hpath):
-        compute().write.mode("overwrite").parquet(path)
+        publish(spark, compute(), path)
     return spark.read.parquet(path)

@@ -22,9 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ratings(spark: SparkSession, sf_dir: str, n_raters: int | None = 20, n_stimuli: int | None = 50) -> DataFrame:
     """Trial log in rating-study shape, derived from ``lineitem``.
 
+    Raters are suppliers and stimuli parts, folded to ``n_raters`` and
+    ``n_stimuli``; with None they are not folded, so that raters (stimuli) and
+    kept rows grow with the table and a rater misses many cells.
+
     One row per answer event: ``session_id`` (rater), ``exp`` (task),
     ``trial_name`` (stimulus or attention check), ``dv`` (answer), ``rt``,
     ``dt`` plus the source key columns that give a total order for
@@ -32,9 +36,9 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     3 fails attention checks, 4/R fast, 5/R lacks stimulus 49.
     """
     li = table(spark, sf_dir, "lineitem")
-    session_id = F.col("l_suppkey") % 20
+    session_id = F.col("l_suppkey") % n_raters if n_raters else F.col("l_suppkey")
     exp = F.col("l_returnflag")
-    st = F.col("l_partkey") % 50
+    st = F.col("l_partkey") % n_stimuli if n_stimuli else F.col("l_partkey")
     chk = F.col("l_linenumber") == 7
     qn = F.col("l_quantity").cast("int")
     signal = (st * 7) % 50  # 0..49, the planted stimulus effect

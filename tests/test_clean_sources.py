@@ -174,3 +174,49 @@ def test_recode_table_with_repeated_key_is_rejected(spark, tmp_path):
     df = spark.createDataFrame([("Mulher",)], "gender string")
     with pytest.raises(ValueError):
         CL.recode(df, "gender", table, "gender_rec")
+
+
+def test_pages_open_only_their_ranges(spark):
+    """Pages of a large table are those of a plain sort, and reading one
+    touches the rows of few partitions."""
+    import os
+
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).alias("k"), F.col("id").alias("v")).repartition(8)
+    export = FS.PagedExport(df, ["k"])
+    want = sorted((i * 7919 % 200_003, i) for i in range(200_000))
+    for number in (0, 3, 1000, 1999, 2000):
+        page = export.page(100, number)
+        assert [tuple(r) for r in page.collect()] == want[number * 100 : number * 100 + 100]
+    plan = export.page(100, 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(__at," in plan and "PushedFilters" in plan
+    parts = [e for e in export._directory if e[1] < 100_100 and e[1] + e[2] > 100_000]
+    assert 1 <= len(parts) <= 2 < len(export._directory)
+    path = export._rows._staged_path.removeprefix("file:")
+    export.close()
+    assert not os.path.exists(path)
+
+
+def test_racing_writers_publish_one_result(spark, tmp_path):
+    path = str(tmp_path / "result")
+    a, b = spark.range(5), spark.range(7)
+    assert FS.publish(spark, a, path) is True
+    assert FS.publish(spark, b, path) is False
+    assert spark.read.parquet(path).count() == 5
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["result"]
+
+
+def test_cache_knows_files_without_reading(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.range(10).write.parquet(src)
+    runs_ = []
+
+    def compute():
+        runs_.append(1)
+        return spark.read.parquet(src).selectExpr("sum(id) as s")
+
+    def load():
+        return FS.run_or_load(spark, "sum", spark.read.parquet(src), {}, compute, str(tmp_path / "c"), by_files=True).first().s
+
+    assert (load(), load(), len(runs_)) == (45, 45, 1)
+    spark.range(3).write.mode("append").parquet(src)
+    assert (load(), len(runs_)) == (48, 2)
