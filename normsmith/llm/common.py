@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, track
 
 # Stands for a null id inside the operators: ordered after every real id.
 NULL_ID = (1 << 63) - 1
@@ -56,8 +56,11 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 # ------------------------------------------------------------------ staging
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/normsmith-{uuid.uuid4().hex}"
+    """A new folder below the cluster's checkpoint folder; a ``scratch`` block
+    around the caller deletes it at its end."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/normsmith-{uuid.uuid4().hex}"
+    track(path)
+    return path
 
 
 def stage(df: DataFrame, name: str = "t", partition_by: str | None = None) -> DataFrame:

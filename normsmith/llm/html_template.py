@@ -1,9 +1,16 @@
 """Main text of web pages with site template removal.
 
-Each page is parsed into elements.  Elements that by their kind, role or
-class are no article text (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) are left out; the rest is
-the page's main part: its ``article`` elements, else ``main``, else the body.
+Each page is parsed into elements, in time linear in its length however
+deeply they are nested.  Elements that by their kind, role or class are no
+article text (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles, reader comments) are left out; the rest is the page's main
+part: its ``article`` elements, else ``main``, else the body.  ``main`` comes
+before articles inside it that hold less running text than it has beside
+them (teasers).  A class or id that consists of words for such parts decides;
+one that only contains such a word (``ad-hoc-networks``) proposes, and the
+element goes if it is mostly links or holds little running text.  A form is
+left out unless it wraps the page: it holds an article or ``main``, or at
+least ``SHORT`` characters of running text.
 
 Template removal: the subtrees of the main part are hashed (kind and text)
 and counted per host in Spark, over distinct main parts, so that copies of a
@@ -56,6 +63,7 @@ BLOCK = frozenset(
 )
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption td th dd dt b i em strong span a code q cite u s".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption li dt dd tr td th".split())
+ENOUGH = 80  # characters of running text that outweigh a word of a name
 SHORT = 200  # characters of a container that may be template at the chrome share
 NOISE = frozenset(
     "nav footer aside form script style noscript template iframe object embed svg canvas audio video map head title "
@@ -71,6 +79,12 @@ NOISE_WORDS = frozenset(
     "sharing social related recommended recommendations comment comments commentlist disqus replies respond widget "
     "widgets toolbar pagination pager search hidden skip skiplink".split()
 )
+# Words that say where or how, not what: beside one of the above they leave it as sure as it is.
+NEUTRAL = frozenset(
+    "site page main global local top bottom left right upper lower first last fixed sticky box list item items wrapper "
+    "wrap container holder area bar inner outer block section primary secondary btn button buttons link links icon icons "
+    "row col column columns grid panel module slot unit group dialog banner message thread form header title".split()
+)
 HEADERS = frozenset("header site-header page-header top-header topbar top-bar".split())
 # An opening p, li ... ends an open one of these, up to the nearest boundary.
 P_ENDS = BLOCK - {"br", "hr", "body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup"}
@@ -96,7 +110,9 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("kind", "attrs", "children", "hash", "parent", "direct", "chars", "links", "prose")
+    __slots__ = (
+        "kind", "attrs", "children", "hash", "parent", "direct", "chars", "links", "prose", "running", "linked", "article",
+    )
 
     def __init__(self, kind: str, attrs: str, parent: Node | None):
         self.kind, self.attrs, self.parent = kind, attrs, parent
@@ -104,25 +120,28 @@ class Node:
         self.hash = 0
         # set by hash_subtrees: texts outside any child; lengths of all text and of links; holds running text
         self.direct, self.chars, self.links, self.prose = "", 0, 0, False
+        # set by measure: lengths of running text and of link text; holds an article or main
+        self.running, self.linked, self.article = 0, 0, False
 
 
 def parse(html: str) -> Node:
     root = Node("html", "", None)
-    node, at, end = root, 0, len(html)
+    at, end = 0, len(html)
+    # the open elements, and by kind their places among them: what an end tag
+    # closes is looked up, not walked to
+    opened, places = [root], {}
 
     def close(kinds, stops) -> None:
         """Leave the nearest open element of these kinds, if it is open
         below the nearest stop."""
-        nonlocal node
-        up = node
-        while up is not root and up.kind not in stops:
-            if up.kind in kinds:
-                node = up.parent
-                return
-            up = up.parent
+        place = max((places[k][-1] for k in kinds if places.get(k)), default=0)
+        if place > max((places[k][-1] for k in stops if places.get(k)), default=0):
+            while len(opened) > place:
+                places[opened.pop().kind].pop()
 
     while at < end:
         m = TOKEN.search(html, at)
+        node = opened[-1]
         if not m:
             node.children.append(html[at:])
             break
@@ -135,15 +154,16 @@ def parse(html: str) -> Node:
         kind = kind.lower()
         if m[1] or m[4]:
             if kind not in VOID:
-                close({kind}, ())
+                close((kind,), ())
             elif kind == "br":
                 node.children.append(Node("br", "", node))
             continue
         attrs = (m[3] if m[2] else m[6]) or ""
         if kind in P_ENDS:
-            close({"p"}, {"table", "td", "th", "caption", "button", "object"})
+            close(("p",), ("table", "td", "th", "caption", "button", "object"))
         if kind in ENDS:
             close(*ENDS[kind])
+        node = opened[-1]
         new = Node(kind, attrs, node)
         if kind == "html":
             continue
@@ -154,7 +174,8 @@ def parse(html: str) -> Node:
                 new.children.append(html[at : stop.start() if stop else end])
             at = stop.end() if stop else end
         elif kind not in VOID:
-            node = new
+            places.setdefault(kind, []).append(len(opened))
+            opened.append(new)
     return root
 
 
@@ -165,8 +186,30 @@ def attributes(node: Node) -> dict[str, str]:
     return out
 
 
+def named_noise(names: list[str]) -> int:
+    """2: a name says that this is no article text; 1: a name contains a word
+    that says so; 0: none does."""
+    found = 0
+    for n in names:
+        words = [w.lower() for w in WORD.findall(n)]
+        if n.lower() in HEADERS:
+            return 2
+        if any(w in NOISE_WORDS for w in words):
+            if all(w in NOISE_WORDS or w in NEUTRAL or w.isdigit() for w in words):
+                return 2
+            found = 1
+    return found
+
+
+def wraps_page(node: Node) -> bool:
+    return node.article or (node.running >= SHORT and node.running > node.linked)
+
+
 def is_noise(node: Node, in_article: bool) -> bool:
+    """For elements that ``measure`` has seen."""
     kind = node.kind
+    if kind == "form":
+        return not wraps_page(node)
     if kind in NOISE:
         return True
     if kind == "header":
@@ -179,50 +222,80 @@ def is_noise(node: Node, in_article: bool) -> bool:
         return True
     if a.get("role", "").lower() in ROLES:
         return True
-    names = f"{a.get('class', '')} {a.get('id', '')}".split()
-    return any(n.lower() in HEADERS or any(w.lower() in NOISE_WORDS for w in WORD.findall(n)) for n in names)
+    sure = named_noise(f"{a.get('class', '')} {a.get('id', '')}".split())
+    return sure == 2 or (sure == 1 and (node.running < ENOUGH or node.linked >= node.running))
+
+
+def measure(root: Node) -> None:
+    """Set ``running`` (text of prose elements outside links), ``linked`` and
+    ``article`` of every element, children first."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if isinstance(c, Node)]
+    for node in reversed(order):
+        own, running, linked, article = 0, 0, 0, False
+        for c in node.children:
+            if isinstance(c, str):
+                own += len(c.strip())
+            elif c.kind not in NOISE or c.kind == "form":
+                # chars: all text below, links too, until hash_subtrees sets it
+                own, running, linked = own + c.chars, running + c.running, linked + c.linked
+                article = article or c.article
+                if c.kind in ("article", "main") and not article:
+                    article = not (c.attrs and is_noise(c, True))
+        node.chars = own
+        node.linked = own if node.kind == "a" else linked
+        node.running = own - node.linked if node.kind in PROSE else running
+        node.article = article
+
+
+def own_running(top: Node) -> int:
+    """Running text of a main part outside the articles in it."""
+    total, todo = 0, [top]
+    while todo:
+        node = todo.pop()
+        below = [c for c in node.children if isinstance(c, Node) and c.kind != "article"]
+        if node.kind in PROSE:
+            total += node.running - sum(c.running for c in node.children if isinstance(c, Node) and c.kind == "article")
+        else:
+            todo += below
+    return total
 
 
 def main_parts(root: Node) -> tuple[list[Node], bool]:
     """The main part's elements in page order (noise taken out of the tree),
     and whether the page says which they are."""
+    measure(root)
     found: dict[str, list[Node]] = {"article": [], "main": [], "body": []}
-
-    def holds_article(node: Node) -> bool:
-        todo = [node]
-        while todo:
-            for c in todo.pop().children:
-                if isinstance(c, Node):
-                    if c.kind in ("article", "main"):
-                        return not is_comment(c)
-                    todo.append(c)
-        return False
-
-    def is_comment(node: Node) -> bool:
-        return bool(node.attrs) and is_noise(node, True)
-
-    todo = [(root, "body")]
+    nested = teasers = 0  # running text of articles inside main, and how many
+    todo = [(root, "body", False)]
     while todo:
-        node, inside = todo.pop()
+        node, inside, in_main = todo.pop()
         keep: list[Node | str] = []
         below = []
         for c in node.children:
             if isinstance(c, Node):
                 if is_noise(c, inside == "article"):
                     # a wrapper's class does not speak against the article that it wraps
-                    if c.kind in NOISE or c.kind == "header" or inside == "article" or not holds_article(c):
+                    if c.kind in NOISE or c.kind == "header" or inside == "article" or not c.article:
                         continue
                 at = inside
                 if inside != "article" and c.kind == "article":
                     at = "article"
+                    if in_main:
+                        nested, teasers = nested + c.running, teasers + 1
                 elif inside == "body" and (c.kind == "main" or "main" == attributes(c).get("role")):
                     at = "main"
                 if at != inside:
                     found[at].append(c)
-                below.append((c, at))
+                below.append((c, at, in_main or at == "main"))
             keep.append(c)
         node.children = keep
         todo += reversed(below)
+    if found["main"] and (teasers or not found["article"]) and sum(map(own_running, found["main"])) > nested:
+        return found["main"], True
     for kind in ("article", "main"):
         if found[kind]:
             return found[kind], True

@@ -110,7 +110,8 @@ def mix(
     seed: int = 0,
 ) -> DataFrame:
     """One row per document: doc_id, size (words), source_size, target (of
-    its source), taken (words that the mix takes, repeats counted)."""
+    its source), taken (words that the mix takes, repeats counted), text_hash
+    (xxhash64 of the text; tells rows apart that share an id)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = F.col(source_col).cast("string")
     rows = stage(
@@ -119,6 +120,7 @@ def mix(
             F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("k"),
             F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"),
             F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), text), 64 - BITS).alias("h"),
+            F.xxhash64(text).alias("text_hash"),
         ),
         "rows",
     )
@@ -137,4 +139,5 @@ def mix(
         "source_size",
         "target",
         (F.col("size") * (F.col("copies") + (F.col("h") < F.col("limit")).cast("long"))).alias("taken"),
+        "text_hash",
     )

@@ -100,8 +100,9 @@ def signer(n: int, bands: int, rows: int):
                         pa.array([word_key(t.as_py()) for t in texts.cast(pa.binary())], pa.binary()),
                         pa.array(held),
                         pa.ListArray.from_arrays(ends, pa.array(sig.ravel())),
+                        piece.column(2),
                     ],
-                    names=["rid", "pos", "key", "n", "sig"],
+                    names=["rid", "pos", "key", "n", "sig", "text_hash"],
                 )
                 pos += len(held)
 
@@ -252,11 +253,15 @@ def ngram_join(
 ) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id that links
     reach), n_links (documents linked directly), n_grams, kept (one document
-    of each class)."""
+    of each class), text_hash (xxhash64 of the text; tells rows apart that
+    share an id)."""
     bands, rows = choose_bands(threshold, recall)
     texts = keyed(docs, id_col, text_col)
     signed = stage(
-        texts.mapInArrow(signer(n, bands, rows), "rid long, pos long, key binary, n long, sig array<long>"), "signatures"
+        texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+            signer(n, bands, rows), "rid long, pos long, key binary, n long, sig array<long>, text_hash long"
+        ),
+        "signatures",
     )
     classes = stage(
         signed.where("n > 0")
@@ -305,10 +310,11 @@ def ngram_join(
     known = known.join(firsts, "root").select(
         "key", "first", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
-    return signed.select("rid", "pos", "key", "n").join(stage(known, "known"), "key", "left").select(
+    return signed.select("rid", "pos", "key", "n", "text_hash").join(stage(known, "known"), "key", "left").select(
         unrid("rid").alias("doc_id"),
         unrid(F.coalesce("first.rid", "rid")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.col("n").alias("n_grams"),
         (F.coalesce("first.pos", "pos") == F.col("pos")).alias("kept"),
+        "text_hash",
     )

@@ -241,8 +241,9 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     part.column(0),
                     pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel())),
+                    part.column(2),
                 ],
-                names=["doc_id", "x"],
+                names=["doc_id", "x", "text_hash"],
             )
 
 
@@ -254,7 +255,9 @@ def scorer(model: Trees):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = model.score(_matrix(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(score), batch.column(2)], names=["doc_id", "score", "text_hash"]
+            )
 
     return run
 
@@ -269,7 +272,8 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
-    return rows.mapInArrow(_statistics, "doc_id long, x array<float>")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(_statistics, "doc_id long, x array<float>, text_hash long")
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Trees:
@@ -303,9 +307,14 @@ def score_quality(
     text_col: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted
-    (1 when score >= cut)."""
+    (1 when score >= cut), text_hash (xxhash64 of the text; tells rows apart
+    that share an id)."""
     stats = stage(document_statistics(docs, id_col, text_col), "statistics")
     model = fit_quality(stats, labels, sample_rows)
-    return stats.mapInArrow(scorer(model), "doc_id long, score double").select(
-        "doc_id", in_fold().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted")
+    return stats.mapInArrow(scorer(model), "doc_id long, score double, text_hash long").select(
+        "doc_id",
+        in_fold().alias("held_out"),
+        "score",
+        (F.col("score") >= cut).cast("int").alias("predicted"),
+        "text_hash",
     )

@@ -51,6 +51,38 @@ def test_main_text_cases():
     assert text("") == "" and text("<article></article>") == ""
 
 
+def test_main_beside_teasers_and_page_forms():
+    long = "<p>" + "A sentence of the main text. " * 10 + "</p>"
+    told = ("A sentence of the main text. " * 10).strip()
+    assert text(f"<main>{long}<div><article>teaser <a href=x>link</a></article></div></main>") == f"{told} teaser link"
+    assert text(f"<main><p>intro</p><article>{long}</article></main>") == told
+    assert text(f"<body><form action=/><article>{long}</article><input><button>Go</button></form>") == told
+    assert text(f"<body><form action=/><nav>n</nav>{long}<input></form>") == told
+    assert text("<body><p>t</p><form><label>Name</label><input><p>Short.</p></form>") == "t"
+
+
+def test_names_propose_or_decide():
+    long = "<p>" + "A sentence of the main text. " * 10 + "</p>"
+    told = ("A sentence of the main text. " * 10).strip()
+    for name in ("ad-hoc-networks", "menu-prices", "widget-theory", "commentOnLaw", "has-sidebar"):
+        assert text(f"<body><div class='{name}'>{long}</div>") == told
+        assert text(f"<body><p>t</p><div id='{name}'>short</div>") == "t"
+    links = "<ul>" + "<li><a href=x>A sentence in a link, long enough to count</a>" * 10 + "</ul>"
+    assert text(f"<body><p>t</p><div class='menu-prices'>{links}</div>") == "t"
+    for name in ("sidebar", "left-sidebar", "cookie-notice", "ad", "ad-box-3", "commentList", "site-header"):
+        assert text(f"<body><p>t</p><div class='{name}'>{long}</div>") == "t"
+
+
+@pytest.mark.parametrize("opening", ["<div>", "<div class=widget-x>", "<p><table><tr><td>", "<li>", "<form>", "<b><p>"])
+def test_deep_nesting_takes_linear_time(opening):
+    import time
+
+    began = time.perf_counter()
+    got = text("<body>" + opening * 100_000 + "deep text")
+    took = time.perf_counter() - began
+    assert took < 4 * opening.count("<") and got in ("deep text", "")  # quadratic: minutes
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<b", "<!--", "-->", "a", " ", "<li>", "</ul>", "'", '"', ">", "<script>", "&am", "&amp"]), max_size=30))
 def test_parser_never_fails(parts):
