@@ -18,16 +18,19 @@ tests compare the stages with brute force.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normsmith.llm.bpe import bpe_encode
-from normsmith.llm.common import stage, table
+from normsmith.llm.common import delete, table
 from normsmith.llm.exact_dedup import exact_dedup
 from normsmith.llm.mixing import mix
 from normsmith.llm.ngram_join import ngram_join
 from normsmith.llm.quality_gbdt import score_quality
 from normsmith.llm.queries import tokenizer_path
+from normsmith.session import ensure_checkpoint_dir, scratch, track
 
 ORACLE_SQL: str | None = None
 
@@ -40,16 +43,24 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str, list]:
     return docs.toDF(*names), names[docs.columns.index("doc_id")], restore
 
 
-def keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is among the decisions'."""
+def told_apart(docs: DataFrame) -> tuple[DataFrame, str, list]:
+    """``numbered`` with the hash of the text as ``text_hash``: rows that share
+    an id, or have none, are judged by id and text together."""
     rows, at, restore = numbered(docs)
-    ids = decisions.select(F.col("doc_id").alias("kept_id")).distinct()
-    return rows.join(ids, F.col(at).eqNullSafe(F.col("kept_id")), "left_semi").select(*restore)
+    text = F.coalesce(F.col(f"_{docs.columns.index('text')}").cast("string"), F.lit(""))
+    return rows.withColumn("text_hash", F.xxhash64(text)), at, restore
+
+
+def keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id and text are among the decisions'."""
+    rows, at, restore = told_apart(docs)
+    kept = decisions.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    same = F.col(at).eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    return rows.join(kept, same, "left_semi").select(*restore)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scores = score_quality(docs, table(spark, sf_dir, "labels"))
-    # rows that share an id but not their text are judged by their best one
     return keep(docs, scores.where("predicted = 1"))
 
 
@@ -69,10 +80,11 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")
-    taken = mix(docs).select(F.col("doc_id").alias("mix_id"), copies.alias("copies"))
-    taken = taken.groupBy("mix_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    rows, at, restore = numbered(docs)
-    out = rows.join(taken, F.col(at).eqNullSafe(F.col("mix_id")))
+    taken = mix(docs).select(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash"), copies.alias("copies"))
+    # rows that repeat id and text are taken alike
+    taken = taken.groupBy("mix_id", "mix_hash").agg(F.max("copies").alias("copies")).where("copies > 0")
+    rows, at, restore = told_apart(docs)
+    out = rows.join(taken, F.col(at).eqNullSafe(F.col("mix_id")) & (F.col("text_hash") == F.col("mix_hash")))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*restore)
 
 
@@ -92,7 +104,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, f in STAGES[:-1]:
-        docs = stage(f(spark, docs, sf_dir), "docs")
+        made: list[DataFrame] = []
+        with scratch(spark):  # what a stage's operator staged goes when its documents are written
+            made.append(f(spark, docs, sf_dir))
+            path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/normsmith-docs-{uuid.uuid4().hex}"
+            made[0].write.option("compression", "zstd").parquet(path)
+        if last:
+            delete(spark, last)
+        docs, last = spark.read.schema(made[0].schema).parquet(path), path
+    track(last)
     return STAGES[-1][1](spark, docs, sf_dir)
