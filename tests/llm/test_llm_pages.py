@@ -260,3 +260,19 @@ def test_near_vectors_edges(spark):
         *((k, 0, k) for k in (4, 5, 6, 7, 8)),
     }
     assert near_duplicates(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("pivots", [1024, 4096, 32_768])
+def test_pivot_recall_at_the_bound(pivots):
+    """Pairs at cosine 0.95 exactly: the share that meets on three pivots."""
+    from normsmith.llm.pivot_index import nearest_count, spread
+
+    rng = np.random.default_rng(pivots)
+    a = unit(rng.normal(size=(600, 64)))
+    b = rng.normal(size=(600, 64))
+    b = unit(b - (a * b).sum(1, keepdims=True) * a)
+    points = spread(np.zeros((0, 64)), pivots)
+    k = nearest_count(pivots)
+    near = [np.argpartition(-(x @ points.T), k, axis=1)[:, :k] for x in (a, 0.95 * a + (1 - 0.95**2) ** 0.5 * b)]
+    shared = (near[0][:, :, None] == near[1][:, None, :]).any(2).sum(1)
+    assert (shared >= 3).mean() >= 0.96

@@ -291,3 +291,22 @@ def test_more_license_rules(spark):
     rows = [(k, "Copyright 2020 Foo\n" + "\n".join(s) + "\n\nrest") for k, (_, s) in enumerate(MORE_RULES)]
     got = license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.licences, r.n_matches) for r in got} == {k: (name, 1) for k, (name, _) in enumerate(MORE_RULES)}
+
+
+def test_readings_are_united(spark):
+    """A licence part of which only one reading sees, a holder's name in a
+    clause, two licences seen by different readings."""
+    bsd2, bsd3 = (next(t for n, t in RULES if n == name) for name in ("BSD-2-Clause", "BSD-3-Clause"))
+    third = bsd3[2].replace("may be used", "may be\nused")
+    named = bsd3[2].replace("the copyright holder", "Example Corp. Inc.")
+    rows = [
+        (1, "\n".join([*bsd3[:2], third])),
+        (2, "\n".join([*bsd3[:2], named])),
+        (3, "\n".join(bsd2)),
+        (4, "\n".join([*bsd2, "", "Released under the MIT License.", "", *bsd3])),
+        (5, "Released under the MIT License.\nLicensed under the Apache License,\nVersion 2.0."),
+    ]
+    got = {r.doc_id: (r.licences, r.n_matches) for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == ("BSD-3-Clause", 1) and got[3] == ("BSD-2-Clause", 1)
+    assert got[4][0] == "BSD-2-Clause,BSD-3-Clause,MIT" and got[4][1] >= 3
+    assert got[5][0] == "Apache-2.0,MIT" and got[5][1] == 2
