@@ -366,6 +366,13 @@ def dropped_raters(cells: DataFrame, min_values: int = 3, group: Sequence[str] =
     )
 
 
+def dropped_rater_rows(cells: DataFrame, min_values: int = 3, group: Sequence[str] = ("exp",),
+                       rater: str = "session_id", stim: str = "trial_name", value: str = "dv") -> DataFrame:
+    """R3 as rows (group..., rater, n_values): a list of any length without a
+    long cell."""
+    return rater_variety(cells, group, rater, stim, value).where(F.col("n_values") < min_values)
+
+
 # --------------------------------------------------------------------------
 # R6  Cronbach's alpha
 # --------------------------------------------------------------------------

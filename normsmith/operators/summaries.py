@@ -116,6 +116,18 @@ def equal_count_groups(df: DataFrame, item: str, sep: str = ", ") -> DataFrame:
     )
 
 
+def equal_count_rows(df: DataFrame, item: str) -> DataFrame:
+    """D8 as rows (n, item): items under the count that they share, without a
+    long cell."""
+    return df.groupBy(item).agg(F.count(F.lit(1)).cast("long").alias("n")).select("n", item)
+
+
+def rating_skewness(cells: DataFrame, task: str = "exp", value: str = "dv") -> DataFrame:
+    """Skewness of the answers per task, the third central moment over
+    the 1.5th power of the second; null for answers that do not vary."""
+    return cells.groupBy(task).agg(F.skewness(value).alias("skewness"))
+
+
 def rating_descriptives(cells: DataFrame, task: str = "exp", value: str = "dv") -> DataFrame:
     """N, mean, sd, median, min, max per task; the median comes from
     ``order_statistics``, so no task holds all answers of a rating task."""

@@ -23,7 +23,7 @@ from ..sources import files as FS
 from ..sources import tables as S
 from . import adapters as AD
 from . import flows
-from .oracle import AGREE_BASE, CELLS, FIRSTS, ORACLE
+from .oracle import AGREE_BASE, CELLS, FIRSTS, ORACLE, RATINGS
 from .oracle_full import GROWN, P_TEXT, t_interval
 from .queries import packed_projects, r6, register
 
@@ -507,3 +507,30 @@ def q_icc_grown(spark, sf):
     alpha = AG.cronbach_alpha(c, min_values=None, missing="all").select("exp", "alpha")
     return icc.join(alpha, "exp").select("exp", "n_raters", "n_stimuli", "n_cells_missing", "improper",
                                          r6("icc2k").alias("icc2k"), r6("alpha").alias("alpha"))
+
+
+@query("dropped_rater_rows", AGREE_BASE + "select exp, session_id, n_values from variety where n_values < 3")
+def q_dropped_rows(spark, sf):
+    """R3 in rows."""
+    return AG.dropped_rater_rows(flows.rating_cells(spark, sf))
+
+
+@query("count_rows", "select n, nation as item from (select n_name as nation, count(*) as n from customer join nation "
+       "on c_nationkey = n_nationkey group by n_name) t")
+def q_count_rows(spark, sf):
+    """D8 in rows: nations under the number of customers that they share."""
+    c, n = S.table(spark, sf, "customer"), S.table(spark, sf, "nation")
+    items = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("item"))
+    return SM.equal_count_rows(items, "item")
+
+
+@query(
+    "rating_skewness",
+    "with " + RATINGS + ",\n" + FIRSTS + ",\n" + CELLS
+    + """,
+m as (select exp, dv, avg(dv) over (partition by exp) as mean from cells where dv is not null)
+select exp, round(avg((dv - mean) ** 3) / avg((dv - mean) ** 2) ** 1.5, 6) as skewness from m group by exp""",
+)
+def q_skewness(spark, sf):
+    """Skewness of the answers of each task."""
+    return SM.rating_skewness(flows.rating_cells(spark, sf)).select("exp", r6("skewness").alias("skewness"))
