@@ -187,9 +187,11 @@ def q_corridor(spark, sf):
 
 @register("icc_corridor_bounds")
 def q_corridor_bounds(spark, sf):
+    from ..operators.ranks import partitions_of
     from ..session import staged
 
-    c = AG.with_icc_bounds(staged(_corridor(spark, sf).repartition(32)))
+    # few rows, each with two quantiles: spread over the cluster's shuffle partitions
+    c = AG.with_icc_bounds(staged(_corridor(spark, sf).repartition(partitions_of(spark.range(1)))))
     return c.select("exp", "n", "iter", "n_stimuli", r6("icc2k").alias("icc2k"),
                     r6("icc2k_lower").alias("icc2k_lower"), r6("icc2k_upper").alias("icc2k_upper"))
 
