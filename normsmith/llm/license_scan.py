@@ -209,10 +209,9 @@ def known_sentences(rules) -> tuple[list[str], list[tuple[str, str]]]:
     return list(known), [(out[k][0], "".join(f"<{i}>" for i in out[k][1])) for k in order]
 
 
-# Sentences with a slot: a text that must occur, the pattern, its wording in RULES.
+# Sentences with a slot: the pattern, its wording in RULES.
 SLOTS = [
     (
-        "neither the name",
         r"neither the names? of .{1,300}?[ \t]+nor the names? of (?:its|their) contributors",
         "neither the name of the copyright holder nor the names of its contributors",
     )
@@ -221,14 +220,15 @@ SLOTS = [
 
 def sequence(text: Column, known: list[str]) -> Column:
     """The known sentences of a text (cut at line ends) as '<4><2>...'."""
-    for head, pattern, wording in SLOTS:
-        text = F.when(F.contains(text, F.lit(head)), F.regexp_replace(text, pattern, wording)).otherwise(text)
+    # no condition around it: the text would be made twice
+    for pattern, wording in SLOTS:
+        text = F.regexp_replace(text, pattern, wording)
     marked = F.regexp_replace(text, END_OF_SENTENCE, "\n")
     parts = F.split(F.regexp_replace(marked, NOT_WORD, " "), "\n")
     numbers = F.array(*[F.lit(s) for s in known])
     # membership is a look-up in a hash set; only what is known is numbered
-    hits = F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s.isin(*known))
-    ids = F.transform(hits, lambda s: F.array_position(numbers, s))
+    hits = F.filter(parts, lambda s: F.trim(s).isin(*known))
+    ids = F.transform(hits, lambda s: F.array_position(numbers, F.trim(s)))
     return F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))), "")
 
 
@@ -356,9 +356,9 @@ def oracle_sql(rules=RULES) -> str:
         free = f" AND NOT ({' OR '.join(part)})" if part else ""
         shown.append(f"CASE WHEN (na{k} > 0 OR nb{k} > 0){free} THEN '{licence}|{p}' END")
     total = {side: " + ".join(n for n in numbers if n[1] == side) for side in ("a", "b")}
-    slots = "x"
-    for head, pattern, wording in SLOTS:
-        slots = f"CASE WHEN contains({{x}}, '{head}') THEN regexp_replace({{x}}, '{pattern}', '{wording}', 'g') ELSE {{x}} END"
+    slots = "{x}"
+    for pattern, wording in SLOTS:
+        slots = f"regexp_replace({slots}, '{pattern}', '{wording}', 'g')"
     by_line, wrapped = (slots.replace("{x}", x) for x in ("x", "translate(x, chr(10), ' ')"))
     return f"""
 WITH t AS (
