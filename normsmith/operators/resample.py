@@ -346,7 +346,11 @@ def bootstrap_by_value(cells: DataFrame, N: int = 100, iterations: int = 500, se
     most = rows.groupBy(*key, "__x").count().groupBy(*key).count().agg(F.max("count")).first()[0] or 0
     few = most <= FEW_VALUES
     if few:
-        stims = value_counts(rows, g, stim, "__x")
+        # the cumulative counts as columns: comparing them is what a draw costs
+        never = F.lit((1 << 63) - 1)
+        stims = value_counts(rows, g, stim, "__x").select(
+            *key, "m", "__mean", "__values",
+            *[F.coalesce(F.get("__upto", F.lit(k)), never).alias(f"__u{k}") for k in range(int(most))])
     else:
         placed = with_positions(rows, key, ["__x"], "__pos")
         stims = rows.groupBy(*key).agg(F.count("__x").alias("m"), F.avg("__x").alias("__mean"))
@@ -361,7 +365,7 @@ def bootstrap_by_value(cells: DataFrame, N: int = 100, iterations: int = 500, se
         # the number of cumulative counts at or below the position
         n = F.lit(0)
         for k in range(int(most)):
-            n = n + F.coalesce((F.get("__upto", F.lit(k)) <= F.col("__at")).cast("int"), F.lit(0))
+            n = n + (F.col(f"__u{k}") <= F.col("__at")).cast("int")
         draws = draws.withColumn("__x", F.get("__values", n))
     else:
         hidden = [f"__k{i}" for i in range(len(key))]
